@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skriptor.llm import bpe, packing
+from skriptor.llm import bpe, neardup, packing
 from skriptor.session import load
 
 
+def _checks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(load(spark, sf_dir, "full_check"), "check_id", "body", threshold=0.7)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = neardup.document_pairs(*_checks(spark, sf_dir))
+    return pairs.select(F.col("a").alias("check_a"), F.col("b").alias("check_b"))
+
+
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.document_classes(*_checks(spark, sf_dir))
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _checks(spark, sf_dir)[1]
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(load(spark, sf_dir, "documents"))
 
@@ -34,6 +51,9 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
+    "p6_classes": p6_classes,
+    "p6_links": p6_links,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
     "p8_summary": p8_summary,
