@@ -7,10 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skriptor.llm import bpe, neardup, packing
+from skriptor.llm import bpe, encoding, forms, neardup, packing
 from skriptor.session import load
 
 
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.unify(load(spark, sf_dir, "obsidian_check"), "note_id").select("note_id", "form", "kinds").dropDuplicates(["note_id"])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = load(spark, sf_dir, "obsidian_check")
+    odd = forms.unify(notes, "note_id").where("size(kinds) > 0").select("note_id", "text")
+    garbled = encoding.find_garbled(odd, encoding.train([(notes, "text")]), "note_id", "text")
+    return odd.select("note_id").distinct().join(garbled.select(F.col("rec_id").alias("note_id")), "note_id", "left_anti")
+
+
+def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes, checks = load(spark, sf_dir, "obsidian_check"), load(spark, sf_dir, "full_check")
+    model = encoding.train([(notes, "text")])
+    a = encoding.find_garbled(notes, model, "note_id", "text").withColumn("table_name", F.lit("obsidian_check"))
+    b = encoding.find_garbled(checks, model, "check_id", "range_name").withColumn("table_name", F.lit("full_check"))
+    return a.union(b)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restored(spark, sf_dir).select("table_name", "rec_id").distinct()
+
+
+def p5_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _restored(spark, sf_dir).dropDuplicates(["table_name", "rec_id"]).select("table_name", "rec_id", "restored", "complete", "pairs")
+
+
 def _checks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return neardup.near_duplicates(load(spark, sf_dir, "full_check"), "check_id", "body", threshold=0.7)
 
@@ -51,6 +78,10 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": p4_found,
+    "p4_forms": p4_forms,
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
     "p6_found": p6_found,
     "p6_classes": p6_classes,
     "p6_links": p6_links,
