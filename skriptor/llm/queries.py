@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skriptor.llm import bpe, encoding, forms, neardup, packing
+from skriptor.llm import bpe, encoding, forms, neardup, packing, stuffing
 from skriptor.session import load
 
 
@@ -77,6 +77,14 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.found(stuffing.collocations(load(spark, sf_dir, "documents"))).select("doc_id").distinct()
+
+
+def p9_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.collocations(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p4_forms": p4_forms,
@@ -87,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_links": p6_links,
     "p7_ids": p7_ids,
     "p8_packed": p8_packed,
+    "p9_found": p9_found,
+    "p9_collocations": p9_collocations,
     "p8_summary": p8_summary,
 }
 
