@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skriptor.llm import bpe, encoding, forms, neardup, packing, stuffing
+from skriptor.llm import bpe, encoding, forms, neardup, packing, quality, stuffing
 from skriptor.session import load
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.found(load(spark, sf_dir, "text_stats"), "stat_id").select("stat_id")
+
+
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.statistics(load(spark, sf_dir, "text_stats"), "stat_id").dropDuplicates(["stat_id"])
+    return quality.outliers(stats, "stat_id")
+
+
 def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.unify(load(spark, sf_dir, "obsidian_check"), "note_id").select("note_id", "form", "kinds").dropDuplicates(["note_id"])
 
@@ -86,6 +95,8 @@ def p9_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p3_found": p3_found,
+    "p3_scores": p3_scores,
     "p4_found": p4_found,
     "p4_forms": p4_forms,
     "p5_found": p5_found,
