@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -20,20 +21,19 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on executors and lineage cuts possible.
 
-    On a cluster the package is shipped once per application, so that Python
-    functions are found by name there.  ``spark.checkpoint.dir`` is used as it is
+    The package is shipped once per application, so that Python workers find its
+    functions by name wherever they run.  ``spark.checkpoint.dir`` is used as it is
     set; only where it is unset (tests, local runs) a private folder is made.
     """
     sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        if sc.applicationId not in _SHIPPED:
-            root = Path(__file__).resolve().parent
-            target = Path(tempfile.mkdtemp(prefix="skriptor")) / "skriptor.zip"
-            with zipfile.ZipFile(target, "w") as z:
-                for p in sorted(root.rglob("*.py")):
-                    z.write(p, p.relative_to(root.parent))
-            sc.addPyFile(str(target))
-            _SHIPPED.add(sc.applicationId)
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="skriptor")) / "skriptor.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        sc.addPyFile(str(target))
+        _SHIPPED.add(sc.applicationId)
     if sc.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None and not sc.master.startswith("local"):
@@ -48,7 +48,9 @@ def cut(df: DataFrame) -> DataFrame:
     Unlike a local checkpoint it outlives lost executors.
     """
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # fresh attributes: joining a checkpoint with itself otherwise fails in the optimizer
+    return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
