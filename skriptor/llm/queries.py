@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skriptor.llm import bpe, encoding, forms, neardup, packing, quality, stuffing
+from skriptor.llm import bpe, encoding, forms, names, neardup, packing, quality, stuffing
 from skriptor.session import load
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = names.linked_pairs(load(spark, sf_dir, "name_registry"), load(spark, sf_dir, "given_names"))
+    return pairs.select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b"))
+
+
+def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.linked_entries(load(spark, sf_dir, "name_registry"), load(spark, sf_dir, "given_names")).withColumnRenamed("id", "entry_id")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.found(load(spark, sf_dir, "text_stats"), "stat_id").select("stat_id")
 
@@ -95,6 +104,8 @@ def p9_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p4_found": p4_found,
