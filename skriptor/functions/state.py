@@ -25,7 +25,7 @@ def masks(text: Column, fences: tuple[str, ...] = ("```", "~~~"), front_matter:
 
     def step(acc: Column, line: Column) -> Column:
         n, held = acc["n"] + 1, acc["open"]
-        bare, lead = T.strip(line), F.substring(F.ltrim(line), 1, 3)
+        bare, lead = T.strip(line), F.substring(F.regexp_replace(line, rf"^[{T.SPACE}]+", ""), 1, 3)
         state = (
             F.when((held == "---") & (bare == "---"), "")
             .when(held == "---", "---")

@@ -53,9 +53,10 @@ def char_findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for order, (name, pattern, skip) in enumerate(ranges):
         exempt = (F.col("n") == 0) & F.col("line").startswith("﻿") if skip else F.lit(False)
         body = F.when(exempt, F.expr("substring(line, 2)")).otherwise(F.col("line"))
-        at = F.regexp_instr(body, F.lit(pattern))
-        hit = F.struct(F.lit(order).alias("order"), (at + F.when(exempt, 1).otherwise(0)).alias("col"), F.regexp_extract(body, pattern, 0).alias("glyph"), F.lit(name).alias("range_name"))
-        found.append(F.when(at > 0, hit))
+        glyph = F.regexp_extract(body, pattern, 0)
+        at = F.call_function("instr", body, glyph)  # in code points, unlike regexp_instr
+        hit = F.struct(F.lit(order).alias("order"), (at + F.when(exempt, 1).otherwise(0)).alias("col"), glyph.alias("glyph"), F.lit(name).alias("range_name"))
+        found.append(F.when(body.rlike(pattern), hit))
     each = lines.select(id_col, (F.col("n") + 1).alias("line_no"), F.substring(T.strip(F.col("line")), 1, 140).alias("context"), F.explode(F.array_compact(F.array(*found))).alias("f"))
     out = each.select(id_col, "line_no", "f.col", "f.glyph", T.code_points(F.col("f.glyph")).alias("codepoints"), "f.range_name", "context", "f.order")
     if cap is not None:
