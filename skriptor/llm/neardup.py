@@ -142,7 +142,7 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, k)
 
 
-def _frequencies(reps: DataFrame, k: int) -> np.ndarray:
+def _frequencies(known: DataFrame, k: int) -> np.ndarray:
     """Posting counts by sketch cell over all texts; the array's size is fixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +153,15 @@ def _frequencies(reps: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    rows = reps.select("sig").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = known.select("sig").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
-def _postings(reps: DataFrame, k: int, t: int) -> DataFrame:
-    """(token, id, n) of the k - t + 1 rarest coordinates of each text."""
-    shared = reps.sparkSession.sparkContext.broadcast(_frequencies(reps, k))
+def _postings(known: DataFrame, reps: DataFrame, k: int, t: int) -> DataFrame:
+    """(token, id, n) of the k - t + 1 rarest coordinates of each representative."""
+    shared = reps.sparkSession.sparkContext.broadcast(_frequencies(known, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = k - t + 1
@@ -177,7 +177,7 @@ def _postings(reps: DataFrame, k: int, t: int) -> DataFrame:
                 ["token", "id", "n"],
             )
 
-    return reps.select("id", "n", "sig").mapInArrow(run, "token bigint, id bigint, n int")
+    return reps.select("id", "d.n", "d.sig").mapInArrow(run, "token bigint, id bigint, n int")
 
 
 def _bloom_of(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
@@ -246,22 +246,21 @@ def near_duplicates(
     num, den = limit.numerator, limit.denominator
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     known = cut(_described(rows, width, min_words, coordinates))
-    classes = known.groupBy("c1", "c2").agg(F.min_by(F.struct("id", "n", "sig"), "id").alias("r"))
-    reps = cut(classes.select("c1", "c2", "r.*"))
-    members = (
-        known.select("id", "c1", "c2").distinct().join(reps.select("c1", "c2", F.col("id").alias("rep"), "n"), ["c1", "c2"]).select("id", "rep", F.col("n").alias("n_shingles"))
-    )
+    named = known.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
+    members = known.select("id", "c1", "c2", "n").distinct().join(named, ["c1", "c2"]).select("id", "rep", F.col("n").alias("n_shingles"))
+    # one shuffle by id serves the postings and both signature look-ups
+    first = known.groupBy("id").agg(F.first(F.struct("n", "sig")).alias("d"))
+    reps = first.join(named.select(F.col("rep").alias("id")), "id")
 
-    posted = _postings(reps, coordinates, matches)
+    posted = _postings(known, reps, coordinates, matches)
     x, y = posted.alias("x"), posted.alias("y")
     smaller, larger = F.least("x.n", "y.n").cast("long"), F.greatest("x.n", "y.n").cast("long")
     hits = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (smaller * den >= larger * num))
     pairs = hits.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
-    sig = reps.select("id", "sig")
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda z: z))
+    agree = F.size(F.filter(F.zip_with("da.sig", "db.sig", lambda p, q: p == q), lambda z: z))
     close = (
-        pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-        .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+        pairs.join(reps.select(F.col("id").alias("a"), F.col("d").alias("da")), "a")
+        .join(reps.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
         .where(agree >= matches)
         .select("a", "b")
     )
