@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriptor.operators import orphans, vault_links
-from skriptor.plans import corpus, prose, vault
+from skriptor.plans import audit, corpus, prose, timeline, vault
 from skriptor.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,6 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_report": p2_report}
-for _part in (corpus, vault, prose):
+for _part in (corpus, vault, prose, audit, timeline):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
