@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FENCES = r"(?ms)^[ \t]*(`{3,}|~{3,})[^\n]*(?:\n.*?^[ \t]*\1[`~]*[ \t]*$|.*\z)"
-INLINE = r"(?s)(?<!`)(`+)(?!`)(?:(?!\n\s*\n).)*?(?<!`)\1(?!`)"
+INLINE = r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)"  # on one line; a class, so that long lines need no deep stack
 WIKI = r"\[\[([^\[\]\n]*)\]\]"
 MARKDOWN = r"(?<!\[)\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]\((<[^<>\n]*>|(?:[^()\n]|\([^()\n]*\))*)\)"
 SCHEME = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)"

@@ -22,16 +22,17 @@ NEVER = "cast('0001-01-01 00:00:00' as timestamp)"
 def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """The rows of ``refs`` without a live parent, with ``proof``.
 
-    refs: ref_group, ref_key, ref_at and any other columns (none named like those
-    of the result or of ``parents``).  parents: ref_group, ref_key, born, gone
+    refs: ref_group, ref_key, ref_at and any other columns, which are kept (but for
+    one named proof).  parents: ref_group, ref_key, born, gone
     (null: still there); a parent is alive at t if born <= t < gone.  ``proof`` is
     bloom (no such parent ever) or join (none alive at ref_at).  References with a
     null group, key or time are left out, as are parents with a null group, key or
     birth.  Repeated references come out as often as they come in.
     """
     prepare(refs.sparkSession)
-    refs = refs.where("ref_group is not null and ref_key is not null and ref_at is not null")
-    extra = [c for c in refs.columns if c not in ("ref_group", "ref_key", "ref_at")]
+    extra = [c for c in refs.columns if c not in ("ref_group", "ref_key", "ref_at", "proof")]
+    kept = F.struct(*[F.col(f"`{c}`") for c in extra]) if extra else F.struct(F.lit(0).alias("_"))
+    refs = refs.where("ref_group is not null and ref_key is not null and ref_at is not null").select("ref_group", "ref_key", "ref_at", kept.alias("r"))
     life = parents.where("ref_group is not null and ref_key is not null and born is not null").select(
         "ref_group", "ref_key", F.col("born").cast("timestamp").alias("t"), F.coalesce(F.col("gone").cast("timestamp"), F.expr(FOREVER)).alias("ends")
     )
@@ -41,7 +42,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     sure = tested.where("not maybe").drop("maybe").withColumn("proof", F.lit("bloom"))
 
     month = F.trunc(F.col("t"), "month").alias("m")
-    asked = tested.where("maybe").select("ref_group", "ref_key", F.col("ref_at").cast("timestamp").alias("t"), F.struct("ref_at", *extra).alias("r"))
+    asked = tested.where("maybe").select("ref_group", "ref_key", F.col("ref_at").cast("timestamp").alias("t"), F.struct("ref_at", "r").alias("r"))
     monthly = life.groupBy("ref_group", "ref_key", month).agg(F.max("ends").alias("ends"))
     wanted = asked.select("ref_group", "ref_key", month).distinct().select("*", F.expr(NEVER).alias("ends"))
     by_month = monthly.union(wanted).groupBy("ref_group", "ref_key", "m").agg(F.max("ends").alias("ends"))
@@ -53,8 +54,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     )
     latest = both.withColumn("latest", F.max("ends").over(within)).where("kind = 1")
     dead = latest.join(before, ["ref_group", "ref_key", "m"], "left").where(F.greatest("latest", F.coalesce("before", F.expr(NEVER))) <= F.col("t"))
-    verified = dead.select("ref_group", "ref_key", F.col("r.ref_at").alias("ref_at"), *[F.col("r")[c].alias(c) for c in extra], F.lit("join").alias("proof"))
-    return sure.unionByName(verified)
+    verified = dead.select("ref_group", "ref_key", F.col("r.ref_at").alias("ref_at"), F.col("r.r").alias("r"), F.lit("join").alias("proof"))
+    return sure.unionByName(verified).select("ref_group", "ref_key", "ref_at", *[F.col("r")[c].alias(c) for c in extra], "proof")
 
 
 def orphan_report(orphans: DataFrame, table_col: str, at_col: str = "ref_at") -> DataFrame:

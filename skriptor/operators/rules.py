@@ -158,8 +158,13 @@ def _yo_pattern(word: str) -> str:
 def yo_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """(cat, wrong, right, n, documents) of spellings met, ё and е told apart."""
     targets = yo_targets() if targets is None else targets
-    each = [F.struct(F.lit(c).alias("cat"), F.lit(w).alias("wrong"), F.lit(r).alias("right"), F.regexp_count(F.col(text_col), F.lit(_yo_pattern(w))).cast("long").alias("n")) for w, r, c in targets]
-    rows = df.where(F.col(text_col).isNotNull()).select(F.explode(F.array(*each)).alias("s")).where("s.n > 0").select("s.*")
+    low = df.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("_t"), F.lower(F.col(text_col)).alias("_l"))
+
+    def counted(w: str, r: str, c: str) -> Column:
+        n = F.regexp_count("_t", F.lit(_yo_pattern(w))).cast("long")
+        return F.struct(F.lit(c).alias("cat"), F.lit(w).alias("wrong"), F.lit(r).alias("right"), F.when(F.col("_l").contains(w.lower()), n).otherwise(F.lit(0).cast("long")).alias("n"))
+
+    rows = low.select(F.explode(F.array(*[counted(*t) for t in targets])).alias("s")).where("s.n > 0").select("s.*")
     return rows.groupBy("cat", "wrong", "right").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
 
 

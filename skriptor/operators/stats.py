@@ -46,7 +46,14 @@ def filler_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     fillers = W.FILLERS_RU if fillers is None else fillers
     low = T.fold_yo(F.lower(F.col(text_col)))
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), low.alias("_t"), F.regexp_count(F.col(text_col), F.lit(T.COUNT_TOKEN)).alias("_w"))
-    each = [F.struct(F.lit(f).alias("filler"), F.regexp_count("_t", F.lit(T.word_bounded(f.lower().replace("ё", "е")))).cast("long").alias("n")) for f in fillers]
+
+    def counted_of(f: str) -> Column:
+        folded = f.lower().replace("ё", "е")
+        n = F.regexp_count("_t", F.lit(T.word_bounded(folded))).cast("long")
+        # most texts hold no filler at all, and looking for a plain word is far cheaper than for a bounded one
+        return F.struct(F.lit(f).alias("filler"), F.when(F.col("_t").contains(folded.split()[0]), n).otherwise(F.lit(0).cast("long")).alias("n"))
+
+    each = [counted_of(f) for f in fillers]
     counted = rows.select(id_col, "_w", F.explode(F.array(*each)).alias("s")).where("s.n > 0")
     rate = F.when(F.col("_w") > 0, F.round(F.lit(1000.0) * F.col("s.n") / F.col("_w"), 1)).otherwise(F.lit(0.0))
     return counted.select(id_col, "s.filler", "s.n", rate.alias("per_1000"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skriptor.operators import chars, dedup, links, markdown, rules
 from skriptor.plans.prose import CLEAN_MAP, PHRASES, RULES
-from skriptor.session import load
+from skriptor.session import load_spread as load
 
 
 def check_all(notes: DataFrame, files: DataFrame, phrases: list[str], rule_list: list[rules.Rule], id_col: str = "note_id") -> DataFrame:

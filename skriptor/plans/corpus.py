@@ -9,7 +9,7 @@ from skriptor.functions import text as T
 from skriptor.functions import words as W
 from skriptor.operators import dedup, echo, stats, style
 from skriptor.plans import sql
-from skriptor.session import load
+from skriptor.session import load_spread as load
 
 
 def text_stats(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from skriptor.functions import text as T
 from skriptor.functions import words as W
 from skriptor.operators import clean, links, markdown, registry, rules
 from skriptor.plans import sql
-from skriptor.session import load
+from skriptor.session import load_spread as load
 
 PHRASES = ["в лодочном сарае", "у северной стены", "ничего не записывай", "below the town hall", "don’t touch it", "спустя неделю", *rules.PHRASE_MAP]
 RULES = rules.make_rules(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skriptor.functions import text as T
 from skriptor.plans import sql
-from skriptor.session import load
+from skriptor.session import load_spread as load
 from skriptor.sources import files
 from skriptor.streaming import watch
 

@@ -9,7 +9,7 @@ from skriptor.functions import links as L
 from skriptor.functions import text as T
 from skriptor.operators import chars, links
 from skriptor.plans import sql
-from skriptor.session import load
+from skriptor.session import load_spread as load
 
 
 def _notes(spark: SparkSession, d: str) -> DataFrame:

@@ -18,6 +18,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """``load``, spread over all cores where the files give fewer splits than there are.
+
+    A single small file would otherwise keep one core busy with every regular
+    expression; a table with splits for all cores isn't shuffled.
+    """
+    df = load(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable on executors and lineage cuts possible.
 

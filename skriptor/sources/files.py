@@ -132,6 +132,7 @@ def read_corpus(spark: SparkSession, root: str, extensions: list[str] | None = N
     """(path, ext, length, text, encoding, bad_line) of the files below a folder; pages come as text.
 
     Files over ``max_bytes`` are left out (0 or None: none is); see ``oversized``.
+    Files without a byte make no split, so they have no row.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(check_root(root))
     kept = listed(files, "path", extensions, limit)
