@@ -33,6 +33,7 @@ COMMON = {
 WORDS = frozenset(" ".join(COMMON.values()).split())
 KNOWN_SHARE = 0.003  # share of a corpus' texts from which a word counts as known
 PROSE_SHARE = 0.6  # found: less than this share of the characters stands in prose lines
+GROUP, GROUP_SHARE = 50, 0.01  # texts, and share of all texts, from which a language is ranked by itself
 OUTLIER = 0.9  # found: mean negative log tail share of at least this
 
 #: Statistic and the tail in which lists, tables and junk lie.
@@ -106,7 +107,8 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(id, lang, words, mean_length, symbols, ends, common, known, per_line, prose) of each text.
 
     Null, empty and blank texts have no row.  ``lang`` is ru or en by script;
-    texts without a word get the language that most texts have.  Rows that repeat
+    texts without a word, and those of a language with too few texts for ranks of
+    its own (GROUP, GROUP_SHARE), count to the language that most texts have.  Rows that repeat
     come out as often as they come in.
     """
     spark = prepare(df.sparkSession)
@@ -124,7 +126,8 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     out = cut(rows.mapInArrow(run, f"key {id_type}, {FIELDS}"))
     counts = {r["lang"]: r["count"] for r in out.where("lang <> ''").groupBy("lang").count().collect()}  # two rows
     usual = max(sorted(counts), key=counts.get) if counts else "en"
-    return out.withColumn("lang", F.when(F.col("lang") == "", usual).otherwise(F.col("lang"))).withColumnRenamed("key", id_col)
+    ranked = [k for k, n in counts.items() if k == usual or n >= max(GROUP, GROUP_SHARE * sum(counts.values()))]
+    return out.withColumn("lang", F.when(F.col("lang").isin(ranked or [usual]), F.col("lang")).otherwise(F.lit(usual))).withColumnRenamed("key", id_col)
 
 
 def tail_shares(stats: DataFrame, id_col: str, tails: dict[str, str] | None = None) -> DataFrame:
