@@ -71,33 +71,41 @@ def spelling_variants(cast: DataFrame) -> DataFrame:
     return each.where(F.size("l") > 1).select("folded", F.transform(F.array_sort("l"), lambda x: x["name"]).alias("spellings"), "n")
 
 
-def terms(entries: DataFrame, fields: dict[str, str] | None = None) -> DataFrame:
-    """(entity, kind, term): every listed spelling of a registry, folded; ``entity`` is the entry's name."""
+def terms(entries: DataFrame, fields: dict[str, str] | None = None, group_col: str | None = None) -> DataFrame:
+    """(entity, kind, term): every listed spelling of a registry, folded; ``entity`` is the entry's name.
+
+    With ``group_col`` (a vault, say) each term also has its ``grp``.
+    """
     fields = FIELDS if fields is None else fields
+    group = [F.col(group_col).alias("grp")] if group_col else []
+    kept = ["grp"] if group_col else []
     each = [F.struct(F.lit(kind).alias("kind"), F.coalesce(F.col(f), F.array().cast("array<string>")).alias("l")) for f, kind in fields.items()]
-    rows = entries.where(r"name rlike '\\S'").select(T.strip(F.col("name")).alias("entity"), F.explode(F.array(*each)).alias("s"))
-    listed = rows.select("entity", "s.kind", F.explode("s.l").alias("t"))
-    return listed.select("entity", "kind", F.array_join(T.matches(T.fold_yo(F.lower("t")), WORD.replace("А-ЯЁа-яёA-Za-z", "а-яa-z")), " ").alias("term")).where("term <> ''").distinct()
+    rows = entries.where(r"name rlike '\\S'").select(*group, T.strip(F.col("name")).alias("entity"), F.explode(F.array(*each)).alias("s"))
+    listed = rows.select(*kept, "entity", "s.kind", F.explode("s.l").alias("t"))
+    return listed.select(*kept, "entity", "kind", F.array_join(T.matches(T.fold_yo(F.lower("t")), WORD.replace("А-ЯЁа-яёA-Za-z", "а-яa-z")), " ").alias("term")).where("term <> ''").distinct()
 
 
-def mentions(df: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = 3) -> DataFrame:
+def mentions(df: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = 3, group_col: str | None = None) -> DataFrame:
     """(id, line_no, entity, kind, term, at): registry terms met in the texts, on whole words, case and ё ignored.
 
     Texts are cut to runs of up to ``max_words`` words without a sign between them
     and joined with the terms by equality, so the cost grows with the texts and not
-    with texts times terms.  A term within a longer one of the same entity and kind
+    with texts times terms; with ``group_col`` only terms of the text's own group
+    (their ``grp``) are met, so a name that many groups use is no hot key.  A term within a longer one of the same entity and kind
     at that place doesn't count again.
     """
-    lines = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(T.lines(T.fold_yo(F.lower(F.col(text_col))))).alias("n", "line"))
-    chunks = lines.select(id_col, (F.col("n") + 1).alias("line_no"), F.posexplode(F.split("line", rf"[^{T.LETTER} -]+|\s-\s")).alias("c", "chunk"))
-    words = chunks.select(id_col, "line_no", "c", T.matches(F.col("chunk"), "[а-яa-z]+(?:-[а-яa-z]+)*").alias("w")).where("size(w) > 0")
+    group = [F.col(group_col).alias("grp")] if group_col else []
+    own = [id_col, *(["grp"] if group_col else [])]
+    lines = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), *group, F.posexplode(T.lines(T.fold_yo(F.lower(F.col(text_col))))).alias("n", "line"))
+    chunks = lines.select(*own, (F.col("n") + 1).alias("line_no"), F.posexplode(F.split("line", rf"[^{T.LETTER} -]+|\s-\s")).alias("c", "chunk"))
+    words = chunks.select(*own, "line_no", "c", T.matches(F.col("chunk"), "[а-яa-z]+(?:-[а-яa-z]+)*").alias("w")).where("size(w) > 0")
     runs = []
     for k in range(1, max_words + 1):
         at = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
         grams = F.transform(at, _gram(k))
         runs.append(F.when(F.size("w") >= k, grams).otherwise(F.array().cast("array<struct<at:int,k:int,term:string>>")))
-    each = words.select(id_col, "line_no", "c", F.explode(F.concat(*runs)).alias("g")).select(id_col, "line_no", "c", "g.at", "g.k", "g.term")
-    hits = each.join(registry, "term")
+    each = words.select(*own, "line_no", "c", F.explode(F.concat(*runs)).alias("g")).select(*own, "line_no", "c", "g.at", "g.k", "g.term")
+    hits = each.join(registry, ["term", *own[1:]])
     same = Window.partitionBy(id_col, "line_no", "c", "entity", "kind").orderBy("at", F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     covered = F.coalesce(F.max(F.col("at") + F.col("k")).over(same), F.lit(0))
     return hits.withColumn("_end", covered).where(F.col("at") >= F.col("_end")).select(id_col, "line_no", "entity", "kind", "term", (F.col("c") * 10000 + F.col("at")).alias("at"))

@@ -100,7 +100,7 @@ def registry_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
-    return registry.mentions(_docs(spark, d), registry.terms(_entries(spark, d)))
+    return registry.mentions(_docs(spark, d), registry.terms(_entries(spark, d), group_col="vault"), group_col="source")
 
 
 def entity_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -224,7 +224,52 @@ _TERMS = "SELECT DISTINCT * FROM (" + " UNION ALL ".join(
     f"SELECT {sql.strip('name')} AS entity, '{k}' AS kind, {_TERM} AS term FROM (SELECT name, unnest({f}) AS t FROM name_registry WHERE regexp_matches(name, '\\S'))" for f, k in registry.FIELDS.items()
 ) + ") WHERE term <> ''"
 
+_SOFT = T.SPACE.replace(r"\t-\r", r"\t\x{0b}-\r")  # white space but for line ends
+_DIRTY = "replace(text, '. ', '.  ') || '  ' || repeat(chr(10), 4) || chr(9) || 'end ' || chr(9)"
+_WHITE = f"regexp_replace(regexp_replace(regexp_replace({_DIRTY}, {sql.lit(f'(?m)[{_SOFT}]+$')}, '', 'g'), '[ \\t]{{2,}}|\\t', ' ', 'g'), '^\\n+', '')"
+_JUNK = "|".join(rf"\{c}(?: *\{c}){{2,}}" for c in clean.SEPARATORS)
+_OWN_TERMS = _TERMS.replace("SELECT DISTINCT * FROM (SELECT", "SELECT DISTINCT * FROM (SELECT vault AS source,", 1).replace("UNION ALL SELECT", "UNION ALL SELECT vault AS source,").replace("(SELECT name, unnest", "(SELECT vault, name, unnest")
+_FOUND = f"""WITH w AS (SELECT doc_id, source, n, c, {sql.all_matches('chunk', '[а-яa-z]+(?:-[а-яa-z]+)*')} AS w FROM (
+SELECT doc_id, source, n, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS c FROM (SELECT doc_id, source, n, regexp_split_to_array(line, {sql.lit(rf'[^{T.LETTER} -]+|[ ]-[ ]')}) AS cs FROM (
+SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, source, {sql.lines(sql.fold('lower(text)'))} AS l FROM documents WHERE text IS NOT NULL))))),
+g AS ({' UNION ALL '.join(f"SELECT doc_id, source, n, c, ap, {k} AS k, array_to_string(w[ap:ap + {k - 1}], ' ') AS term FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS ap FROM w WHERE len(w) >= {k})" for k in (1, 2, 3))}),
+m AS (SELECT *, max(ap + k) OVER (PARTITION BY doc_id, n, c, entity, kind ORDER BY ap, k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM g JOIN ({_OWN_TERMS}) USING (term, source)),
+f AS (SELECT * FROM m WHERE ap >= coalesce(covered, 0))"""
+
+
+def _cast(source: str) -> str:
+    names = f"SELECT doc_id, name, count(*) AS n, count(*) FILTER (i > 1) AS mid FROM (SELECT doc_id, unnest(w) AS name, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(s, '(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])([А-ЯЁ][а-яё]+(?:-[а-яё]+)?)', 1) AS w FROM ({{sents}}))) GROUP BY ALL"
+    pairs = "SELECT unnest(regexp_extract_all(s, '(?:^|[^\\p{{L}}\\p{{N}}\\p{{M}}_])([А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+)', 1)) AS name FROM ({sents})"
+    sents = f"SELECT doc_id, unnest({sql.sentences('text')}) AS s FROM {source} WHERE text IS NOT NULL"
+    names, pairs = names.replace("{sents}", sents).replace("{{", "{").replace("}}", "}"), pairs.replace("{sents}", sents).replace("{{", "{").replace("}}", "}")
+    stops = sql.words_in(sorted(set(W.stop_words(None))))
+    return f"SELECT 'name' AS kind, name, sum(n)::BIGINT AS n FROM ({names}) WHERE NOT ({sql.fold('lower(name)')} IN {stops} AND mid = 0) GROUP BY name UNION ALL SELECT 'pair', name, count(*) FROM ({pairs}) GROUP BY name"
+
+
+def _review() -> str:
+    parts = []
+    for p in PHRASES[:6]:
+        q = p.lower().replace("ё", "е")
+        parts.append(
+            f"SELECT doc_id, n, line, {sql.lit(p)} AS phrase, {len(q)} AS k, unnest(list_transform(range(1, len(string_split(f, {sql.lit(q)}))), lambda i: length(array_to_string(string_split(f, {sql.lit(q)})[1:i], '')) + (i - 1) * {len(q)})) AS pos FROM l WHERE contains(f, {sql.lit(q)})"
+        )
+    lines = f"SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM (SELECT doc_id, {sql.lines('text')} AS ls FROM documents WHERE text IS NOT NULL)"
+    body = sql.strip("line[greatest(pos - 30, 0) + 1:least(pos + k + 30, length(line))]")
+    return f"""WITH l AS (SELECT *, {sql.fold('lower(line)')} AS f FROM ({lines}))
+SELECT doc_id, n AS line_no, phrase, CASE WHEN pos > 30 THEN '…' ELSE '' END || {body} || CASE WHEN pos + k + 30 < length(line) THEN '…' ELSE '' END AS fragment FROM ({' UNION ALL '.join(parts)})"""
+
+
 ORACLE = {
+    "whitespace_clean": f"SELECT doc_id, md5(regexp_replace(regexp_replace({_WHITE}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\n+$', '') || chr(10)) AS cleaned FROM documents WHERE text IS NOT NULL",
+    "entity_matrix": _FOUND + " SELECT entity, doc_id, count(*) AS n FROM f GROUP BY ALL",
+    "consistency": _FOUND + """ SELECT entity, count(*) FILTER (kind = 'ok') AS ok, count(*) FILTER (kind = 'old') AS old, count(*) FILTER (kind = 'dangerous') AS dangerous, count(*) FILTER (kind = 'typo') AS typo,
+count(*) FILTER (kind <> 'ok') > 0 AS "check" FROM f GROUP BY entity""",
+    "cast_list": _cast("documents"),
+    "spelling_variants": f"""SELECT {sql.fold('lower(name)')} AS folded, list(name ORDER BY n DESC, name) AS spellings, sum(n)::BIGINT AS n FROM ({_cast("(SELECT note_id AS doc_id, CASE WHEN note_id % 2 = 0 THEN replace(text, 'ё', 'е') ELSE text END AS text FROM obsidian_check)")})
+WHERE kind = 'name' GROUP BY 1 HAVING count(*) > 1""",
+    "phrase_review": _review(),
+    "missing_forms": f"""SELECT DISTINCT e.entity, [e.entity] AS missing FROM (SELECT {sql.strip('name')} AS entity, forms FROM name_registry WHERE regexp_matches(name, '\\S')) e
+WHERE NOT list_contains(list_transform(coalesce(forms, []), lambda x: lower(x)), lower(entity))""",
     "phrase_totals": _TOTALS,
     "cleaning_plan": f"SELECT t.*, CASE WHEN image IS NULL THEN 'manual' WHEN image = '' THEN 'delete' ELSE 'replace' END AS action, image FROM ({_TOTALS}) t LEFT JOIN {_PLAN} USING (phrase)",
     "rule_counts": f"SELECT cat, level, count(*) AS n FROM ({_HITS}) GROUP BY GROUPING SETS ((level, cat), (level), ())",

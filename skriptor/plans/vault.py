@@ -123,3 +123,10 @@ AND NOT EXISTS (SELECT 1 FROM vault_attachments a WHERE a.vault = l.grp AND lowe
     "backlinks": _GRAPH + """ SELECT n.note, coalesce(i.c, 0) AS incoming, coalesce(o.c, 0) AS outgoing FROM (SELECT DISTINCT note FROM k) n
 LEFT JOIN (SELECT dst, count(*) AS c FROM e WHERE src <> dst GROUP BY 1) i ON n.note = i.dst LEFT JOIN (SELECT src, count(*) AS c FROM e WHERE src <> dst GROUP BY 1) o ON n.note = o.src""",
 }
+
+_ALL_NOTES = "(SELECT DISTINCT note_id, vault, stem, text, created_at, deleted_at FROM obsidian_check)"
+DEAD = f"""WITH r AS (SELECT DISTINCT note_id, grp, made, target, trim(regexp_extract(target, '[^/]*$')) AS key FROM (
+ SELECT note_id, vault AS grp, created_at AS made, unnest(list_concat({_WIKI}, {_MD})) AS target FROM (SELECT note_id, vault, created_at, {_CODE} AS t FROM {_ALL_NOTES} WHERE vault IS NOT NULL AND text IS NOT NULL AND created_at IS NOT NULL)) WHERE target <> ''),
+p AS (SELECT vault AS grp, lower(trim(stem)) AS key, created_at AS born, deleted_at AS gone FROM {_ALL_NOTES} UNION ALL SELECT vault, lower(trim(file_name)), added_at, removed_at FROM vault_attachments)
+SELECT note_id, CASE WHEN regexp_matches(target, '\\.[a-z0-9]*[a-z][a-z0-9]*$') THEN 'vault_attachments' ELSE 'obsidian_check' END AS ref_table, target AS ref_target, strftime(made, '%Y-%m') AS ref_month
+FROM r WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.grp = r.grp AND p.key = r.key AND p.born <= r.made AND (p.gone IS NULL OR p.gone > r.made))"""

@@ -28,6 +28,10 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_report": p2_report}
+ORACLE |= {
+    "p2_found": vault.DEAD,
+    "p2_report": f"SELECT ref_table AS table_name, ref_month AS period, count(*) AS orphans FROM ({vault.DEAD}) GROUP BY ALL",
+}
 for _part in (corpus, vault, prose, audit, timeline):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
