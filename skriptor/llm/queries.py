@@ -122,4 +122,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_summary": p8_summary,
 }
 
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(replace(lower(body), 'ё', 'е'), '[а-яa-z]+')"
+_SETS = f"""WITH w AS (SELECT DISTINCT check_id AS id, {_WORDS} AS w FROM full_check WHERE body IS NOT NULL),
+s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w WHERE len(w) >= 15),
+e AS (SELECT id, len(s) AS n, unnest(s) AS t FROM s),
+p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS n, count(*) AS c FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY ALL)"""
+
+ORACLE: dict[str, str] = {
+    "p6_found": _SETS + " SELECT a AS check_a, b AS check_b FROM p WHERE c * 10 >= (n - c) * 7",
+}
