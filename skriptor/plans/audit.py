@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriptor.operators import chars, dedup, links, markdown, rules
+from skriptor.plans import prose
 from skriptor.plans.prose import CLEAN_MAP, PHRASES, RULES
 from skriptor.session import load_spread as load
 
@@ -55,4 +56,7 @@ def rehearsal(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"audit": audit, "rehearsal": rehearsal}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "rehearsal": f"""SELECT 'phrase' AS source, phrase AS what, action, total AS n FROM ({prose.ORACLE['cleaning_plan']})
+UNION ALL SELECT 'rule', cat, 'cut', count(*) FROM ({prose.RULE_HITS}) WHERE level = 'hard' GROUP BY cat""",
+}

@@ -197,7 +197,7 @@ _TOTALS = " UNION ALL ".join(
 )
 _TOTALS = f"WITH f AS (SELECT {_LOW} AS t FROM documents WHERE text IS NOT NULL) SELECT phrase, sum(n)::BIGINT AS total, count(*) AS documents FROM ({_TOTALS}) WHERE n > 0 GROUP BY phrase"
 _PLAN = "(VALUES " + ", ".join(f"({sql.lit(k)}, {sql.lit(v)})" for k, v in CLEAN_MAP.items()) + ") AS p(phrase, image)"
-_HITS = " UNION ALL ".join(f"SELECT {sql.lit(r.cat)} AS cat, {sql.lit(r.level)} AS level, unnest(regexp_extract_all(text, {sql.lit('(?i)' + r.source)})) AS hit FROM documents" for r in RULES)
+RULE_HITS = " UNION ALL ".join(f"SELECT {sql.lit(r.cat)} AS cat, {sql.lit(r.level)} AS level, unnest(regexp_extract_all(text, {sql.lit('(?i)' + r.source)})) AS hit FROM documents" for r in RULES)
 
 
 def _yo_sql() -> str:
@@ -227,7 +227,7 @@ _TERMS = "SELECT DISTINCT * FROM (" + " UNION ALL ".join(
 _SOFT = T.SPACE.replace(r"\t-\r", r"\t\x{0b}-\r")  # white space but for line ends
 _DIRTY = "replace(text, '. ', '.  ') || '  ' || repeat(chr(10), 4) || chr(9) || 'end ' || chr(9)"
 _WHITE = f"regexp_replace(regexp_replace(regexp_replace({_DIRTY}, {sql.lit(f'(?m)[{_SOFT}]+$')}, '', 'g'), '[ \\t]{{2,}}|\\t', ' ', 'g'), '^\\n+', '')"
-_JUNK = "|".join(rf"\{c}(?: *\{c}){{2,}}" for c in clean.SEPARATORS)
+_JUNK = "|".join(rf"[{c}](?: *[{c}]){{2,}}" if c not in "^]-" else rf"\{c}(?: *\{c}){{2,}}" for c in clean.SEPARATORS)
 _OWN_TERMS = _TERMS.replace("SELECT DISTINCT * FROM (SELECT", "SELECT DISTINCT * FROM (SELECT vault AS source,", 1).replace("UNION ALL SELECT", "UNION ALL SELECT vault AS source,").replace("(SELECT name, unnest", "(SELECT vault, name, unnest")
 _FOUND = f"""WITH w AS (SELECT doc_id, source, n, c, {sql.all_matches('chunk', '[а-яa-z]+(?:-[а-яa-z]+)*')} AS w FROM (
 SELECT doc_id, source, n, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS c FROM (SELECT doc_id, source, n, regexp_split_to_array(line, {sql.lit(rf'[^{T.LETTER} -]+|[ ]-[ ]')}) AS cs FROM (
@@ -259,7 +259,45 @@ def _review() -> str:
 SELECT doc_id, n AS line_no, phrase, CASE WHEN pos > 30 THEN '…' ELSE '' END || {body} || CASE WHEN pos + k + 30 < length(line) THEN '…' ELSE '' END AS fragment FROM ({' UNION ALL '.join(parts)})"""
 
 
+def _rule_clean() -> str:
+    out = "text"
+    for r in RULES:
+        if r.level == "hard":
+            pattern = rf'(?i)[ \t]*(?:{r.source})(?:[ \t]*([\n.,!?;:…—)»"]|\z))?'
+            out = f"regexp_replace({out}, {sql.lit(pattern)}, {sql.lit(r.fix + chr(92) + '1')}, 'g')"
+    return out
+
+
+def _phrase_clean() -> str:
+    out = "text"
+    for phrase in sorted(CLEAN_MAP, key=lambda x: (-len(x), x)):
+        image, p = CLEAN_MAP[phrase], "(?i:" + "".join("[её]" if c in "её" else c for c in phrase) + ")"
+        if image:
+            out = f"regexp_replace({out}, {sql.lit(rf'(^|[.!?{chr(10)}{chr(13)}])([ {chr(9)}]*){p}')}, {sql.lit(chr(92) + '1' + chr(92) + '2' + image[:1].upper() + image[1:])}, 'g')"
+            out = f"regexp_replace({out}, {sql.lit(p)}, {sql.lit(image)}, 'g')"
+        else:
+            out = f"regexp_replace({out}, {sql.lit(rf'([^ {chr(9)}{chr(10)}{chr(13)}])[ {chr(9)}]*{p}[ {chr(9)}]*([^ {chr(9)}{chr(10)}{chr(13)}])')}, {sql.lit(chr(92) + '1 ' + chr(92) + '2')}, 'g')"
+            out = f"regexp_replace({out}, {sql.lit(rf'(^|[{chr(10)}{chr(13)}])[ {chr(9)}]*{p}[ {chr(9)}]*([^ {chr(9)}{chr(10)}{chr(13)}])')}, {sql.lit(chr(92) + '1' + chr(92) + '2')}, 'g')"
+            out = f"regexp_replace({out}, {sql.lit(rf'[ {chr(9)}]*{p}')}, '', 'g')"
+    return out
+
+
+_MARKED = f"regexp_replace(text, {sql.lit(f'(?m)^[{_SOFT}]*(?:{_JUNK})[{_SOFT}]*$')}, chr(1), 'g')"
+_HEAD = "regexp_extract(m, '^[\\n\\x01]*\\x01[\\n\\x01]*')"
+_BODY = "regexp_replace(regexp_replace(m, '^[\\n\\x01]*\\x01[\\n\\x01]*', ''), '[\\n\\x01]*\\x01[\\n\\x01]*\\z', '')"
+_BODY = f"repeat(chr(10), greatest(least(1, length(replace({_HEAD}, chr(1), '')) - length(replace({_HEAD}, chr(10), ''))), 0)) || {_BODY}"
+for _ in range(2):
+    _BODY = f"regexp_replace({_BODY}, '([^\\n\\x01])\\n+\\x01[\\n\\x01]*([^\\n\\x01])', '\\1' || chr(10) || chr(10) || '\\2', 'g')"
+_BODY = f"regexp_replace({_BODY}, '\\n+\\z', '')"
+_SEPARATED = f"""SELECT doc_id, (length(m) - length(replace(m, chr(1), '')))::INT AS removed,
+md5(CASE WHEN NOT contains(m, chr(1)) THEN text WHEN {_BODY} = '' THEN '' WHEN ends_with(text, chr(10)) THEN {_BODY} || chr(10) ELSE {_BODY} END) AS cleaned FROM (SELECT doc_id, text, {_MARKED} AS m FROM documents WHERE text IS NOT NULL)"""
+
 ORACLE = {
+    "separator_clean": _SEPARATED,
+    "rule_clean": f"SELECT doc_id, md5({_rule_clean()}) AS cleaned FROM documents WHERE text IS NOT NULL",
+    "phrase_clean": f"SELECT doc_id, md5({_phrase_clean()}) AS cleaned FROM documents WHERE text IS NOT NULL",
+    "entity_notes": _FOUND + """, x AS (SELECT entity, doc_id, count(*) AS n FROM f GROUP BY ALL)
+SELECT entity, count(*)::INT AS texts, '# ' || entity || chr(10) || string_agg('- [[' || doc_id || ']] — ' || n, chr(10) ORDER BY n DESC, doc_id) AS note FROM x GROUP BY entity""",
     "whitespace_clean": f"SELECT doc_id, md5(regexp_replace(regexp_replace({_WHITE}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\n+$', '') || chr(10)) AS cleaned FROM documents WHERE text IS NOT NULL",
     "entity_matrix": _FOUND + " SELECT entity, doc_id, count(*) AS n FROM f GROUP BY ALL",
     "consistency": _FOUND + """ SELECT entity, count(*) FILTER (kind = 'ok') AS ok, count(*) FILTER (kind = 'old') AS old, count(*) FILTER (kind = 'dangerous') AS dangerous, count(*) FILTER (kind = 'typo') AS typo,
@@ -272,7 +310,7 @@ WHERE kind = 'name' GROUP BY 1 HAVING count(*) > 1""",
 WHERE NOT list_contains(list_transform(coalesce(forms, []), lambda x: lower(x)), lower(entity))""",
     "phrase_totals": _TOTALS,
     "cleaning_plan": f"SELECT t.*, CASE WHEN image IS NULL THEN 'manual' WHEN image = '' THEN 'delete' ELSE 'replace' END AS action, image FROM ({_TOTALS}) t LEFT JOIN {_PLAN} USING (phrase)",
-    "rule_counts": f"SELECT cat, level, count(*) AS n FROM ({_HITS}) GROUP BY GROUPING SETS ((level, cat), (level), ())",
+    "rule_counts": f"SELECT cat, level, count(*) AS n FROM ({RULE_HITS}) GROUP BY GROUPING SETS ((level, cat), (level), ())",
     "yo_counts": _yo_sql(),
     "yo_letters": "SELECT sum(n)::BIGINT AS letters, count(*) FILTER (n > 0) AS documents FROM (SELECT len(regexp_extract_all(text, '[ёЁ]')) AS n FROM documents)",
     "name_candidates": f"SELECT word, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({_SINGLE}) GROUP BY word",
