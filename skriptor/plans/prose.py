@@ -292,7 +292,14 @@ _BODY = f"regexp_replace({_BODY}, '\\n+\\z', '')"
 _SEPARATED = f"""SELECT doc_id, (length(m) - length(replace(m, chr(1), '')))::INT AS removed,
 md5(CASE WHEN NOT contains(m, chr(1)) THEN text WHEN {_BODY} = '' THEN '' WHEN ends_with(text, chr(10)) THEN {_BODY} || chr(10) ELSE {_BODY} END) AS cleaned FROM (SELECT doc_id, text, {_MARKED} AS m FROM documents WHERE text IS NOT NULL)"""
 
+_KIND = rf"""CASE WHEN masked AND regexp_matches(line, '^\s*(?:```|~~~|---\s*$)') THEN 'marker' WHEN masked THEN 'code' WHEN regexp_matches(line, '^#{{1,6}}\s') THEN 'heading'
+WHEN regexp_matches({sql.strip('line')}, '^(?:-{{3,}}|\*{{3,}}|_{{3,}}|(?:\* ){{2,}}\*)$') THEN 'rule' WHEN regexp_matches(line, '^\s*[-*+]\s') THEN 'bullet' WHEN regexp_matches(line, '^\s*\d+[.)]\s') THEN 'number'
+WHEN regexp_matches(line, '^\s*>') THEN 'quote' WHEN starts_with({sql.strip('line')}, '|') THEN 'table' ELSE 'text' END"""
+_BLOCKS = rf"""SELECT kind, CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^#{{1,6}}')) WHEN kind IN ('bullet', 'number') THEN floor(length(regexp_extract(line, '^\s*')) / 2) + 1 ELSE 0 END::INT AS level, doc_id
+FROM (SELECT *, {_KIND} AS kind FROM {sql.masked_lines('documents', 'doc_id')} WHERE {sql.strip('line')} <> '') WHERE kind <> 'marker'"""
+
 ORACLE = {
+    "markdown_blocks": f"SELECT kind, level, count(*) AS n, count(DISTINCT doc_id) AS documents FROM ({_BLOCKS}) GROUP BY ALL",
     "separator_clean": _SEPARATED,
     "rule_clean": f"SELECT doc_id, md5({_rule_clean()}) AS cleaned FROM documents WHERE text IS NOT NULL",
     "phrase_clean": f"SELECT doc_id, md5({_phrase_clean()}) AS cleaned FROM documents WHERE text IS NOT NULL",

@@ -50,14 +50,18 @@ def bounded_count(x: str, phrase: str) -> str:
     return f"len(regexp_extract_all(' ' || {spread} || ' ', {lit(f'[^{T.LETTER}]{gap}[^{T.LETTER}]')}))"
 
 
-def state_lines(source: str, key: str) -> str:
-    """(key, n, line) outside front matter and fences; a text has fences of one kind of marker here."""
-    return f"""(SELECT {key}, n, line FROM (SELECT *, sum(CASE WHEN fence AND NOT matter THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY n) AS fences FROM (
+def masked_lines(source: str, key: str) -> str:
+    """(key, n, line, masked): masked in front matter and fences; a text has fences of one kind of marker here."""
+    return f"""(SELECT {key}, n, line, matter OR fence OR fences % 2 = 1 AS masked FROM (SELECT *, sum(CASE WHEN fence AND NOT matter THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY n) AS fences FROM (
  SELECT *, opened AND (dashes <= 1 OR (dashes = 2 AND dash)) AS matter FROM (
   SELECT *, max(CASE WHEN n = 1 AND dash THEN 1 ELSE 0 END) OVER (PARTITION BY {key}) = 1 AS opened, sum(dash::INT) OVER (PARTITION BY {key} ORDER BY n) AS dashes FROM (
    SELECT {key}, n, line, {strip('line')} = '---' AS dash, regexp_matches(line, {lit(rf'^[{T.SPACE}]*(?:```|~~~)')}) AS fence
-   FROM (SELECT {key}, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT {key}, string_split(text, chr(10)) AS l FROM {source} WHERE text IS NOT NULL))))))
- WHERE NOT matter AND NOT fence AND fences % 2 = 0)"""
+   FROM (SELECT {key}, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT {key}, string_split(text, chr(10)) AS l FROM {source} WHERE text IS NOT NULL)))))))"""
+
+
+def state_lines(source: str, key: str) -> str:
+    """(key, n, line) outside front matter and fences."""
+    return f"(SELECT {key}, n, line FROM {masked_lines(source, key)} WHERE NOT masked)"
 
 
 def paragraphs(source: str, key: str) -> str:
