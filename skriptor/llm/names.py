@@ -36,27 +36,34 @@ KINDS = "издательство изд-во артель арт гильдия
 SUFFIXES = {"сыновья": "sons", "synovya": "sons", "sons": "sons", "daughters": "daughters", "партнёры": "partners", "partnery": "partners", "partners": "partners"}
 LINKS = "и i and & y"
 
-# Cyrillic letters in Latin, before the spellings of transliterations are made alike.
-CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхцчшщыэюяё", "a b v g d e zh z i i k l m n o p r s t u f h c ch sh sch i e iu ia e".split())) | {"ъ": "", "ь": ""}
-ALIKE = [("shch", "sch"), ("šč", "sch"), ("ž", "zh"), ("š", "sh"), ("č", "ch"), ("kh", "h"), ("x", "h"), ("ts", "c"), ("yu", "iu"), ("ju", "iu"), ("ya", "ia"), ("ja", "ia"), ("ye", "e"), ("je", "e"), ("y", "i"), ("j", "i"), ("'", ""), ("’", "")]
+# Cyrillic letters in a Latin alphabet in which each has one sign, so that one typing error stays one
+# error, and the usual transliterations of these letters, longest first.
+CYRILLIC = dict(zip("абвгдежзийклмнопрстуфхчшщыэюяё", "abvgdeʒziiklmnoprstufhʧʃɕieʉɐe")) | {"ц": "ts", "ъ": "", "ь": ""}
+ALIKE = [("shch", "ɕ"), ("sch", "ɕ"), ("zh", "ʒ"), ("kh", "h"), ("ch", "ʧ"), ("sh", "ʃ"), ("x", "h"), ("yu", "ʉ"), ("ju", "ʉ"), ("iu", "ʉ"), ("ya", "ɐ"), ("ja", "ɐ"), ("ia", "ɐ"), ("ye", "e"), ("je", "e"), ("iy", "i"), ("ij", "i"), ("yy", "i"), ("y", "i"), ("j", "i")]
 PATRONYMIC = re.compile(r"(?:ович|евич|ич|овна|евна|ична|инична|ovich|evich|ovna|evna|ichna)$")
 
 
-def skeleton(word: str) -> str:
-    """A word in lower-case Latin letters with the usual transliterations made alike."""
+def _is_cyrillic(s: str) -> bool:
+    return any("а" <= c <= "я" or c == "ё" for c in s.lower())
+
+
+def skeleton(word: str, transliterated: bool = False) -> str:
+    """A word in one small alphabet; a Latin word is read as a transliteration only if it is said to be one."""
     w = unicodedata.normalize("NFC", unicodedata.normalize("NFKC", word)).lower()
-    cyrillic = any("а" <= c <= "я" or c == "ё" for c in w)
-    w = "".join(CYRILLIC.get(c, c) for c in w)
-    if not cyrillic:
+    if _is_cyrillic(w):
+        w = w.replace("ий", "и").replace("ый", "и")
+        w = "".join(CYRILLIC.get(c, c) for c in w)
+    elif transliterated:
         w = re.sub(r"(?<=[bcdfghklmnpqrstvwxz])[yj]o", "e", w)
         for a, b in ALIKE:
             w = w.replace(a, b)
     w = "".join(c for c in unicodedata.normalize("NFD", w) if c.isalnum())
-    return re.sub(r"i+", "i", w)
+    return w.replace("iɐ", "ɐ").replace("iʉ", "ʉ") if transliterated or _is_cyrillic(word) else w
 
 
 _TITLES = frozenset(map(skeleton, TITLES.split()))
-_KINDS = frozenset(map(skeleton, KINDS.split())) | {skeleton(x) for x in ("izdatelstvo", "artel", "gildiya", "masterskaya", "tovarishchestvo")}
+_RU_KINDS = frozenset(skeleton(x, True) for x in ("izdatelstvo", "artel", "gildiya", "masterskaya", "tovarishchestvo"))
+_KINDS = frozenset(map(skeleton, KINDS.split())) | _RU_KINDS
 _SUFFIXES = {skeleton(k): v for k, v in SUFFIXES.items()}
 _LINKS = frozenset(LINKS.split())
 
@@ -75,12 +82,19 @@ def words_of(raw: str) -> tuple[list[str], bool]:
     return [w for _, w in (kept or out)], comma and bool(first) and len(first) < len(kept)
 
 
-def parse(raw: str, kind: str | None, given: set[str]) -> tuple[str, str, str] | None:
+def parse(raw: str, kind: str | None, given: set[str], russian: set[str] = frozenset()) -> tuple[str, str, str] | None:
     """(type, first, second): person p (given, surname), initial i (letter, surname) or
-    organisation o (kind and suffix, core); None for what proves nothing."""
+    organisation o (kind and suffix, core); None for what proves nothing.
+
+    ``russian``: the given names met in Cyrillic; a Latin name with one of them is a transliteration.
+    """
     words, comma = words_of(raw)
     low = [w.lower().rstrip(".") for w in words]
     skel = [skeleton(w) for w in words]
+    if not _is_cyrillic(raw):
+        read = [skeleton(w, True) for w in words]
+        if any(m in _RU_KINDS or len(m) > 2 and m in russian and not (m == s and s in given - russian) for m, s in zip(read, skel)):
+            skel = read
     if any(s in _KINDS for s in skel) and len(words) > 1 and (kind == "org" or any(s in _SUFFIXES for s in skel) or len(words) > 1):
         kinds = sorted(s[0] for s, w in zip(skel, low) if s in _KINDS)[:1]
         suffix = sorted(_SUFFIXES[s] for s in skel if s in _SUFFIXES)[:1]
@@ -128,8 +142,8 @@ def within_one(a: str, b: str) -> bool:
 class Lexicon:
     """Given names and the pairs of a name and its pet form; bounded by GIVEN_SHARE."""
 
-    def __init__(self, given: set[str], pets: set[tuple[str, str]]):
-        self.given = given
+    def __init__(self, given: set[str], pets: set[tuple[str, str]], russian: set[str] = frozenset()):
+        self.given, self.russian = given, russian
         self.other: dict[str, set[str]] = {}
         for a, b in pets:
             self.other.setdefault(a, set()).add(b)
@@ -168,7 +182,7 @@ class Lexicon:
         if b in self.other.get(a, ()):
             return cost + PET
         if self.other.get(a, set()) & self.other.get(b, set()):
-            return cost + 2 * PET
+            return cost + 4 * PET  # by way of a name that neither is
         same = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         if a not in self.given and same >= 2 and same >= min(len(a), len(b)) - 2 and a != b:
             return cost + START
@@ -192,11 +206,12 @@ def spellings(entries: DataFrame) -> DataFrame:
 def learn(rows: DataFrame, table: DataFrame | None) -> Lexicon:
     """Given names: those of ``table`` and words that stand with many others; pet forms: of the
     table, and pairs of given names that two or more entries list with the same surname."""
-    given, pets = set(), set()
+    given, pets, russian = set(), set(), set()
     if table is not None:
         for r in table.select("given_name", "short_name").distinct().collect():  # a fixed list of names
             a, b = skeleton(r["given_name"] or ""), skeleton(r["short_name"] or "")
             given |= {a, b} - {""}
+            russian |= {x for x, raw in ((a, r["given_name"]), (b, r["short_name"])) if x and _is_cyrillic(raw)}
             if a and b and a != b:
                 pets.add((a, b))
 
@@ -206,13 +221,16 @@ def learn(rows: DataFrame, table: DataFrame | None) -> Lexicon:
             for i, s, raw in zip(x["id"], x["source"], x["raw"]):
                 w = [skeleton(t) for t in words_of(raw)[0]]
                 if len(w) == 2 and min(map(len, w)) > 1 and not any(t in _KINDS or t in _SUFFIXES for t in w):
-                    got += [(i, s, w[0], w[1]), (i, s, w[1], w[0])]
-            yield pd.DataFrame(got, columns=["id", "source", "a", "b"])
+                    own = _is_cyrillic(raw)
+                    got += [(i, s, w[0], w[1], own), (i, s, w[1], w[0], own)]
+            yield pd.DataFrame(got, columns=["id", "source", "a", "b", "cyrillic"])
 
-    pairs = cut(rows.where("source <> 'typo' and (kind is null or kind <> 'org')").mapInPandas(two, "id bigint, source string, a string, b string"))
+    pairs = cut(rows.where("source <> 'typo' and (kind is null or kind <> 'org')").mapInPandas(two, "id bigint, source string, a string, b string, cyrillic boolean"))
     partners = pairs.select("a", "b").distinct()
     least = max(GIVEN_PARTNERS, GIVEN_SHARE * partners.count() / 2)
-    given |= {r["a"] for r in partners.groupBy("a").count().where(F.col("count") >= least).collect()}  # at most 2 / GIVEN_SHARE words
+    often = pairs.groupBy("a").agg(F.count_distinct("b").alias("n"), F.max("cyrillic").alias("cyrillic")).where(F.col("n") >= least).collect()  # at most 2 / GIVEN_SHARE words
+    given |= {r["a"] for r in often}
+    russian |= {r["a"] for r in often if r["cyrillic"]}
     names = pairs.sparkSession.createDataFrame([(g,) for g in sorted(given)] or [("",)], "a string")
     told = pairs.where("source in ('name', 'form')").select("id", "a", "b").distinct()
     x, y = told.join(F.broadcast(names), "a").alias("x"), told.alias("y")
@@ -220,13 +238,13 @@ def learn(rows: DataFrame, table: DataFrame | None) -> Lexicon:
     learned = both.groupBy(F.col("x.a").alias("a"), F.col("y.a").alias("b")).agg(F.countDistinct("x.b").alias("n"))
     support = max(2, PET_SHARE * partners.count())  # bounds the number of pairs as well
     pets |= {(r["a"], r["b"]) for r in learned.where(F.col("n") >= support).collect() if r["b"] in given or not within_one(r["a"], r["b"])}
-    return Lexicon(given, pets)
+    return Lexicon(given, pets, russian)
 
 
 def _parsed(rows: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
-            got = [(i, s, *p) for i, k, s, raw in zip(x["id"], x["kind"], x["source"], x["raw"]) if (p := parse(raw, k, shared.value.given))]
+            got = [(i, s, *p) for i, k, s, raw in zip(x["id"], x["kind"], x["source"], x["raw"]) if (p := parse(raw, k, shared.value.given, shared.value.russian))]
             yield pd.DataFrame(got, columns=["id", "source", "type", "first", "second"])
 
     out = rows.mapInPandas(run, "id bigint, source string, type string, first string, second string")

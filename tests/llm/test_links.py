@@ -123,8 +123,8 @@ def test_names(spark):
 
 
 def test_name_parts():
-    given = {"nikolai", "petr"}
-    assert names.skeleton("Шихафапенов") == names.skeleton("Shikhafapenov")
+    given = {names.skeleton(x) for x in ("Николай", "Пётр")}
+    assert names.skeleton("Шихафапенов") == names.skeleton("Shikhafapenov", True) and names.skeleton("Benjamin") == "benjamin"
     assert names.parse("И.Петров", None, given) == ("i", "i", "petrov")
     assert names.parse("Коля", None, given) is None
     assert names.parse("", None, given) is None
