@@ -28,6 +28,14 @@ def build(keys: DataFrame, key: list[str], count: int | None = None) -> tuple[np
     return out.view(np.uint64), bits
 
 
+def hits(words: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
+    """For each key, given by its bit positions, whether it may be in the filter."""
+    ok = np.ones(len(bits[0]), bool)
+    for b in bits:
+        ok &= (words[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return ok
+
+
 def probe(df: DataFrame, key: list[str], words: np.ndarray, bits: int, out: str = "maybe") -> DataFrame:
     """``df`` with a boolean column: false is certain, true is to be verified."""
     shared = df.sparkSession.sparkContext.broadcast(words)
@@ -37,10 +45,7 @@ def probe(df: DataFrame, key: list[str], words: np.ndarray, bits: int, out: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = np.ones(batch.num_rows, bool)
-            for n in names:
-                b = batch.column(n).to_numpy()
-                ok &= (shared.value[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
+            ok = hits(shared.value, [batch.column(n).to_numpy() for n in names])
             kept = [c for c in batch.schema.names if c not in names]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(ok)], [*kept, out])
 

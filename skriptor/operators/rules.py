@@ -101,8 +101,9 @@ def rule_clean(text: Column, rules: list[Rule]) -> Column:
     return text
 
 
-def phrase_totals(df: DataFrame, phrases: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def phrase_totals(df: DataFrame, phrases: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(phrase, total, documents): occurrences, case and ё ignored; overlapping phrases count each for itself."""
+    phrases = STOCK_PHRASES if phrases is None else phrases
     folded = T.fold_yo(F.lower(F.col(text_col)))
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), folded.alias("_t"))
     each = [F.struct(F.lit(p).alias("phrase"), T.phrase_count(F.col("_t"), p.lower().replace("ё", "е")).alias("n")) for p in phrases]
@@ -191,3 +192,14 @@ PHRASE_MAP = {
     "давайте рассмотрим": "рассмотрим", "давайте разберёмся": "разберёмся", "перейдём к следующему": "далее", "с одной стороны": "", "с другой стороны": "зато",
     "тем не менее,": "однако", "в целом, можно сказать, что": "", "можно с уверенностью сказать, что": "",
 }
+
+# Stock phrases of generated text, set descriptions and officialese; the default list to look for.
+STOCK_PHRASES = [
+    "стоит отметить, что", "важно отметить, что", "необходимо отметить", "следует отметить", "в заключение стоит сказать", "подводя итог", "таким образом,", "в конечном итоге", "в целом, можно сказать",
+    "с одной стороны", "с другой стороны", "тем не менее,", "однако, важно понимать", "не секрет, что", "давайте рассмотрим", "давайте разберёмся", "перейдём к следующему",
+    "особое внимание", "играет важную роль", "играет ключевую роль", "в современном мире", "в наше время", "на сегодняшний день", "по сей день", "в последние годы", "все чаще и чаще", "широко распространено", "с каждым днем",
+    "в рамках данного", "в рамках реализации", "в целях повышения", "в соответствии с требованиями", "в связи с вышеизложенным", "осуществляет деятельность", "осуществление деятельности", "имеет место быть",
+    "данный метод позволяет", "данный подход позволяет", "данный вопрос требует", "в процессе работы над данным", "комплексный подход", "эффективное решение", "инновационные технологии", "оптимизация процессов",
+    "выполнение поставленных задач", "реализация поставленных задач", "представляет собой", "в случае возникновения", "при необходимости можно", "является целесообразным", "целесообразно рассмотреть", "необходимо провести",
+    "существует необходимость", "имеет большое значение", "имеет огромное значение", "не вызывает сомнений", "трудно переоценить", "как известно,", "известно, что",
+]
