@@ -199,6 +199,10 @@ class Model:
         for p, q, least in ((letter, small, 1e-3), (small, letter, 1e-2), (large, letter, 1e-2)):  # accents in Latin words
             at = p[:, None] & q[None, :]
             clean[at] = np.maximum(clean[at], np.log(least))
+        # rare names: any small letter may follow a letter of its script
+        small_letter = np.array([False, False, *(c.islower() for c in chars)])
+        natural = (script[:, None] > 0) & (script[:, None] == script[None, :]) & small_letter[None, :]
+        clean[natural] = np.maximum(clean[natural], np.log(1e-3))
         mixed = (script[:, None] > 0) & (script[None, :] > 0) & (script[:, None] != script[None, :])
         clean[mixed] = np.maximum(clean[mixed], np.log(2e-4))
 
@@ -343,6 +347,8 @@ def judge(model: Model, texts: list[str]) -> list[tuple | None]:
         edges = np.flatnonzero(np.diff(path)) + 1
         for a, b in zip([0, *edges], [*edges, len(path)]):
             state, piece = int(path[a]), text[a:b]
+            if state > 1 and sum(ord(c) > 127 for c in piece) < 2:
+                state = 0  # one odd character is no wrong decoding
             if state == 1:
                 whole = False
             elif state > 1:
@@ -351,7 +357,8 @@ def judge(model: Model, texts: list[str]) -> list[tuple | None]:
             if state:
                 found.add(STATES[state])
             parts.append(piece)
-        out[i] = ("".join(parts), whole, sorted(found))
+        if found:
+            out[i] = ("".join(parts), whole, sorted(found))
     return out
 
 

@@ -21,17 +21,16 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skriptor.functions import bloom
 from skriptor.session import cut, prepare
 
 COORDINATES, MATCHES = 24, 8
 SKETCH_BITS = 17  # cells of the frequency sketch that orders postings
-BLOOM_BITS_EACH, BLOOM_MAX_BITS = 12, 1 << 29  # at most 64 MB are broadcast
 CLASS_BLOCK = 256  # members of a class of copies handled by one task row
 CHUNK_CHARS = 4_000_000
 
@@ -180,37 +179,15 @@ def _postings(known: DataFrame, reps: DataFrame, k: int, t: int) -> DataFrame:
     return reps.select("id", "d.n", "d.sig").mapInArrow(run, "token bigint, id bigint, n int")
 
 
-def _bloom_of(ids: DataFrame, count: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter of bigint ``id``; its size follows their number up to a bound."""
-    bits = 1 << max(16, min(BLOOM_MAX_BITS, max(1, count) * BLOOM_BITS_EACH).bit_length())
-    words = bits // 64
-    slices = ids.select(F.explode(F.array(*[F.shiftrightunsigned(F.xxhash64("id", F.lit(i)), 64 - bits.bit_length() + 1) for i in range(3)])).alias("bit"))
-    rows = (
-        slices.groupBy(F.expr("bit div 64").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
-        .toPandas()
-    )
-    out = np.zeros(words, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
-    return out.view(np.uint64), bits
-
-
-def _in_bloom(bloom: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
-    ok = np.ones(len(bits[0]), bool)
-    for b in bits:
-        ok &= (bloom[b >> 6] >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
-    return ok
-
-
 def _sets_of(df: DataFrame, ids: DataFrame, width: int, min_words: int) -> DataFrame:
     """(id, s array<bigint>) of the rows whose id may be among ``ids``."""
-    bloom, bits = _bloom_of(ids, ids.count())
-    shared = df.sparkSession.sparkContext.broadcast(bloom)
-    probes = [F.shiftrightunsigned(F.xxhash64("id", F.lit(i)), 64 - bits.bit_length() + 1).alias(f"b{i}") for i in range(3)]
+    words, bits = bloom.build(ids, ["id"])
+    shared = df.sparkSession.sparkContext.broadcast(words)
+    probes = [p.alias(f"b{i}") for i, p in enumerate(bloom.positions([F.col("id")], bits))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maybe = np.flatnonzero(_in_bloom(shared.value, [batch.column(i).to_numpy() for i in (2, 3, 4)]))
+            maybe = np.flatnonzero(bloom.hits(shared.value, [batch.column(i).to_numpy() for i in range(2, 2 + bloom.PROBES)]))
             if not len(maybe):
                 continue
             for ids_, texts in _pieces(batch.select([0, 1]).take(pa.array(maybe))):
