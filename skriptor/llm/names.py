@@ -241,6 +241,12 @@ def learn(rows: DataFrame, table: DataFrame | None) -> Lexicon:
     return Lexicon(given, pets, russian)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores: few bytes, but much work in Python for each."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _parsed(rows: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -260,7 +266,7 @@ def _candidates(spelt: DataFrame, shared, own: bool) -> DataFrame:
             yield pd.DataFrame(got, columns=["key", *x.columns])
 
     fields = "m bigint, type string, first string, second string, n bigint, spelt bigint"
-    keys = spelt.select("m", "type", "first", "second", "n", "spelt").mapInPandas(keyed, "key string, " + fields)
+    keys = _spread(spelt.select("m", "type", "first", "second", "n", "spelt")).mapInPandas(keyed, "key string, " + fields)
     x = keys.select("key", F.struct("m", "type", "first", "second", "n", "spelt").alias("v"))
     y = keys.where("type <> 'i'").select("key", F.struct("m", "type", "first", "second", "n", "spelt").alias("c"))
     met = x.join(y, "key").where("v.m <> c.m").select("v", "c").distinct()
@@ -298,7 +304,7 @@ def linked_entries(entries: DataFrame, given_names: DataFrame | None = None) ->
     that repeat an entry_id count once.  Columns: entry_id, name, forms, old_forms, typos, kind.
     """
     spark = prepare(entries.sparkSession)
-    rows = cut(spellings(entries))
+    rows = cut(_spread(spellings(entries)))
     lexicon = learn(rows, given_names)
     shared = spark.sparkContext.broadcast(lexicon)
     parsed = cut(_parsed(rows, shared))

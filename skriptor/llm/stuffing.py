@@ -36,7 +36,10 @@ SLACK = 1.5  # repetitions allowed beyond the expected
 CHUNK_CHARS = 1_500_000
 
 # Decision: see found().
-REPEATED, REPEATED_SOME, REPEATED_LINKS, RARE, TAGS, LINKS, SPREAD, TOO_HIGH = 0.45, 0.145, 0.09, 0.2, 0.3, 0.14, 3.7, 7.0
+TAGS, LINKS, REPEATED_LINKS = 0.3, 0.14, 0.09  # share of tags; share of links, with so much repetition
+REPEATED, RARE, TOO_HIGH = 0.3, 0.3, 6.5  # repetition alone; more rare pairs or information is foreign or garbled text
+SPREAD, WEIGHT = 3.7, 0.25  # see found()
+WEAKER = [(0.1, 0.05, 0.3), (0.1, 0.03, 0.2), (0.075, 0.015, 0.16)]  # least repetition, most rare pairs, least score
 
 _RAW = re.compile(r"""(?:https?://|www\.)[^\s<>"')\]]+|\#?[^\W_](?:[\w.'’-]*[^\W_])?(?:/[\w./?=&%-]+)?""")
 _TAG = re.compile(r"""<(?:a\s[^<>]*?href\s*=\s*["']([^"'<>]*)["'][^<>]*|/?[a-z!][^<>]*)>""", re.I)
@@ -197,18 +200,24 @@ def collocations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def found(scores: DataFrame, min_pairs: int = 5) -> DataFrame:
     """The rows of ``collocations`` that are stuffed pages, with the reason.
 
-    The bound for "far above prose" is set by the corpus itself: the 30 % point of
-    the texts' mean information plus SPREAD times its distance from the 5 % point,
-    so that it holds for a corpus with a third of its texts stuffed.
+    Repetition far beyond the corpus' is enough by itself.  Less of it counts
+    together with a mean information far above prose, in texts that hardly have a
+    rare pair.  "Far above prose" is set by the corpus itself: the 30 % point of the
+    texts' mean information plus SPREAD times its distance from the 5 % point, so
+    that it holds for a corpus with a third of its texts stuffed.
     """
     scores = cut(scores)
-    q = scores.where(f"pairs >= 20 and rare <= {RARE}").agg(F.percentile_approx("information", [0.05, 0.3], 10_000).alias("q")).first()["q"]
+    q = scores.where("pairs >= 20 and rare <= 0.2").agg(F.percentile_approx("information", [0.05, 0.3], 10_000).alias("q")).first()["q"]
     bound = q[1] + SPREAD * max(q[1] - q[0], 0.05) if q else 4.0
-    known = (F.col("rare") <= RARE) & (F.col("information") <= TOO_HIGH)
+    repeated, rare, information = F.col("repeated"), F.col("rare"), F.col("information")
+    score = repeated + WEIGHT * (information - bound)
+    weaker = F.lit(False)
+    for least, most, need in WEAKER:
+        weaker |= (repeated >= least) & (rare <= most) & (score >= need)
     reason = (
-        F.when((F.col("links") >= LINKS) & (F.col("repeated") >= REPEATED_LINKS), "links")
+        F.when((F.col("links") >= LINKS) & (repeated >= REPEATED_LINKS), "links")
         .when(F.col("tags") >= TAGS, "tags")
-        .when(known & (F.col("repeated") >= REPEATED), "repetition")
-        .when(known & (F.col("repeated") >= REPEATED_SOME) & (F.col("information") >= bound), "collocations")
+        .when((information <= TOO_HIGH) & (rare <= RARE) & (repeated >= REPEATED), "repetition")
+        .when((information <= TOO_HIGH) & weaker, "collocations")
     )
     return scores.where(F.col("pairs") >= min_pairs).withColumn("reason", reason).where("reason is not null")
