@@ -91,7 +91,7 @@ def cast_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spelling_variants(spark: SparkSession, d: str) -> DataFrame:
-    notes = load(spark, d, "obsidian_check").select(F.col("note_id").alias("doc_id"), F.when(F.col("note_id") % 2 == 0, F.translate("text", "ё", "е")).otherwise(F.col("text")).alias("text"))
+    notes = load(spark, d, "obsidian_check").select(F.col("note_id").alias("doc_id"), F.when(F.col("deleted_at").isNotNull(), F.translate("text", "ё", "е")).otherwise(F.col("text")).alias("text"))
     return registry.spelling_variants(registry.cast_list(notes))
 
 
@@ -158,7 +158,8 @@ def mass_replace(spark: SparkSession, d: str) -> DataFrame:
 
 def selective_clean(spark: SparkSession, d: str) -> DataFrame:
     lines = state.numbered_lines(_docs(spark, d), "doc_id", "text")
-    chosen = rules.phrase_review(_docs(spark, d), ["в лодочном сарае"]).where("line_no % 2 = 1")
+    found = rules.phrase_review(_docs(spark, d), ["в лодочном сарае"])
+    chosen = found.groupBy("doc_id", "phrase").agg(F.min("line_no").alias("line_no"))  # the first line of each text
     return clean.apply_selection(lines, chosen, CLEAN_MAP).select("doc_id", F.md5("text_new").alias("text_new"))
 
 
@@ -310,7 +311,7 @@ SELECT entity, count(*)::INT AS texts, '# ' || entity || chr(10) || string_agg('
     "consistency": _FOUND + """ SELECT entity, count(*) FILTER (kind = 'ok') AS ok, count(*) FILTER (kind = 'old') AS old, count(*) FILTER (kind = 'dangerous') AS dangerous, count(*) FILTER (kind = 'typo') AS typo,
 count(*) FILTER (kind <> 'ok') > 0 AS "check" FROM f GROUP BY entity""",
     "cast_list": _cast("documents"),
-    "spelling_variants": f"""SELECT {sql.fold('lower(name)')} AS folded, list(name ORDER BY n DESC, name) AS spellings, sum(n)::BIGINT AS n FROM ({_cast("(SELECT note_id AS doc_id, CASE WHEN note_id % 2 = 0 THEN replace(text, 'ё', 'е') ELSE text END AS text FROM obsidian_check)")})
+    "spelling_variants": f"""SELECT {sql.fold('lower(name)')} AS folded, list(name ORDER BY n DESC, name) AS spellings, sum(n)::BIGINT AS n FROM ({_cast("(SELECT note_id AS doc_id, CASE WHEN deleted_at IS NOT NULL THEN replace(text, 'ё', 'е') ELSE text END AS text FROM obsidian_check)")})
 WHERE kind = 'name' GROUP BY 1 HAVING count(*) > 1""",
     "phrase_review": _review(),
     "missing_forms": f"""SELECT DISTINCT e.entity, [e.entity] AS missing FROM (SELECT {sql.strip('name')} AS entity, forms FROM name_registry WHERE regexp_matches(name, '\\S')) e

@@ -33,7 +33,7 @@ def corpus_listing(spark: SparkSession, d: str) -> DataFrame:
 def recoded(spark: SparkSession, d: str) -> DataFrame:
     """Every text as bytes of one of several encodings, found out and decoded again."""
     codes = spark.createDataFrame([(0, "utf-8"), (1, "windows-1251"), (2, "KOI8-R")], "k int, code string")
-    raw = load(spark, d, "documents").where("text is not null").withColumn("k", (F.col("doc_id") % 3).cast("int")).join(F.broadcast(codes), "k")
+    raw = load(spark, d, "documents").where("text is not null").withColumn("k", F.when(F.col("lang") == "ru", 1).when(F.col("lang") == "en", 0).otherwise(2)).join(F.broadcast(codes), "k")
     content = F.when(F.col("k") == 0, F.encode("text", "utf-8")).otherwise(_encoded(F.col("text"), F.col("k")))
     got = files.decoded(raw.select("doc_id", F.col("text").alias("original"), F.lit("a.txt").alias("path"), content.alias("content")))
     return got.groupBy("encoding").agg(F.count(F.lit(1)).alias("files"), F.count(F.when(F.col("text") == F.col("original"), 1)).alias("restored"))

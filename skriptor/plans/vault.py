@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriptor.functions import links as L
-from skriptor.functions import text as T
 from skriptor.operators import chars, links
 from skriptor.plans import sql
 from skriptor.session import load_spread as load

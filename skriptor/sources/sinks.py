@@ -55,11 +55,11 @@ def write_report(text: str, path: str) -> None:
         f.write(text)
 
 
-def registry_yaml(df: DataFrame) -> str:
-    """A bounded candidate list (name, n) as a registry in YAML, written without a YAML library."""
+def registry_yaml(df: DataFrame, top: int = 1000) -> str:
+    """The ``top`` most frequent candidates (name, n) as a registry in YAML, written without a YAML library."""
     quote = lambda s: json.dumps(s, ensure_ascii=False)
     out = ["персонажи:"]
-    for r in df.orderBy(F.desc("n"), "name").limit(10_000).collect():
+    for r in df.orderBy(F.desc("n"), "name").limit(top).collect():
         out += [f"- имя: {quote(r['name'])}", f"  формы: [{quote(r['name'])}]", "  старое: []", "  старое_опасное: []", "  опечатки: []"]
     return "\n".join(out) + "\n"
 

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from skriptor.operators import markdown, stats
 from skriptor.sources import files, sinks
@@ -113,4 +112,3 @@ def test_spread_keeps_rows(spark):
 
     a, b = load(spark, "/root/testdata/sf0.001", "documents"), load_spread(spark, "/root/testdata/sf0.001", "documents")
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty() and b.rdd.getNumPartitions() >= 4
-    assert F is not None
