@@ -104,7 +104,8 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
 
 
 def _described(df: DataFrame, width: int, min_words: int, k: int) -> DataFrame:
-    """(id, c1, c2, n, sig) of every row that has shingles; c1, c2 name the set."""
+    """(id, c1, c2, n, sig, short) of every row that has shingles; c1, c2 name the set, short has the
+    last byte of each coordinate: pairs that agree in t coordinates also do in t bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,11 +122,12 @@ def _described(df: DataFrame, width: int, min_words: int, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(keep) + 1) * k, pa.int32()), pa.array(sig.reshape(-1).astype(np.uint32).view(np.int32), pa.int32())
                 )
+                short = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * k, pa.int32()), pa.array(sig.reshape(-1).astype(np.uint8).view(np.int8), pa.int8()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(keep)), pa.array(c1), pa.array(c2), pa.array(size.astype(np.int32)), lists], ["id", "c1", "c2", "n", "sig"]
+                    [ids.take(pa.array(keep)), pa.array(c1), pa.array(c2), pa.array(size.astype(np.int32)), lists, short], ["id", "c1", "c2", "n", "sig", "short"]
                 )
 
-    return df.mapInArrow(run, "id bigint, c1 bigint, c2 bigint, n int, sig array<int>")
+    return df.mapInArrow(run, "id bigint, c1 bigint, c2 bigint, n int, sig array<int>, short array<tinyint>")
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
@@ -159,7 +161,8 @@ def _frequencies(known: DataFrame, k: int) -> np.ndarray:
 
 
 def _postings(known: DataFrame, reps: DataFrame, k: int, t: int) -> DataFrame:
-    """(token, id, n) of the k - t + 1 rarest coordinates of each representative."""
+    """(token, id, n) of the k - t + 1 rarest coordinates of each representative; equal tokens of
+    different coordinates are a matter of chance and only add candidates."""
     shared = reps.sparkSession.sparkContext.broadcast(_frequencies(known, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,11 +175,11 @@ def _postings(known: DataFrame, reps: DataFrame, k: int, t: int) -> DataFrame:
             rank.sort(axis=1)
             first = rank[:, :keep] & ((1 << 38) - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(first.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), keep)), pa.array(np.repeat(batch.column(1).to_numpy(), keep))],
+                [pa.array((_mix(first.reshape(-1).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.repeat(batch.column(0).to_numpy(), keep)), pa.array(np.repeat(batch.column(1).to_numpy(), keep))],
                 ["token", "id", "n"],
             )
 
-    return reps.select("id", "d.n", "d.sig").mapInArrow(run, "token bigint, id bigint, n int")
+    return reps.select("id", "d.n", "d.sig").mapInArrow(run, "token int, id bigint, n int")
 
 
 def _sets_of(df: DataFrame, ids: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -226,18 +229,18 @@ def near_duplicates(
     named = known.groupBy("c1", "c2").agg(F.min("id").alias("rep"))
     members = known.select("id", "c1", "c2", "n").distinct().join(named, ["c1", "c2"]).select("id", "rep", F.col("n").alias("n_shingles"))
     # one shuffle by id serves the postings and both signature look-ups
-    first = known.groupBy("id").agg(F.first(F.struct("n", "sig")).alias("d"))
+    first = known.groupBy("id").agg(F.first(F.struct("n", "sig", "short")).alias("d"))
     reps = first.join(named.select(F.col("rep").alias("id")), "id")
 
     posted = _postings(known, reps, coordinates, matches)
     x, y = posted.alias("x"), posted.alias("y")
     smaller, larger = F.least("x.n", "y.n").cast("long"), F.greatest("x.n", "y.n").cast("long")
     hits = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (smaller * den >= larger * num))
-    pairs = hits.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("hits"))
-    agree = F.size(F.filter(F.zip_with("da.sig", "db.sig", lambda p, q: p == q), lambda z: z))
+    pairs = hits.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda z: z))
     close = (
-        pairs.join(reps.select(F.col("id").alias("a"), F.col("d").alias("da")), "a")
-        .join(reps.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+        pairs.join(reps.select(F.col("id").alias("a"), F.col("d.short").alias("sa")), "a")
+        .join(reps.select(F.col("id").alias("b"), F.col("d.short").alias("sb")), "b")
         .where(agree >= matches)
         .select("a", "b")
     )
