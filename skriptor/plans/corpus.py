@@ -63,7 +63,7 @@ def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def same_names(spark: SparkSession, d: str) -> DataFrame:
-    return dedup.same_names(load(spark, d, "documents"))
+    return dedup.same_names(load(spark, d, "obsidian_check").select("note_id", "rel").distinct(), "rel")
 
 
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -152,7 +152,7 @@ SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, {sql.
 FROM documents WHERE regexp_matches(text, {sql.lit(f'[^{T.SPACE}]')})) GROUP BY hash HAVING count(*) > 1""",
     "hashes": f"SELECT doc_id, md5(array_to_string(list_filter(regexp_split_to_array(text, {sql.lit(f'[{T.SPACE}]+')}), lambda x: x <> ''), chr(10))) AS hash FROM documents WHERE text IS NOT NULL",
     "same_names": r"""SELECT stem, ext, count(*) AS files FROM (SELECT lower(regexp_replace(n, '\.[^.]*$', '')) AS stem, lower(regexp_extract(n, '\.([^.]*)$', 1)) AS ext
-FROM (SELECT regexp_extract(path, '[^/]*$') AS n FROM documents WHERE path IS NOT NULL)) GROUP BY stem, ext HAVING count(*) > 1""",
+FROM (SELECT regexp_extract(rel, '[^/]*$') AS n FROM (SELECT DISTINCT note_id, rel FROM obsidian_check) WHERE rel IS NOT NULL)) GROUP BY stem, ext HAVING count(*) > 1""",
     "near_duplicates": f"""WITH {_SHINGLES}, e AS (SELECT id, len(s) AS n, unnest(s) AS t FROM s),
 p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS n, count(*) AS c FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY ALL)
 SELECT a, b, round(c / (n - c), 2) AS jaccard FROM p WHERE c * 10 >= (n - c) * 7""",
