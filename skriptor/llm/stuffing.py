@@ -6,15 +6,17 @@ taken for a collocation.  Two passes over all texts:
 
 1. Counts of words and of neighbouring pairs in the whole corpus, hashed to
    sketches of a fixed width.  A cell counts every occurrence and may be shared;
-   only pairs of a relative frequency of PAIR_FLOOR or more (several times the
-   sketch's mean overcount) take part in a text's mean information.
+   pairs of a relative frequency of PAIR_FLOOR or more (several times the sketch's
+   mean overcount) take part in a text's mean information, and so do the pairs that
+   the text itself repeats, at least with its own exact count.
 2. For each text the mean pointwise mutual information of its pairs, the share of
    pairs that repeat beyond what the corpus makes likely, the share of pairs the
    corpus hardly knows, and the density of links and tags.
 
 Word salad from stock phrases has a mean information far above the corpus' prose
-and repeats its few collocations; foreign or garbled text has pairs that are rare
-in the corpus; long books repeat pairs only as often as the corpus does.
+and repeats its few collocations; long books repeat pairs only as often as the corpus
+does.  A page may repeat a phrase that no other page has: garbled text is told
+from it by its lead characters, foreign writing by its many different words.
 """
 
 from __future__ import annotations
@@ -37,7 +39,10 @@ CHUNK_CHARS = 1_500_000
 
 # Decision: see found().
 TAGS, LINKS, REPEATED_LINKS = 0.3, 0.14, 0.09  # share of tags; share of links, with so much repetition
-REPEATED, RARE, TOO_HIGH = 0.3, 0.3, 6.5  # repetition alone; more rare pairs or information is foreign or garbled text
+REPEATED, RARE = 0.3, 0.3  # repetition alone; with more rare pairs a text must also have few words of its own
+OWN = 5  # repetitions in one text from which a pair is known whatever the corpus has
+FEW_WORDS = 4.0  # fewer different words than so many times the root of all: a page of keywords, not foreign writing
+GARBLED = 0.2  # share of lead characters of text decoded wrongly
 SPREAD, WEIGHT = 3.7, 0.25  # see found()
 WEAKER = [(0.1, 0.05, 0.3), (0.1, 0.03, 0.2), (0.075, 0.015, 0.16)]  # least repetition, most rare pairs, least score
 
@@ -47,6 +52,7 @@ _LINK = re.compile(r"(?:https?://|www\.)|[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a
 _NUMBER = re.compile(r"[\d.,:/-]+$")
 LINK, TAG, NUMBER = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0link", "\0tag", "\0number"))
 DROPPED = np.uint64(0)
+_LEADS = re.compile("[╨╤�]|[ÃÂÐÑРСпя][^\x00-\x7fА-Яа-яЁё]")  # what the first bytes of Cyrillic letters become when they are decoded wrongly
 _CODES: dict[str, int] = {}
 
 
@@ -145,6 +151,19 @@ def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pairs.astype(np.float32), words.astype(np.float32)
 
 
+def _times(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """How often each pair stands in its own text."""
+    order = np.lexsort((h, owner))
+    o, p = owner[order], h[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(o)))
+    out = np.empty(len(o), np.int64)
+    out[order] = np.repeat(times, times)
+    return out
+
+
 def _describe(texts: list[str | None], pairs: np.ndarray, words: np.ndarray, np_: float, nw: float) -> list[np.ndarray]:
     k = len(texts)
     c, doc = read(texts)
@@ -154,8 +173,10 @@ def _describe(texts: list[str | None], pairs: np.ndarray, words: np.ndarray, np_
     n = np.bincount(owner, minlength=k)
     joint = np.maximum(pairs[_cell(h, PAIR_BITS)], 1) / np_
     single = np.log(np.maximum(words[_cell(c, WORD_BITS)], 1) / nw)
-    info = np.log(joint) - single[at] - single[at + 1]
-    known = joint >= max(PAIR_FLOOR, 5 / np_)
+    often = joint >= max(PAIR_FLOOR, 5 / np_)
+    own = _times(owner, h)
+    known = often | (own >= OWN)
+    info = np.log(np.where(often, joint, own / np_)) - single[at] - single[at + 1]
     n_known = np.bincount(owner, known, minlength=k)
     information = np.bincount(owner, info * known, minlength=k) / np.maximum(n_known, 1)
     plain = (c[at] != NUMBER) & (c[at + 1] != NUMBER)
@@ -168,15 +189,20 @@ def _describe(texts: list[str | None], pairs: np.ndarray, words: np.ndarray, np_
     times = np.diff(np.append(first, len(o)))
     beyond = np.maximum(0, times - 1 - SLACK * n[o[first]] * j[first])
     repeated = np.bincount(o[first], beyond, minlength=k) / np.maximum(n, 1)
+    kinds = np.bincount(np.unique(np.stack([doc.astype(np.uint64), c]), axis=1)[0].astype(np.int64), minlength=k)
+    garbled = np.array([len(_LEADS.findall(t)) / max(1, len(t) - t.count(" ")) if t else 0.0 for t in texts])
     share = lambda code: np.bincount(doc, c == code, minlength=k) / np.maximum(n_words, 1)
-    return [n_words, n, information, repeated, 1 - n_known / np.maximum(n, 1), share(LINK), share(TAG)]
+    return [n_words, n, information, repeated, 1 - n_known / np.maximum(n, 1), share(LINK), share(TAG), kinds, garbled]
 
 
-SCHEMA = "words bigint, pairs bigint, information double, repeated double, rare double, links double, tags double"
+SCHEMA = "words bigint, pairs bigint, information double, repeated double, rare double, links double, tags double, kinds bigint, garbled double"
+TYPES = [np.int64 if x.endswith("bigint") else float for x in SCHEMA.split(", ")[2:]]
 
 
 def collocations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words, pairs, information, repeated, rare, links, tags) of every row.
+    """(id, words, pairs, information, repeated, rare, links, tags, kinds, garbled) of every row.
+
+    ``kinds`` counts the different words, ``garbled`` is the share of lead characters.
 
     Null, empty and blank texts have 0 words and zeros; rows that repeat come out
     as often as they come in, and count as often in the corpus.
@@ -191,8 +217,8 @@ def collocations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for batch in batches:
             for ids, texts in _chunks(batch):
                 n_words, n, *rest = _describe(texts, *shared.value)
-                arrays = [ids, pa.array(n_words.astype(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(x.astype(float)) for x in rest)]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "words", "pairs", "information", "repeated", "rare", "links", "tags"])
+                arrays = [ids, pa.array(n_words.astype(np.int64)), pa.array(n.astype(np.int64)), *(pa.array(x.astype(t)) for x, t in zip(rest, TYPES))]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", *(x.split()[0] for x in SCHEMA.split(", "))])
 
     return rows.mapInArrow(run, f"key {id_type}, {SCHEMA}").withColumnRenamed("key", id_col)
 
@@ -200,7 +226,8 @@ def collocations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def found(scores: DataFrame, min_pairs: int = 5) -> DataFrame:
     """The rows of ``collocations`` that are stuffed pages, with the reason.
 
-    Repetition far beyond the corpus' is enough by itself.  Less of it counts
+    Repetition far beyond the corpus' is enough by itself, also of a phrase the corpus
+    doesn't know, if the page has few different words.  Less of it counts
     together with a mean information far above prose, in texts that hardly have a
     rare pair.  "Far above prose" is set by the corpus itself: the 30 % point of the
     texts' mean information plus SPREAD times its distance from the 5 % point, so
@@ -211,13 +238,14 @@ def found(scores: DataFrame, min_pairs: int = 5) -> DataFrame:
     bound = q[1] + SPREAD * max(q[1] - q[0], 0.05) if q else 4.0
     repeated, rare, information = F.col("repeated"), F.col("rare"), F.col("information")
     score = repeated + WEIGHT * (information - bound)
+    readable, few = F.col("garbled") < GARBLED, F.col("kinds") <= FEW_WORDS * F.sqrt("words")
     weaker = F.lit(False)
     for least, most, need in WEAKER:
         weaker |= (repeated >= least) & (rare <= most) & (score >= need)
     reason = (
         F.when((F.col("links") >= LINKS) & (repeated >= REPEATED_LINKS), "links")
         .when(F.col("tags") >= TAGS, "tags")
-        .when((information <= TOO_HIGH) & (rare <= RARE) & (repeated >= REPEATED), "repetition")
-        .when((information <= TOO_HIGH) & weaker, "collocations")
+        .when(readable & ((rare <= RARE) | few) & (repeated >= REPEATED), "repetition")
+        .when(readable & weaker, "collocations")
     )
     return scores.where(F.col("pairs") >= min_pairs).withColumn("reason", reason).where("reason is not null")

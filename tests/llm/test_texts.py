@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +143,19 @@ def test_stuffing(spark):
     assert stuffing.found(stuffing.collocations(df.where("false"))).count() == 0
     zero = {r["doc_id"]: r["pairs"] for r in stuffing.collocations(df).where("doc_id in (602, 603)").collect()}
     assert zero == {602: 0, 603: 0}
+
+
+def test_stuffing_own_phrase(spark):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 12)) for i in range(150)]
+    rows.append((500, " ".join(f"Зумбракс Кварт-7 {rng.choice(['купить', 'цена', 'фото', 'оптом'])}" for _ in range(40))))
+    rows += [(600, prose(rng, 40).encode().decode("koi8-r")), (601, prose(rng, 40).encode().decode("cp866"))]
+    got = {r["doc_id"] for r in stuffing.found(stuffing.collocations(docs(spark, rows))).collect()}
+    assert got == {500}
+
+
+def test_stuffing_rare_in_a_large_corpus():
+    page = " ".join(f"зумбракс кварт {w}" for w in "купить цена фото оптом".split() * 10)
+    pairs, words = (np.full(1 << b, 50.0, np.float32) for b in (stuffing.PAIR_BITS, stuffing.WORD_BITS))
+    got = dict(zip("words pairs information repeated rare".split(), stuffing._describe([page], pairs, words, 2e8, 2e8)))
+    assert got["rare"][0] <= stuffing.RARE and got["repeated"][0] >= stuffing.REPEATED and got["information"][0] > 6.5
