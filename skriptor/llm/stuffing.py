@@ -1,8 +1,9 @@
 """Keyword-stuffed pages and link lists, by mutual information of neighbouring words.
 
 Texts are read as a sequence of words in which links, tags and numbers are one
-class each; lines that repeat within a text count once, so that a refrain isn't
-taken for a collocation.  Two passes over all texts:
+class each.  Counts of the corpus are of all lines; a text's own figures are of its
+different lines, and its repetition over all lines is judged apart, by the function
+words that refrains have and keyword lines lack.  Two passes over all texts:
 
 1. Counts of words and of neighbouring pairs in the whole corpus, hashed to
    sketches of a fixed width.  A cell counts every occurrence and may be shared;
@@ -30,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skriptor.llm.quality import WORDS
 from skriptor.session import cut, prepare
 
 PAIR_BITS, WORD_BITS = 22, 20  # cells of the sketches
@@ -42,6 +44,7 @@ TAGS, LINKS, REPEATED_LINKS = 0.3, 0.14, 0.09  # share of tags; share of links,
 REPEATED, RARE = 0.3, 0.3  # repetition alone; with more rare pairs a text must also have few words of its own
 OWN = 5  # repetitions in one text from which a pair is known whatever the corpus has
 FEW_WORDS = 4.0  # fewer different words than so many times the root of all: a page of keywords, not foreign writing
+REPEATED_LINES, FUNCTION = 0.5, 0.1  # repetition over all lines; function words in what repeats, more are a refrain
 GARBLED = 0.2  # share of lead characters of text decoded wrongly
 SPREAD, WEIGHT = 3.7, 0.25  # see found()
 WEAKER = [(0.1, 0.05, 0.3), (0.1, 0.03, 0.2), (0.075, 0.015, 0.16)]  # least repetition, most rare pairs, least score
@@ -51,7 +54,8 @@ _TAG = re.compile(r"""<(?:a\s[^<>]*?href\s*=\s*["']([^"'<>]*)["'][^<>]*|/?[a-z!]
 _LINK = re.compile(r"(?:https?://|www\.)|[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,12}(?:/|$)")
 _NUMBER = re.compile(r"[\d.,:/-]+$")
 LINK, TAG, NUMBER = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0link", "\0tag", "\0number"))
-DROPPED = np.uint64(0)
+DROPPED, PARTICLE = np.uint64(0), np.uint64(1)  # single letters; those that are function words
+FUNCTION_WORDS = np.array([xxhash.xxh64_intdigest(w) for w in WORDS if len(w) > 1], np.uint64)
 _LEADS = re.compile("[╨╤�]|[ÃÂÐÑРСпя][^\x00-\x7fА-Яа-яЁё]")  # what the first bytes of Cyrillic letters become when they are decoded wrongly
 _CODES: dict[str, int] = {}
 
@@ -60,7 +64,7 @@ def _code(raw: str) -> int:
     if len(_CODES) > 2_000_000:
         _CODES.clear()
     if len(raw) == 1 and not raw.isdigit():
-        c = DROPPED
+        c = PARTICLE if raw.lower() in WORDS else DROPPED
     elif _LINK.match(raw):
         c = LINK
     elif raw[0] == "#":
@@ -80,9 +84,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Word codes of all texts in order and each one's text number."""
-    codes, counts, get = [], [], _CODES.get
+def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word codes of all texts in order, each one's text number, whether its line is the
+    text's first of that kind, and whether a single-letter function word stands before it."""
+    codes, counts, again, get = [], [], [], _CODES.get
     for t in texts:
         if not t:
             counts.append(0)
@@ -90,17 +95,31 @@ def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if "<" in t:
             t = _TAG.sub(lambda m: f" {m[1] or ''} ", t)
         lines = t.splitlines()
-        if len(lines) > 1:
-            t = "\n".join(dict.fromkeys(lines))
-        raw = _RAW.findall(t)
-        for r in raw:
-            c = get(r)
-            codes.append(_code(r) if c is None else c)
-        counts.append(len(raw))
+        once = dict.fromkeys(lines)
+        if len(once) < len(lines):
+            parts, fresh = [], set()
+            for line in lines:
+                parts.append((_RAW.findall(line), line in fresh))
+                fresh.add(line)
+        else:
+            parts = [(_RAW.findall(t), False)]
+        begin = len(codes)
+        for raw, old in parts:
+            if old:
+                again.append((len(codes), len(codes) + len(raw)))
+            for r in raw:
+                c = get(r)
+                codes.append(_code(r) if c is None else c)
+        counts.append(len(codes) - begin)
     c = np.array(codes, np.uint64)
     doc = np.repeat(np.arange(len(counts)), counts)
-    keep = c != DROPPED
-    return c[keep], doc[keep]
+    first = np.ones(len(c), bool)
+    for a, b in again:
+        first[a:b] = False
+    keep = c > PARTICLE
+    led = np.zeros(len(c), bool)
+    led[1:] = c[:-1] == PARTICLE
+    return c[keep], doc[keep], first[keep], led[keep]
 
 
 def _pairs(c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +150,7 @@ def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pairs, words = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
         for batch in batches:
             for _, texts in _chunks(batch):
-                c, doc = read(texts)
+                c, doc, *_rest = read(texts)
                 h, _at = _pairs(c, doc)
                 for total, cells in ((pairs, _cell(h, PAIR_BITS)), (words, _cell(c, WORD_BITS))):
                     some, n = np.unique(cells, return_counts=True)
@@ -166,7 +185,16 @@ def _times(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _describe(texts: list[str | None], pairs: np.ndarray, words: np.ndarray, np_: float, nw: float) -> list[np.ndarray]:
     k = len(texts)
-    c, doc = read(texts)
+    c, doc, first_line, led = read(texts)
+    h, at = _pairs(c, doc)
+    own, n_all = _times(doc[at], h), np.bincount(doc[at], minlength=k)
+    worded = (c[at] != NUMBER) & (c[at + 1] != NUMBER)
+    repeated_lines = np.bincount(doc[at], worded * np.maximum(0, 1 - (1 + SLACK * n_all[doc[at]] * pairs[_cell(h, PAIR_BITS)] / np_) / own), minlength=k) / np.maximum(n_all, 1)
+    again = own >= OWN
+    plain = np.isin(c, FUNCTION_WORDS)
+    among = np.bincount(doc[at], again * (1.0 + led[at + 1]), minlength=k)
+    function = np.bincount(doc[at], again * (0.5 * plain[at] + 0.5 * plain[at + 1] + led[at + 1]), minlength=k) / np.maximum(among, 1)
+    c, doc = c[first_line], doc[first_line]
     h, at = _pairs(c, doc)
     owner = doc[at]
     n_words = np.bincount(doc, minlength=k)
@@ -189,20 +217,27 @@ def _describe(texts: list[str | None], pairs: np.ndarray, words: np.ndarray, np_
     times = np.diff(np.append(first, len(o)))
     beyond = np.maximum(0, times - 1 - SLACK * n[o[first]] * j[first])
     repeated = np.bincount(o[first], beyond, minlength=k) / np.maximum(n, 1)
-    kinds = np.bincount(np.unique(np.stack([doc.astype(np.uint64), c]), axis=1)[0].astype(np.int64), minlength=k)
+    order = np.lexsort((c, doc))
+    o, w = doc[order], c[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
+    kinds = np.bincount(o[new], minlength=k)
     garbled = np.array([len(_LEADS.findall(t)) / max(1, len(t) - t.count(" ")) if t else 0.0 for t in texts])
     share = lambda code: np.bincount(doc, c == code, minlength=k) / np.maximum(n_words, 1)
-    return [n_words, n, information, repeated, 1 - n_known / np.maximum(n, 1), share(LINK), share(TAG), kinds, garbled]
+    return [n_words, n, information, repeated, 1 - n_known / np.maximum(n, 1), share(LINK), share(TAG), kinds, garbled, n_all, repeated_lines, function]
 
 
-SCHEMA = "words bigint, pairs bigint, information double, repeated double, rare double, links double, tags double, kinds bigint, garbled double"
+SCHEMA = "words bigint, pairs bigint, information double, repeated double, rare double, links double, tags double, kinds bigint, garbled double, all_pairs bigint, repeated_lines double, function double"
 TYPES = [np.int64 if x.endswith("bigint") else float for x in SCHEMA.split(", ")[2:]]
 
 
 def collocations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words, pairs, information, repeated, rare, links, tags, kinds, garbled) of every row.
+    """(id, words, pairs, information, repeated, rare, links, tags, kinds, garbled, all_pairs,
+    repeated_lines, function) of every row.
 
     ``kinds`` counts the different words, ``garbled`` is the share of lead characters.
+    The last three are over all lines, the others over different ones; ``function`` is
+    the share of function words in the pairs that repeat.
 
     Null, empty and blank texts have 0 words and zeros; rows that repeat come out
     as often as they come in, and count as often in the corpus.
@@ -227,7 +262,8 @@ def found(scores: DataFrame, min_pairs: int = 5) -> DataFrame:
     """The rows of ``collocations`` that are stuffed pages, with the reason.
 
     Repetition far beyond the corpus' is enough by itself, also of a phrase the corpus
-    doesn't know, if the page has few different words.  Less of it counts
+    doesn't know, if the page has few different words, and repetition of whole lines
+    without function words.  Less of it counts
     together with a mean information far above prose, in texts that hardly have a
     rare pair.  "Far above prose" is set by the corpus itself: the 30 % point of the
     texts' mean information plus SPREAD times its distance from the 5 % point, so
@@ -248,4 +284,7 @@ def found(scores: DataFrame, min_pairs: int = 5) -> DataFrame:
         .when(readable & ((rare <= RARE) | few) & (repeated >= REPEATED), "repetition")
         .when(readable & weaker, "collocations")
     )
-    return scores.where(F.col("pairs") >= min_pairs).withColumn("reason", reason).where("reason is not null")
+    lines = readable & (F.col("repeated_lines") >= REPEATED_LINES) & (F.col("function") <= FUNCTION)
+    reason = F.when(F.col("pairs") >= min_pairs, reason)
+    reason = F.coalesce(reason, F.when((F.col("all_pairs") >= min_pairs) & lines, "lines"))
+    return scores.withColumn("reason", reason).where("reason is not null")

@@ -159,3 +159,15 @@ def test_stuffing_rare_in_a_large_corpus():
     pairs, words = (np.full(1 << b, 50.0, np.float32) for b in (stuffing.PAIR_BITS, stuffing.WORD_BITS))
     got = dict(zip("words pairs information repeated rare".split(), stuffing._describe([page], pairs, words, 2e8, 2e8)))
     assert got["rare"][0] <= stuffing.RARE and got["repeated"][0] >= stuffing.REPEATED and got["information"][0] > 6.5
+
+
+def test_stuffing_repeated_lines(spark):
+    rng = random.Random(6)
+    rows = [(i, prose(rng, 12)) for i in range(150)]
+    rows.append((500, "\n".join(["buy cheap shoes"] * 200)))
+    rows.append((501, "\n".join(["шины недорого", "купить шины оптом", "букет роз цена"] * 30)))
+    rows.append((600, "\n".join(["молот лежит у стены, и фонарь горит в зале"] * 40)))
+    rows.append((601, "\n".join(f"{prose(rng, 2)}\nТихо падал снег." for _ in range(8))))
+    rows.append((602, "\n".join(["8 14 51"] * 40)))
+    got = {r["doc_id"]: r["reason"] for r in stuffing.found(stuffing.collocations(docs(spark, rows))).collect()}
+    assert got == {500: "lines", 501: "lines"}
