@@ -41,6 +41,7 @@ CHUNK_CHARS = 1_500_000
 
 # Decision: see found().
 TAGS, LINKS, REPEATED_LINKS = 0.3, 0.14, 0.09  # share of tags; share of links, with so much repetition
+LISTED, LEAST_LISTED = 0.5, 3  # or with so large a share and number of list items that are links
 REPEATED, RARE = 0.3, 0.3  # repetition alone; with more rare pairs a text must also have few words of its own
 OWN = 5  # repetitions in one text from which a pair is known whatever the corpus has
 FEW_WORDS = 4.0  # fewer different words than so many times the root of all: a page of keywords, not foreign writing
@@ -53,6 +54,8 @@ _RAW = re.compile(r"""(?:https?://|www\.)[^\s<>"')\]]+|\#?[^\W_](?:[\w.'’-]*[^
 _TAG = re.compile(r"""<(?:a\s[^<>]*?href\s*=\s*["']([^"'<>]*)["'][^<>]*|/?[a-z!][^<>]*)>""", re.I)
 _LINK = re.compile(r"(?:https?://|www\.)|[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,12}(?:/|$)")
 _NUMBER = re.compile(r"[\d.,:/-]+$")
+_URL = re.compile(r"""(?:https?://|www\.)[^\s<>"')\]]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?!(?:md|txt|docx?|pdf|rtf|odt|epub|fb2|html?|csv|xlsx?|jpe?g|png|gif|svg|webp|mp3|mp4|wav|zip|py|js|json|ya?ml)\b)[a-z]{2,12}\b(?:/[^\s<>"')\]]*)?""", re.I)
+_SENTENCE = re.compile(r"(?:[^\W\d_]+[^\w.!?…]+){3,60}[^\W\d_]{2,}[»”\"')]*[.!?…]")
 LINK, TAG, NUMBER = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0link", "\0tag", "\0number"))
 DROPPED, PARTICLE = np.uint64(0), np.uint64(1)  # single letters; those that are function words
 FUNCTION_WORDS = np.array([xxhash.xxh64_intdigest(w) for w in WORDS if len(w) > 1], np.uint64)
@@ -170,6 +173,18 @@ def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pairs.astype(np.float32), words.astype(np.float32)
 
 
+def link_items(text: str) -> tuple[float, int]:
+    """Share and number of list items that are links: a link beside a sentence of its own is a cited source."""
+    text = _TAG.sub(lambda m: f" {m[1] or ''} ", text) if "<" in text else text
+    items = others = 0
+    for line in text.splitlines():
+        links, rest = len(_URL.findall(line)), _URL.sub(" ", line)
+        sentences = len(_SENTENCE.findall(rest))
+        items += max(0, links - sentences)
+        others += max(sentences, not links and bool(rest.strip()))
+    return items / max(items + others, 1), items
+
+
 def _times(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
     """How often each pair stands in its own text."""
     order = np.lexsort((h, owner))
@@ -224,20 +239,23 @@ def _describe(texts: list[str | None], pairs: np.ndarray, words: np.ndarray, np_
     kinds = np.bincount(o[new], minlength=k)
     garbled = np.array([len(_LEADS.findall(t)) / max(1, len(t) - t.count(" ")) if t else 0.0 for t in texts])
     share = lambda code: np.bincount(doc, c == code, minlength=k) / np.maximum(n_words, 1)
-    return [n_words, n, information, repeated, 1 - n_known / np.maximum(n, 1), share(LINK), share(TAG), kinds, garbled, n_all, repeated_lines, function]
+    links = share(LINK)
+    listed = np.array([link_items(t) if t and d >= LINKS else (0.0, 0) for t, d in zip(texts, links)]).reshape(-1, 2).T
+    return [n_words, n, information, repeated, 1 - n_known / np.maximum(n, 1), links, share(TAG), kinds, garbled, n_all, repeated_lines, function, *listed]
 
 
-SCHEMA = "words bigint, pairs bigint, information double, repeated double, rare double, links double, tags double, kinds bigint, garbled double, all_pairs bigint, repeated_lines double, function double"
+SCHEMA = "words bigint, pairs bigint, information double, repeated double, rare double, links double, tags double, kinds bigint, garbled double, all_pairs bigint, repeated_lines double, function double, listed double, link_items bigint"
 TYPES = [np.int64 if x.endswith("bigint") else float for x in SCHEMA.split(", ")[2:]]
 
 
 def collocations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, words, pairs, information, repeated, rare, links, tags, kinds, garbled, all_pairs,
-    repeated_lines, function) of every row.
+    repeated_lines, function, listed, link_items) of every row.
 
     ``kinds`` counts the different words, ``garbled`` is the share of lead characters.
-    The last three are over all lines, the others over different ones; ``function`` is
-    the share of function words in the pairs that repeat.
+    ``all_pairs``, ``repeated_lines`` and ``function`` are over all lines, the others over different ones; ``function`` is
+    the share of function words in the pairs that repeat.  ``listed`` and ``link_items``
+    are the share and number of list items that are links, where links are dense.
 
     Null, empty and blank texts have 0 words and zeros; rows that repeat come out
     as often as they come in, and count as often in the corpus.
@@ -263,7 +281,7 @@ def found(scores: DataFrame, min_pairs: int = 5) -> DataFrame:
 
     Repetition far beyond the corpus' is enough by itself, also of a phrase the corpus
     doesn't know, if the page has few different words, and repetition of whole lines
-    without function words.  Less of it counts
+    without function words.  So is a list of links, whatever its anchor texts.  Less of it counts
     together with a mean information far above prose, in texts that hardly have a
     rare pair.  "Far above prose" is set by the corpus itself: the 30 % point of the
     texts' mean information plus SPREAD times its distance from the 5 % point, so
@@ -287,4 +305,6 @@ def found(scores: DataFrame, min_pairs: int = 5) -> DataFrame:
     lines = readable & (F.col("repeated_lines") >= REPEATED_LINES) & (F.col("function") <= FUNCTION)
     reason = F.when(F.col("pairs") >= min_pairs, reason)
     reason = F.coalesce(reason, F.when((F.col("all_pairs") >= min_pairs) & lines, "lines"))
+    listed = (F.col("words") >= min_pairs) & (F.col("links") >= LINKS) & (F.col("listed") >= LISTED) & (F.col("link_items") >= LEAST_LISTED)
+    reason = F.coalesce(reason, F.when(listed, "links"))
     return scores.withColumn("reason", reason).where("reason is not null")

@@ -171,3 +171,17 @@ def test_stuffing_repeated_lines(spark):
     rows.append((602, "\n".join(["8 14 51"] * 40)))
     got = {r["doc_id"]: r["reason"] for r in stuffing.found(stuffing.collocations(docs(spark, rows))).collect()}
     assert got == {500: "lines", 501: "lines"}
+
+
+def test_stuffing_lists_of_links(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 12)) for i in range(150)]
+    title = lambda i: f"Слово{i} имя{7 * i} дело{11 * i}"
+    rows.append((500, "\n".join(f"{title(i)} https://unique{i}.example" for i in range(30))))
+    rows.append((501, "\n".join(f"https://bare{i}.example/{i}" for i in range(5))))
+    rows.append((502, prose(rng, 1) + "\n" + ", ".join(f"[{title(i)}](http://z{i}.test)" for i in range(12))))
+    rows.append((600, "\n".join(f"{prose(rng, 1)} Источник: http://c{i}.test/x" for i in range(12))))
+    rows.append((601, "\n".join(f"{title(i)} scan{i}.pdf" for i in range(12))))
+    rows.append((602, "\n".join(f"- [[{title(i)}]]" for i in range(12))))
+    got = {r["doc_id"]: r["reason"] for r in stuffing.found(stuffing.collocations(docs(spark, rows))).collect()}
+    assert got == {500: "links", 501: "links", 502: "links"}
