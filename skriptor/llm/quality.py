@@ -1,10 +1,10 @@
 """Per-document text statistics and outlier scores that tell prose from lists, tables and junk.
 
 Every statistic of a text is compared with those of its language: its exact rank
-there, over all texts, gives the share of texts at least as extreme, and the
+there, over all different texts, gives the share of texts at least as extreme, and the
 negative logarithms of these tail shares are averaged to the outlier score.
 Ranks come from a range-partitioned sort of the distinct values, each with its
-number of texts: running totals within a partition plus the totals of the
+number of different texts: running totals within a partition plus the totals of the
 partitions before it.  No task sees a whole language.
 """
 
@@ -34,7 +34,7 @@ WORDS = frozenset(" ".join(COMMON.values()).split())
 KNOWN_SHARE = 0.003  # share of a corpus' texts from which a word counts as known
 PROSE_SHARE = 0.6  # found: less than this share of the characters stands in prose lines
 GROUP, GROUP_SHARE = 50, 0.01  # texts, and share of all texts, from which a language is ranked by itself
-OUTLIER = 0.9  # found: mean negative log tail share of at least this
+OUTLIER = 0.4  # found: mean negative log tail share of at least this; a class of a third of the texts has it, with as many ties
 
 #: Statistic and the tail in which lists, tables and junk lie.
 TAILS = {"symbols": "high", "ends": "low", "common": "low", "known": "low", "per_line": "low", "prose": "low"}
@@ -47,12 +47,12 @@ WORD_SQL = r"\p{L}+(?:[-'’]\p{L}+)*"
 
 
 def known_words(df: DataFrame, text_col: str = "text", share: float = KNOWN_SHARE) -> set[str]:
-    """Words in at least ``share`` of the texts.
+    """Words in at least ``share`` of the different texts; copies count once.
 
     The set cannot hold more than (mean distinct words of a text) / share words,
     however many texts there are.
     """
-    texts = df.select(F.lower(F.col(text_col).cast("string")).alias("t")).where("trim(t) <> ''")
+    texts = df.select(F.lower(F.col(text_col).cast("string")).alias("t")).where("trim(t) <> ''").distinct()
     each = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD_SQL), F.lit(0)))).alias("w"))
     least = max(2.0, share * texts.count())
     return {r["w"] for r in each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("w").collect()}
@@ -100,20 +100,20 @@ def describe(text: str, known: set[str]) -> tuple:
     )
 
 
-FIELDS = "lang string, words bigint, mean_length double, symbols double, ends double, common double, known double, per_line double, prose double"
+FIELDS = "lang string, words bigint, mean_length double, symbols double, ends double, common double, known double, per_line double, prose double, same bigint"
 
 
 def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang, words, mean_length, symbols, ends, common, known, per_line, prose) of each text.
+    """(id, lang, words, mean_length, symbols, ends, common, known, per_line, prose, same) of each text.
 
     Null, empty and blank texts have no row.  ``lang`` is ru or en by script;
     texts without a word, and those of a language with too few texts for ranks of
     its own (GROUP, GROUP_SHARE), count to the language that most texts have.  Rows that repeat
-    come out as often as they come in.
+    come out as often as they come in; copies of a text have one ``same``.
     """
     spark = prepare(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).where(r"text rlike '\\S'")
+    rows = df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text")).where(r"text rlike '\\S'").withColumn("same", F.xxhash64("text"))
     shared = spark.sparkContext.broadcast(known_words(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +121,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         types = [pa.string(), pa.int64(), *[pa.float64()] * 7]
         for batch in batches:
             done = list(zip(*(describe(t, shared.value) for t in batch.column(1).to_pylist()))) or [[]] * 9
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(d, t) for d, t in zip(done, types))], ["key", *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(d, t) for d, t in zip(done, types)), batch.column(2)], ["key", *names, "same"])
 
     out = cut(rows.mapInArrow(run, f"key {id_type}, {FIELDS}"))
     counts = {r["lang"]: r["count"] for r in out.where("lang <> ''").groupBy("lang").count().collect()}  # two rows
@@ -131,14 +131,15 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def tail_shares(stats: DataFrame, id_col: str, tails: dict[str, str] | None = None) -> DataFrame:
-    """(id, stat, tail): share of the texts of the same language at least as extreme."""
+    """(id, stat, tail): share of the different texts of the same language at least as extreme."""
     tails = tails or TAILS
     long = stats.select(
         F.col(id_col).alias("key"),
         "lang",
+        F.col("same" if "same" in stats.columns else id_col).alias("same"),
         F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), (F.col(k) if t == "low" else -F.col(k)).alias("value")) for k, t in tails.items()])).alias("s"),
-    ).select("key", "lang", "s.stat", "s.value")
-    values = long.groupBy("lang", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
+    ).select("key", "lang", "same", "s.stat", "s.value")
+    values = long.groupBy("lang", "stat", "value").agg(F.count_distinct("same").alias("n"))
     ranged = values.repartitionByRange("lang", "stat", "value").sortWithinPartitions("lang", "stat", "value")
 
     def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

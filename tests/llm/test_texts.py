@@ -46,6 +46,16 @@ def test_tail_shares_are_exact(spark):
         assert got[i, "b"] == pytest.approx(sum(r[3] >= b for r in own) / len(own))
 
 
+def test_quality_hot_copies(spark):
+    rng = random.Random(8)
+    hot = "\n".join(f"- {n} {v}" for n, v in zip(NOUN, VERB * 2))
+    rows = [(i, prose(rng, 6)) for i in range(60)] + [(100 + i, hot) for i in range(60)]
+    rows += [(200 + i, "\n".join("%040x" % rng.getrandbits(160) for _ in range(8))) for i in range(20)]
+    rows += [(300 + i, "\n".join(f"{rng.choice(NOUN)};{i};{rng.choice(NOUN)};{i}.5" for i in range(15))) for i in range(10)]
+    got = {r["doc_id"] for r in quality.found(docs(spark, rows)).collect()}
+    assert got == {x for x, _ in rows if x >= 100}
+
+
 # forms ----------------------------------------------------------------------
 
 
