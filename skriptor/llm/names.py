@@ -5,7 +5,8 @@ kind and suffix) in one alphabet.  Frequent spellings are candidate canonical
 forms.  A variant is attached to the candidate with the largest posterior: the
 candidate's frequency as prior, times the likelihoods of the typing errors,
 nicknames and initials that would turn it into the variant; against it stands the
-variant being a name of its own, the likelier the more entries spell it so.
+variant being a name of its own, the likelier the more entries spell it so, unless
+the candidate's entries times the error's likelihood explain as many.
 Pet names are learned from the entries' own lists, next to a given table.  A name
 and the lists of its entry name the same one; bare given names and names in
 old_dangerous prove nothing.
@@ -320,7 +321,8 @@ def linked_entries(entries: DataFrame, given_names: DataFrame | None = None) ->
     close = _candidates(spelt.where("type <> 'i'"), shared, own=True)
     score = F.col("p") + F.ln(F.greatest("c_n", F.lit(1)))
     times = F.greatest(F.when(F.col("moved"), F.greatest("v_spelt", "v_n")).otherwise(F.col("v_n")), F.lit(1))
-    fits = close.where((F.col("p") == 0) | (-F.col("p") * times <= -F.lit(NEW)) & F.col("leads"))
+    expected = F.col("c_n") * F.exp("p")  # entries of the candidate in which this error is likely
+    fits = close.where((F.col("p") == 0) | ((-F.col("p") * times <= -F.lit(NEW)) | (times <= expected)) & F.col("leads"))
     best = Window.partitionBy("v").orderBy(score.desc(), "c")
     attached = fits.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("v").alias("a"), F.col("c").alias("b"))
 

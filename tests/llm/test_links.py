@@ -129,3 +129,10 @@ def test_name_parts():
     assert names.parse("Коля", None, given) is None
     assert names.parse("", None, given) is None
     assert names.within_one("abcd", "abdc") and names.within_one("abc", "abcd") and not names.within_one("abcd", "badc")
+
+
+def test_names_common_error(spark):
+    spelt = ["Николай Пехемегенов"] * 300 + ["Никлай Пехемегенов"] * 5
+    df = spark.createDataFrame([(i, x, None, None, None, None, "person") for i, x in enumerate(spelt)], SCHEMA)
+    root = {r["id"]: r["root"] for r in names.linked_entries(df, spark.createDataFrame(GIVEN, "given_name string, short_name string")).collect()}
+    assert len(root) == 305 and len(set(root.values())) == 1  # as many errors as 300 entries explain
