@@ -51,16 +51,9 @@ KNOWN_SHARE = 0.003  # share of a corpus' texts from which a word counts as know
 PROSE_SHARE = 0.6  # found: the exact check; less than this share of the characters stands in prose lines
 LEAN = 50  # pseudo-texts with the ranks of all languages
 
-#: Statistic, the tail in which lists, tables and junk lie, and its weight in the score.
-TAILS = {
-    "words": ("high", 0.04),
-    "mean_length": ("both", 0.04),
-    "symbols": ("high", 0.08),
-    "ends": ("low", 0.25),
-    "common": ("low", 0.35),
-    "known": ("low", 0.04),
-    "per_line": ("low", 0.2),
-}
+#: Statistic and the tail in which lists, tables and junk lie, and its weight in the score.
+TAILS = {"words": "high", "mean_length": "both", "symbols": "high", "ends": "low", "common": "low", "known": "low", "per_line": "low"}
+WEIGHTS = {"words": 0.04, "mean_length": 0.04, "symbols": 0.08, "ends": 0.25, "common": 0.35, "known": 0.04, "per_line": 0.2}
 BIN = 0.02  # width of a cell of the score histogram
 WINDOW, FLAT, BEYOND = 0.08, 0.45, 5  # a stretch: d ln(share above) / d ln(score) over +-8 %, at most so steep, with so many texts above
 OVERLAP = 0.93  # found: scores from so much of the cut-off go to the exact check
@@ -118,7 +111,7 @@ def language(words: list[str]) -> str:
     longer = [w for w in words if len(w) > 1]
     own = sum(w in LISTS.get(first, ()) for w in longer)
     best = max(((sum(w in LISTS[k] for w in longer), k) for k in others), default=(0, first))
-    return best[1] if best[0] >= CLEAR * len(words) and best[0] >= 1.5 * own else first
+    return best[1] if best[0] >= max(3, CLEAR * len(words)) and best[0] >= 1.5 * own else first
 
 
 def describe(text: str, known: set[str]) -> tuple:
@@ -170,10 +163,10 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return cut(rows.mapInArrow(run, f"key {id_type}, {FIELDS}")).withColumnRenamed("key", id_col)
 
 
-def tail_shares(stats: DataFrame, id_col: str, tails: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+def tail_shares(stats: DataFrame, id_col: str, tails: dict[str, str] | None = None, lean: float = 0) -> DataFrame:
     """(id, stat, tail): share of the different texts of the same language at least as extreme.
 
-    Shares within the language and over all texts are weighed by its number of texts and LEAN.
+    Shares within the language and over all texts are weighed by its number of texts and ``lean``.
     """
     tails = tails or TAILS
     same = F.col("same" if "same" in stats.columns else id_col).alias("same")
@@ -206,7 +199,7 @@ def tail_shares(stats: DataFrame, id_col: str, tails: dict[str, tuple[str, float
         F.sum("own").over(whole).alias("texts"),
     )
     side = F.lit("low")
-    for stat, (tail, _) in tails.items():
+    for stat, tail in tails.items():
         side = F.when(F.col("stat") == stat, F.lit(tail)).otherwise(side)
     upto = F.col("upto") + F.col("offset")
     low, high = upto / F.col("texts"), (F.col("texts") - upto + F.col("n")) / F.col("texts")
@@ -214,7 +207,7 @@ def tail_shares(stats: DataFrame, id_col: str, tails: dict[str, tuple[str, float
     ranks = local.join(offsets, ["part", "lang", "stat"]).select("lang", "stat", "value", "n", "texts", tail.alias("tail"))
     everywhere = ranks.where("lang = '*'").select("stat", "value", F.col("n").alias("n_all"), F.col("texts").alias("all_texts"), F.col("tail").alias("all_tail"))
     within = ranks.where("lang <> '*'").select("lang", "stat", "value", "n", "texts", "tail")
-    leaning = (F.col("tail") * F.col("texts") + LEAN * F.col("all_tail")) / (F.col("texts") + LEAN)
+    leaning = (F.col("tail") * F.col("texts") + lean * F.col("all_tail")) / (F.col("texts") + lean)
     joined = within.join(everywhere, ["stat", "value"]).select(
         "lang", "stat", "value", (F.col("n") * HEAVY >= F.col("texts")).alias("heavy"), F.when(F.col("lang") == "", F.col("all_tail")).otherwise(leaning).alias("tail")
     )
@@ -229,9 +222,9 @@ def tail_shares(stats: DataFrame, id_col: str, tails: dict[str, tuple[str, float
 def outliers(stats: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``stats`` with ``score``: the weighted negative logarithms of the tail shares (one row an id)."""
     weight = F.lit(0.0)
-    for stat, (_, w) in TAILS.items():
+    for stat, w in WEIGHTS.items():
         weight = F.when(F.col("stat") == stat, F.lit(w)).otherwise(weight)
-    scores = tail_shares(stats, id_col).groupBy(id_col).agg(F.sum(-F.ln("tail") * weight).alias("score"))
+    scores = tail_shares(stats, id_col, lean=LEAN).groupBy(id_col).agg(F.sum(-F.ln("tail") * weight).alias("score"))
     return stats.join(scores, id_col)
 
 

@@ -1,23 +1,23 @@
 """Keyword-stuffed pages and link lists, by mutual information of neighbouring words.
 
-Texts are read as a sequence of words in which links, tags and numbers are one
-class each.  Counts of the corpus are of all lines; a text's own figures are of its
-different lines, and its repetition over all lines is judged apart, by the function
-words that refrains have and keyword lines lack.  Two passes over all texts:
+Texts are read as a sequence of words in which links, tags, prices and numbers are
+one class each; a line of links without a sentence is read as its links, whatever
+their anchor texts, and the number that opens a list item is left out.  Every line
+counts, however often it stands there.  Two passes over all texts:
 
 1. Counts of words and of neighbouring pairs in the whole corpus, hashed to
-   sketches of a fixed width.  A cell counts every occurrence and may be shared;
-   pairs of a relative frequency of PAIR_FLOOR or more (several times the sketch's
-   mean overcount) take part in a text's mean information, and so do the pairs that
-   the text itself repeats, at least with its own exact count.
-2. For each text the mean pointwise mutual information of its pairs, the share of
-   pairs that repeat beyond what the corpus makes likely, the share of pairs the
-   corpus hardly knows, and the density of links and tags.
-
-Word salad from stock phrases has a mean information far above the corpus' prose
-and repeats its few collocations; long books repeat pairs only as often as the corpus
-does.  A page may repeat a phrase that no other page has: garbled text is told
-from it by its lead characters, foreign writing by its many different words.
+   sketches of a fixed width.  A text adds no more of one pair or word than a
+   natural text would (CLIP), so that stuffed pages don't become the norm even
+   where a third of all texts are stuffed.
+2. For each text the pointwise mutual information of its pairs: its mean, and what
+   the pairs bring in that repeat beyond what the corpus makes likely (the
+   *collocated* information), each of at most CAP.
+
+In texts whose repetition is rich in function words, lines that repeat are a refrain
+and count once.  Word salad from stock phrases repeats its few collocations, and its mean information
+lies above the corpus' prose; long books repeat pairs only as often as the corpus does.
+Text decoded wrongly is told by its lead characters, foreign writing by its many
+different words.
 """
 
 from __future__ import annotations
@@ -35,28 +35,32 @@ from skriptor.llm.quality import WORDS
 from skriptor.session import cut, prepare
 
 PAIR_BITS, WORD_BITS = 22, 20  # cells of the sketches
-PAIR_FLOOR = 2.5e-6  # relative frequency from which a pair's information counts
+PAIR_FLOOR = 2.5e-6  # relative frequency from which a pair counts as known, several times the sketch's mean overcount
+LEAST = 5  # and so many occurrences; a pair that one text has so often is known whatever the corpus has
+CLIP = (2, 50, 20)  # a text adds at most 2, or one in 50 of its pairs, of one pair; and at most 2, or one in 20, of one word
 SLACK = 1.5  # repetitions allowed beyond the expected
+CAP = 5.0  # largest information of one pair
+ANCHOR = 8  # words that belong to one link at most
 CHUNK_CHARS = 1_500_000
 
 # Decision: see found().
-TAGS, LINKS, REPEATED_LINKS = 0.3, 0.14, 0.09  # share of tags; share of links, with so much repetition
-LISTED, LEAST_LISTED = 0.5, 3  # or with so large a share and number of list items that are links
-REPEATED, RARE = 0.3, 0.3  # repetition alone; with more rare pairs a text must also have few words of its own
-OWN = 5  # repetitions in one text from which a pair is known whatever the corpus has
-FEW_WORDS = 4.0  # fewer different words than so many times the root of all: a page of keywords, not foreign writing
-REPEATED_LINES, FUNCTION = 0.5, 0.1  # repetition over all lines; function words in what repeats, more are a refrain
+WEIGHT, SPREAD, RANGE = 0.25, 2.0, (-0.5, 2.0)  # of the mean information beyond prose; see bound(); what of it counts
+STUFFED = 1.0  # score
+FUNCTION = 0.1  # with more function words in what repeats, whole lines that repeat are a refrain
+RARE, FEW_WORDS = 0.3, 4.0  # with more rare pairs a text must have fewer different words than so many times the root of all
 GARBLED = 0.2  # share of lead characters of text decoded wrongly
-SPREAD, WEIGHT = 3.7, 0.25  # see found()
-WEAKER = [(0.1, 0.05, 0.3), (0.1, 0.03, 0.2), (0.075, 0.015, 0.16)]  # least repetition, most rare pairs, least score
 
 _RAW = re.compile(r"""(?:https?://|www\.)[^\s<>"')\]]+|\#?[^\W_](?:[\w.'’-]*[^\W_])?(?:/[\w./?=&%-]+)?""")
 _TAG = re.compile(r"""<(?:a\s[^<>]*?href\s*=\s*["']([^"'<>]*)["'][^<>]*|/?[a-z!][^<>]*)>""", re.I)
-_LINK = re.compile(r"(?:https?://|www\.)|[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.[a-z]{2,12}(?:/|$)")
 _NUMBER = re.compile(r"[\d.,:/-]+$")
-_URL = re.compile(r"""(?:https?://|www\.)[^\s<>"')\]]+|\b[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?!(?:md|txt|docx?|pdf|rtf|odt|epub|fb2|html?|csv|xlsx?|jpe?g|png|gif|svg|webp|mp3|mp4|wav|zip|py|js|json|ya?ml)\b)[a-z]{2,12}\b(?:/[^\s<>"')\]]*)?""", re.I)
+_FILES = "md|txt|docx?|pdf|rtf|odt|epub|fb2|html?|csv|xlsx?|jpe?g|png|gif|svg|webp|mp3|mp4|wav|zip|py|js|json|ya?ml"
+_HOST = rf"[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?!(?:{_FILES})\b)[a-z]{{2,12}}"
+_URL = re.compile(rf"""(?:https?://|www\.)[^\s<>"')\]]+|\b{_HOST}\b(?:/[^\s<>"')\]]*)?""", re.I)
+_LINK = re.compile(rf"(?:https?://|www\.)|{_HOST}(?:/|$)")
+_ITEM = re.compile(r"\s*\d{1,4}[.)]\s")
 _SENTENCE = re.compile(r"(?:[^\W\d_]+[^\w.!?…]+){3,60}[^\W\d_]{2,}[»”\"')]*[.!?…]")
-LINK, TAG, NUMBER = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0link", "\0tag", "\0number"))
+LINK, TAG, PRICE, NUMBER = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0link", "\0tag", "\0price", "\0number"))
+_CURRENCY = frozenset(xxhash.xxh64_intdigest(x) for x in "руб рублей р usd eur gbp uah грн dollars euros $ € ₽ £".split())
 DROPPED, PARTICLE = np.uint64(0), np.uint64(1)  # single letters; those that are function words
 FUNCTION_WORDS = np.array([xxhash.xxh64_intdigest(w) for w in WORDS if len(w) > 1], np.uint64)
 _LEADS = re.compile("[╨╤�]|[ÃÂÐÑРСпя][^\x00-\x7fА-Яа-яЁё]")  # what the first bytes of Cyrillic letters become when they are decoded wrongly
@@ -88,41 +92,39 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word codes of all texts in order, each one's text number, whether its line is the
-    text's first of that kind, and whether a single-letter function word stands before it."""
-    codes, counts, again, get = [], [], [], _CODES.get
+    """Word codes of all texts in order, each one's text number, whether a single-letter
+    function word stands before it, and whether its line is the text's first of that kind."""
+    again: list[tuple[int, int]] = []
+    codes, counts, get, link, number, price = [], [], _CODES.get, int(LINK), int(NUMBER), int(PRICE)
     for t in texts:
-        if not t:
-            counts.append(0)
-            continue
-        if "<" in t:
-            t = _TAG.sub(lambda m: f" {m[1] or ''} ", t)
-        lines = t.splitlines()
-        once = dict.fromkeys(lines)
-        if len(once) < len(lines):
-            parts, fresh = [], set()
-            for line in lines:
-                parts.append((_RAW.findall(line), line in fresh))
-                fresh.add(line)
-        else:
-            parts = [(_RAW.findall(t), False)]
         begin = len(codes)
-        for raw, old in parts:
-            if old:
-                again.append((len(codes), len(codes) + len(raw)))
-            for r in raw:
-                c = get(r)
-                codes.append(_code(r) if c is None else c)
+        if t:
+            if "<" in t:
+                t = _TAG.sub(lambda m: f" {m[1] or ''} ", t)
+            seen: set[str] = set()
+            for line in t.splitlines():
+                old = line in seen
+                seen.add(line)
+                if line[:8].lstrip()[:1].isdigit() and (m := _ITEM.match(line)):
+                    line = line[m.end() :]
+                own = [_code(r) if (c := get(r)) is None else c for r in _RAW.findall(line)]
+                if link in own and len(own) <= (ANCHOR + 1) * own.count(link) and not _SENTENCE.search(_URL.sub(" ", line)):
+                    own = [link] * own.count(link)  # a link beside a sentence is a cited source
+                elif number in own and not _CURRENCY.isdisjoint(own):
+                    own = [price if c == number and i + 1 < len(own) and own[i + 1] in _CURRENCY else c for i, c in enumerate(own) if not (i and c in _CURRENCY and own[i - 1] == number)]
+                if old:
+                    again.append((len(codes), len(codes) + len(own)))
+                codes += own
         counts.append(len(codes) - begin)
     c = np.array(codes, np.uint64)
     doc = np.repeat(np.arange(len(counts)), counts)
-    first = np.ones(len(c), bool)
-    for a, b in again:
-        first[a:b] = False
     keep = c > PARTICLE
     led = np.zeros(len(c), bool)
     led[1:] = c[:-1] == PARTICLE
-    return c[keep], doc[keep], first[keep], led[keep]
+    first = np.ones(len(c), bool)
+    for a, b in again:
+        first[a:b] = False
+    return c[keep], doc[keep], led[keep], first[keep]
 
 
 def _pairs(c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +148,18 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
             begin, held = i + 1, 0
 
 
+def _clipped(doc: np.ndarray, h: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Different (text, value) pairs' values and how often each may count."""
+    size = np.bincount(doc) if len(doc) else doc
+    order = np.lexsort((h, doc))
+    o, p = doc[order], h[order]
+    new = np.ones(len(o), bool)
+    new[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(o)))
+    return p[first], np.minimum(times, np.maximum(CLIP[0], -(-size[o[first]] // share)))
+
+
 def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sketches of pair and word counts over all texts of (key, text)."""
 
@@ -153,11 +167,10 @@ def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         pairs, words = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << WORD_BITS, np.int64)
         for batch in batches:
             for _, texts in _chunks(batch):
-                c, doc, *_rest = read(texts)
-                h, _at = _pairs(c, doc)
-                for total, cells in ((pairs, _cell(h, PAIR_BITS)), (words, _cell(c, WORD_BITS))):
-                    some, n = np.unique(cells, return_counts=True)
-                    total[some] += n
+                c, doc, *_ = read(texts)
+                h, at = _pairs(c, doc)
+                for total, bits, (values, n) in ((pairs, PAIR_BITS, _clipped(doc[at], h, CLIP[1])), (words, WORD_BITS, _clipped(doc, c, CLIP[2]))):
+                    total += np.bincount(_cell(values, bits), n, minlength=len(total)).astype(np.int64) if len(values) else 0
         for kind, total in ((0, pairs), (1, words)):
             at = np.flatnonzero(total)
             for i in range(0, len(at), 200_000):
@@ -173,18 +186,6 @@ def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pairs.astype(np.float32), words.astype(np.float32)
 
 
-def link_items(text: str) -> tuple[float, int]:
-    """Share and number of list items that are links: a link beside a sentence of its own is a cited source."""
-    text = _TAG.sub(lambda m: f" {m[1] or ''} ", text) if "<" in text else text
-    items = others = 0
-    for line in text.splitlines():
-        links, rest = len(_URL.findall(line)), _URL.sub(" ", line)
-        sentences = len(_SENTENCE.findall(rest))
-        items += max(0, links - sentences)
-        others += max(sentences, not links and bool(rest.strip()))
-    return items / max(items + others, 1), items
-
-
 def _times(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
     """How often each pair stands in its own text."""
     order = np.lexsort((h, owner))
@@ -198,64 +199,57 @@ def _times(owner: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _describe(texts: list[str | None], pairs: np.ndarray, words: np.ndarray, np_: float, nw: float) -> list[np.ndarray]:
-    k = len(texts)
-    c, doc, first_line, led = read(texts)
+def _repetition(c: np.ndarray, doc: np.ndarray, led: np.ndarray, k: int, pairs: np.ndarray, words: np.ndarray, np_: float, nw: float) -> list[np.ndarray]:
+    """Pairs, their mean information, and repeated, collocated, function and rare of ``collocations`` for k texts."""
     h, at = _pairs(c, doc)
-    own, n_all = _times(doc[at], h), np.bincount(doc[at], minlength=k)
-    worded = (c[at] != NUMBER) & (c[at + 1] != NUMBER)
-    repeated_lines = np.bincount(doc[at], worded * np.maximum(0, 1 - (1 + SLACK * n_all[doc[at]] * pairs[_cell(h, PAIR_BITS)] / np_) / own), minlength=k) / np.maximum(n_all, 1)
-    again = own >= OWN
-    plain = np.isin(c, FUNCTION_WORDS)
-    among = np.bincount(doc[at], again * (1.0 + led[at + 1]), minlength=k)
-    function = np.bincount(doc[at], again * (0.5 * plain[at] + 0.5 * plain[at + 1] + led[at + 1]), minlength=k) / np.maximum(among, 1)
-    c, doc = c[first_line], doc[first_line]
-    h, at = _pairs(c, doc)
-    owner = doc[at]
-    n_words = np.bincount(doc, minlength=k)
+    owner, own = doc[at], _times(doc[at], h)
     n = np.bincount(owner, minlength=k)
     joint = np.maximum(pairs[_cell(h, PAIR_BITS)], 1) / np_
     single = np.log(np.maximum(words[_cell(c, WORD_BITS)], 1) / nw)
-    often = joint >= max(PAIR_FLOOR, 5 / np_)
-    own = _times(owner, h)
-    known = often | (own >= OWN)
-    info = np.log(np.where(often, joint, own / np_)) - single[at] - single[at + 1]
-    n_known = np.bincount(owner, known, minlength=k)
-    information = np.bincount(owner, info * known, minlength=k) / np.maximum(n_known, 1)
-    plain = (c[at] != NUMBER) & (c[at + 1] != NUMBER)
-    o, p, j = owner[plain], h[plain], joint[plain]
-    order = np.lexsort((p, o))
-    o, p, j = o[order], p[order], j[order]
-    new = np.ones(len(o), bool)
-    new[1:] = (o[1:] != o[:-1]) | (p[1:] != p[:-1])
-    first = np.flatnonzero(new)
-    times = np.diff(np.append(first, len(o)))
-    beyond = np.maximum(0, times - 1 - SLACK * n[o[first]] * j[first])
-    repeated = np.bincount(o[first], beyond, minlength=k) / np.maximum(n, 1)
+    often = joint >= max(PAIR_FLOOR, LEAST / np_)
+    # a pair only this text has is judged by its own rate here
+    info = np.log(np.where(often, joint, own / np.maximum(n[owner], 1))) - single[at] - single[at + 1]
+    known = often | (own >= LEAST)
+    worded = (c[at] != NUMBER) & (c[at + 1] != NUMBER)
+    excess = worded * known * np.maximum(0, 1 - (1 + SLACK * n[owner] * joint) / own)
+    per_text = lambda x: np.bincount(owner, x, minlength=k)
+    plain = np.isin(c, FUNCTION_WORDS)
+    function = per_text(excess * (0.5 * plain[at] + 0.5 * plain[at + 1] + led[at + 1])) / np.maximum(per_text(excess * (1.0 + led[at + 1])), 1e-9)
+    n_often, some = per_text(often), np.maximum(n, 1)
+    return [n, per_text(info * often) / np.maximum(n_often, 1), per_text(excess) / some, per_text(excess * np.clip(info, 0, CAP)) / some, function, 1 - n_often / some]
+
+
+def _describe(texts: list[str | None], *counts) -> list[np.ndarray]:
+    k = len(texts)
+    c, doc, led, first = read(texts)
+    measured = _repetition(c, doc, led, k, *counts)
+    refrain = (np.bincount(doc, ~first, minlength=k) > 0) & (measured[4] > FUNCTION)
+    if refrain.any():  # lines that repeat count once
+        part = first & refrain[doc]
+        for whole, once in zip(measured, _repetition(c[part], doc[part], led[part], k, *counts)):
+            whole[refrain] = once[refrain]
+    n_words = np.bincount(doc, minlength=k)
     order = np.lexsort((c, doc))
     o, w = doc[order], c[order]
     new = np.ones(len(o), bool)
     new[1:] = (o[1:] != o[:-1]) | (w[1:] != w[:-1])
-    kinds = np.bincount(o[new], minlength=k)
     garbled = np.array([len(_LEADS.findall(t)) / max(1, len(t) - t.count(" ")) if t else 0.0 for t in texts])
     share = lambda code: np.bincount(doc, c == code, minlength=k) / np.maximum(n_words, 1)
-    links = share(LINK)
-    listed = np.array([link_items(t) if t and d >= LINKS else (0.0, 0) for t, d in zip(texts, links)]).reshape(-1, 2).T
-    return [n_words, n, information, repeated, 1 - n_known / np.maximum(n, 1), links, share(TAG), kinds, garbled, n_all, repeated_lines, function, *listed]
+    return [n_words, *measured, share(LINK), share(TAG), np.bincount(o[new], minlength=k), garbled]
 
 
-SCHEMA = "words bigint, pairs bigint, information double, repeated double, rare double, links double, tags double, kinds bigint, garbled double, all_pairs bigint, repeated_lines double, function double, listed double, link_items bigint"
+SCHEMA = "words bigint, pairs bigint, information double, repeated double, collocated double, function double, rare double, links double, tags double, kinds bigint, garbled double"
 TYPES = [np.int64 if x.endswith("bigint") else float for x in SCHEMA.split(", ")[2:]]
 
 
 def collocations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, words, pairs, information, repeated, rare, links, tags, kinds, garbled, all_pairs,
-    repeated_lines, function, listed, link_items) of every row.
+    """(id, words, pairs, information, repeated, collocated, function, rare, links, tags, kinds, garbled) of every row.
 
-    ``kinds`` counts the different words, ``garbled`` is the share of lead characters.
-    ``all_pairs``, ``repeated_lines`` and ``function`` are over all lines, the others over different ones; ``function`` is
-    the share of function words in the pairs that repeat.  ``listed`` and ``link_items``
-    are the share and number of list items that are links, where links are dense.
+    ``information`` is the mean over the pairs the corpus knows, ``rare`` the share of
+    the others; ``repeated`` is the share of pairs beyond what is likely, ``collocated``
+    the information they bring in per pair of the text and ``function`` the share of
+    function words among them.  ``kinds`` counts the different words, ``garbled`` is the
+    share of lead characters.
 
     Null, empty and blank texts have 0 words and zeros; rows that repeat come out
     as often as they come in, and count as often in the corpus.
@@ -276,35 +270,23 @@ def collocations(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.mapInArrow(run, f"key {id_type}, {SCHEMA}").withColumnRenamed("key", id_col)
 
 
-def found(scores: DataFrame, min_pairs: int = 5) -> DataFrame:
-    """The rows of ``collocations`` that are stuffed pages, with the reason.
+def bound(scores: DataFrame) -> float:
+    """Mean information above that of prose: the 30 % point of the texts' means plus SPREAD times its
+    distance from the 5 % point, so that it holds for a corpus with a third of its texts stuffed."""
+    q = scores.where("pairs >= 20 and rare <= 0.2").agg(F.percentile_approx("information", [0.05, 0.3], 10_000).alias("q")).first()["q"]
+    return q[1] + SPREAD * max(q[1] - q[0], 0.05) if q else 4.0
+
 
-    Repetition far beyond the corpus' is enough by itself, also of a phrase the corpus
-    doesn't know, if the page has few different words, and repetition of whole lines
-    without function words.  So is a list of links, whatever its anchor texts.  Less of it counts
-    together with a mean information far above prose, in texts that hardly have a
-    rare pair.  "Far above prose" is set by the corpus itself: the 30 % point of the
-    texts' mean information plus SPREAD times its distance from the 5 % point, so
-    that it holds for a corpus with a third of its texts stuffed.
+def found(scores: DataFrame) -> DataFrame:
+    """The rows of ``collocations`` that are stuffed pages, with their score and the kind of what they repeat.
+
+    The score is the collocated information, less that of function words, plus WEIGHT
+    times the mean information beyond prose, as far as the pairs are known.  A text
+    without a repeated collocation is no case, whatever its mean.
     """
     scores = cut(scores)
-    q = scores.where("pairs >= 20 and rare <= 0.2").agg(F.percentile_approx("information", [0.05, 0.3], 10_000).alias("q")).first()["q"]
-    bound = q[1] + SPREAD * max(q[1] - q[0], 0.05) if q else 4.0
-    repeated, rare, information = F.col("repeated"), F.col("rare"), F.col("information")
-    score = repeated + WEIGHT * (information - bound)
-    readable, few = F.col("garbled") < GARBLED, F.col("kinds") <= FEW_WORDS * F.sqrt("words")
-    weaker = F.lit(False)
-    for least, most, need in WEAKER:
-        weaker |= (repeated >= least) & (rare <= most) & (score >= need)
-    reason = (
-        F.when((F.col("links") >= LINKS) & (repeated >= REPEATED_LINKS), "links")
-        .when(F.col("tags") >= TAGS, "tags")
-        .when(readable & ((rare <= RARE) | few) & (repeated >= REPEATED), "repetition")
-        .when(readable & weaker, "collocations")
-    )
-    lines = readable & (F.col("repeated_lines") >= REPEATED_LINES) & (F.col("function") <= FUNCTION)
-    reason = F.when(F.col("pairs") >= min_pairs, reason)
-    reason = F.coalesce(reason, F.when((F.col("all_pairs") >= min_pairs) & lines, "lines"))
-    listed = (F.col("words") >= min_pairs) & (F.col("links") >= LINKS) & (F.col("listed") >= LISTED) & (F.col("link_items") >= LEAST_LISTED)
-    reason = F.coalesce(reason, F.when(listed, "links"))
-    return scores.withColumn("reason", reason).where("reason is not null")
+    mean = F.greatest(F.least(F.col("information") - bound(scores), F.lit(RANGE[1])), F.lit(RANGE[0])) * (1 - F.col("rare"))
+    score = F.col("collocated") * (1 - F.col("function")) + WEIGHT * mean
+    readable = (F.col("garbled") < GARBLED) & ((F.col("rare") <= RARE) | (F.col("kinds") <= FEW_WORDS * F.sqrt("words")))
+    reason = F.when(F.col("links") > F.greatest("tags", F.lit(0.5)), "links").when(F.col("tags") > 0.5, "tags").otherwise("collocations")
+    return scores.withColumn("score", score).withColumn("reason", reason).where((F.col("repeated") > 0) & readable & (F.col("score") >= STUFFED))

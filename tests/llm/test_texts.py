@@ -56,6 +56,31 @@ def test_quality_hot_copies(spark):
     assert got == {x for x, _ in rows if x >= 100}
 
 
+def test_quality_score_alone(spark):
+    rng = random.Random(9)
+    for junk in (3, 30, 110):  # the cut-off follows the share of the class
+        rows = [(i, prose(rng, rng.randrange(2, 9)) + "\n" * rng.randrange(2) + prose(rng, 2)) for i in range(220)]
+        rows += [(1000 + i, "\n".join(f"{k}. {rng.choice(NOUN)}" if i % 2 else f"{rng.choice(NOUN)};{k};{rng.choice(NOUN)}" for k in range(12))) for i in range(junk)]
+        got = {r["doc_id"] for r in quality.found(docs(spark, rows), check=False).collect()}
+        wanted = {x for x, _ in rows if x >= 1000}
+        assert len(got & wanted) >= 0.97 * len(wanted) and len(got) <= (len(wanted) + 2) * 1.05 if junk > 3 else True
+
+
+def test_quality_languages(spark):
+    assert quality.language("der mann und die frau sind nicht in dem haus".split()) == "de"
+    assert quality.language("він і вона не були в саду".split()) == "uk"
+    assert quality.language("кузнец нашёл молот".split()) == "ru" and quality.language("xq zv de".split()) == "en" and quality.language([]) == ""
+    assert quality.language("ἐν ἀρχῇ ἦν".split()) == "greek"
+
+
+def test_cut_off_needs_a_class_apart():
+    rng = np.random.RandomState(1)
+    bulk = np.bincount((rng.gamma(4, 0.2, 3000) / quality.BIN).astype(int))
+    assert quality.cut_off(bulk) is None and quality.cut_off(np.array([3])) is None
+    both = np.bincount((np.concatenate([rng.gamma(4, 0.2, 3000), rng.normal(4, 0.2, 60)]) / quality.BIN).astype(int))
+    assert 2.0 < quality.cut_off(both) < 3.6
+
+
 # forms ----------------------------------------------------------------------
 
 
@@ -166,9 +191,20 @@ def test_stuffing_own_phrase(spark):
 
 def test_stuffing_rare_in_a_large_corpus():
     page = " ".join(f"зумбракс кварт {w}" for w in "купить цена фото оптом".split() * 10)
-    pairs, words = (np.full(1 << b, 50.0, np.float32) for b in (stuffing.PAIR_BITS, stuffing.WORD_BITS))
-    got = dict(zip("words pairs information repeated rare".split(), stuffing._describe([page], pairs, words, 2e8, 2e8)))
-    assert got["rare"][0] <= stuffing.RARE and got["repeated"][0] >= stuffing.REPEATED and got["information"][0] > 6.5
+    names = [x.split()[0] for x in ("words x, pairs x, " + stuffing.SCHEMA.split(", ", 2)[2]).split(", ")]
+    for size in (2e8, 2e11):
+        pairs, words = (np.full(1 << b, max(50.0, size / (1 << b)), np.float32) for b in (stuffing.PAIR_BITS, stuffing.WORD_BITS))
+        got = dict(zip(names, stuffing._describe([page], pairs, words, size, size)))
+        assert got["kinds"][0] <= stuffing.FEW_WORDS * got["words"][0] ** 0.5 and got["repeated"][0] > 0.3 and got["collocated"][0] > stuffing.STUFFED
+
+
+def test_stuffing_hot_group(spark):
+    rng = random.Random(11)
+    links = lambda i: "\n".join(f"https://h{i}x{k}.example/{k}" for k in range(30))
+    words = lambda: ", ".join(f"{rng.choice(['купить', 'цена', 'фото'])} букет роз" for _ in range(40))
+    rows = [(i, prose(rng, 12)) for i in range(120)] + [(500 + i, links(i)) for i in range(40)] + [(600 + i, words()) for i in range(40)]
+    got = {r["doc_id"] for r in stuffing.found(stuffing.collocations(docs(spark, rows))).collect()}
+    assert got == {x for x, _ in rows if x >= 500}
 
 
 def test_stuffing_repeated_lines(spark):
@@ -180,7 +216,7 @@ def test_stuffing_repeated_lines(spark):
     rows.append((601, "\n".join(f"{prose(rng, 2)}\nТихо падал снег." for _ in range(8))))
     rows.append((602, "\n".join(["8 14 51"] * 40)))
     got = {r["doc_id"]: r["reason"] for r in stuffing.found(stuffing.collocations(docs(spark, rows))).collect()}
-    assert got == {500: "lines", 501: "lines"}
+    assert got == {500: "collocations", 501: "collocations"}
 
 
 def test_stuffing_lists_of_links(spark):
@@ -193,5 +229,7 @@ def test_stuffing_lists_of_links(spark):
     rows.append((600, "\n".join(f"{prose(rng, 1)} Источник: http://c{i}.test/x" for i in range(12))))
     rows.append((601, "\n".join(f"{title(i)} scan{i}.pdf" for i in range(12))))
     rows.append((602, "\n".join(f"- [[{title(i)}]]" for i in range(12))))
+    rows.append((503, "\n".join(f"https://four{i}.example" for i in range(4))))
+    rows.append((504, "\n".join(f"Товар {rng.choice(NOUN)} / {rng.choice(NOUN)} / {rng.randrange(100, 9999)} руб" for _ in range(25))))
     got = {r["doc_id"]: r["reason"] for r in stuffing.found(stuffing.collocations(docs(spark, rows))).collect()}
-    assert got == {500: "links", 501: "links", 502: "links"}
+    assert got == {500: "links", 501: "links", 502: "links", 503: "links", 504: "collocations"}
