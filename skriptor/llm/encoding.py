@@ -9,7 +9,8 @@ inverse of its state's damage.
 
 Texts in which no stretch gains more under the best other state than entering
 one costs are clean by that path as well; they are told apart with one table
-look-up a character, without running the search over paths.
+look-up a character.  In the others only such stretches are searched, since no
+best path leaves the clean state outside of them; long ones in pieces that overlap.
 """
 
 from __future__ import annotations
@@ -25,12 +26,28 @@ from pyspark.sql import functions as F
 from skriptor.session import prepare
 
 SAMPLE_ROWS = 800  # texts the emission tables are counted on
-SAMPLE_CHARS = 4000  # longest piece of one text used for counting
+SAMPLE_CHARS = 4000  # longest piece of one text used for counting, from a place given by the text's hash
 ENTER, LEAVE = -12.0, -3.0  # log probabilities of leaving the clean state and of returning
 ALPHABET = 640  # characters with a row of their own in the emission tables
 RARE = 0.01  # see Model
+FLOOR = 1e-4  # least probability of a letter in clean text
+MARKS = "…—–«»“”„’№"  # punctuation beyond ASCII that follows letters in clean text
 BETA = 4.0  # weight of the unigram in a bigram's probability
 CELLS = 6_000_000  # characters x states searched at once
+PIECE, OVERLAP = 4000, 200  # longest stretch searched as a whole; characters shared with the next piece
+
+#: Words with the letters of languages that the sample may not hold; damaged states know them as well.
+SEEDS = [
+    "Łódź, Wrocław, Gdańsk, Kraków, Poznań; żółw, gęś, źrebię, ćma, święto, książka, miłość, łąka, dzień, proszę, cześć",
+    "Příliš žluťoučký kůň; Dvořák, Plzeň, Škoda, děti, město, měsíc, člověk, větší, čtyři, ráno, květen, únor, září",
+    "Győr, Szőke, őszi, tűz, füst, szép, köszönöm, hétfő, nyúl, árvíztűrő, tükörfúrógép, erdő, múlt, fő",
+    "Straße, über, Köln, für, schön, Mädchen, größer, Füße, Bücher, Österreich, Ähre, hören, Tür, süß, natürlich",
+    "été, où, français, garçon, élève, forêt, naïf, cœur, déjà, être, père, là, août, hôtel, ça, Noël, après",
+    "niño, señor, mañana, corazón, qué, está, años, también, árbol, pequeño, día, música, útil, así",
+    "你好世界我们今天在图书馆看书他说这是一个很好的地方明天早上火车从北京到上海",
+    "こんにちは世界今日は図書館で本を読みますこれはとても良い場所ですカタカナテキスト",
+    "안녕하세요 세계 우리는 오늘 도서관에서 책을 읽습니다 이것은 아주 좋은 곳입니다",
+]
 
 #: Fixed values: (name, right encoding, wrong encoding, how often applied).
 PAIRS = [
@@ -57,7 +74,13 @@ PAIRS = [
     ("cp866 as cp1251", "cp866", "cp1251", 1),
     ("cp866 as cp1252", "cp866", "cp1252", 1),
     ("cp866 as koi8-r", "cp866", "koi8-r", 1),
+    ("utf-8 as cp1250", "utf-8", "cp1250", 1),
+    ("cp1250 as cp1252", "cp1250", "cp1252", 1),
+    ("gbk as cp1252", "gbk", "cp1252", 1),
+    ("shift_jis as cp1252", "shift_jis", "cp1252", 1),
+    ("euc-kr as cp1252", "euc-kr", "cp1252", 1),
 ]
+OWN_SEEDS = {"cp1250": SEEDS[:3], "gbk": SEEDS[6:7], "shift_jis": SEEDS[7:8], "euc-kr": SEEDS[8:9]}  # encodings of no sample text
 LOST = "replacement characters"
 STATES = ["clean", LOST, *(p[0] for p in PAIRS)]
 
@@ -134,7 +157,7 @@ class Model:
         """``rare``: share of texts below which a pair with an unusual character isn't taken for clean."""
         texts = [t[:SAMPLE_CHARS] for t in clean if t]
         shouted = [t.upper() for t in texts[::4]]  # clean text also comes in capitals
-        versions = [[*texts, *shouted], *([damage(t, p) for t in texts] for p in PAIRS)]
+        versions = [[*texts, *shouted, *(SEEDS * 4 if len(texts) > 9 else [])], *(self._damaged(texts, p) for p in PAIRS)]
         counts = np.zeros(0x110000, np.int64)
         for v in versions:
             p, _ = _points(v)
@@ -145,17 +168,19 @@ class Model:
         self.index[known] = np.arange(2, 2 + len(known))
         n = 2 + len(known)
         self.tables = np.empty((len(STATES), n, n), np.float32)
-        lost = int(self.index[0xFFFD])
+        lost, total = int(self.index[0xFFFD]), max(1, sum(map(len, versions[0])))
         for s, v in zip([0, *range(2, len(STATES))], versions):
             ids, prev = self.ids(v)
             pair = np.bincount(prev * n + ids, minlength=n * n).reshape(n, n).astype(float)
             if s == 0 and rare:
                 doc = np.repeat(np.arange(len(v)), [len(t) for t in v])
                 seen = np.unique(doc * n * n + prev * n + ids) % (n * n)
-                usual = np.array([True, False, *(_script(chr(c)) in (1, 2) or c < 128 for c in known)])
+                usual = np.array([True, False, *(_script(chr(c)) in (1, 2) or c < 128 or chr(c) in MARKS for c in known)])
                 few = (np.bincount(seen, minlength=n * n).reshape(n, n) < rare * len(v)) & ~(usual[:, None] & usual[None, :])
                 pair[few] = 0
-            uni = pair.sum(0) + 0.02
+            # a state counted on seeds alone knows nothing of other characters
+            seeded = s > 1 and PAIRS[s - 2][1] in OWN_SEEDS
+            uni = pair.sum(0) + (0.02 * min(1.0, pair.sum() / total) if seeded else 0.02)
             uni[0] = 1e-9
             uni[1] += 0.2 if s == 0 else 0
             uni[lost] = 1e-9
@@ -173,6 +198,14 @@ class Model:
             t[ascii_pair] = np.minimum(t, self.tables[0] - np.float32(0.02))[ascii_pair]
         self._gains()
 
+    @staticmethod
+    def _damaged(texts: list[str], pair: tuple) -> list[str]:
+        """Texts a damaged state is counted on: the sample's, and seeds where the encoding has their letters."""
+        own = OWN_SEEDS.get(pair[1])
+        if own:
+            return [damage(t, pair) for t in own]
+        return [damage(t, pair) for t in (texts + SEEDS if pair[1] == "utf-8" and len(texts) > 9 else texts)]
+
     def _gains(self) -> None:
         self.gains = self.tables[1:] - self.tables[0]
         self.gain = self.gains.max(0)
@@ -194,8 +227,8 @@ class Model:
         clean[odd, :] = np.maximum(clean[odd, :], np.log(0.5 * uni + 1e-9))
         script = np.array([0, 0, *(_script(c) for c in chars)])
         letter = np.array([False, False, *(c.isascii() and c.isalpha() for c in chars)])
-        small = np.array([False, False, *("à" <= c <= "ÿ" and c.isalpha() for c in chars)])
-        large = np.array([False, False, *("À" <= c <= "Þ" and c.isalpha() for c in chars)])
+        small = np.array([False, False, *("ß" <= c <= "ž" and c.isalpha() and c.islower() for c in chars)])
+        large = np.array([False, False, *("À" <= c <= "Ž" and c.isalpha() and c.isupper() for c in chars)])
         for p, q, least in ((letter, small, 1e-3), (small, letter, 1e-2), (large, letter, 1e-2)):  # accents in Latin words
             at = p[:, None] & q[None, :]
             clean[at] = np.maximum(clean[at], np.log(least))
@@ -203,6 +236,12 @@ class Model:
         small_letter = np.array([False, False, *(c.islower() for c in chars)])
         natural = (script[:, None] > 0) & (script[:, None] == script[None, :]) & small_letter[None, :]
         clean[natural] = np.maximum(clean[natural], np.log(1e-3))
+        # names of any language: a span must read well in its own state, not only badly in the clean one
+        letters = np.array([False, False, *(ord(c) > 127 and c.isalpha() for c in chars)])
+        named = letters[None, :] & ((script[:, None] != 2) | (script[None, :] != 2))
+        clean[named] = np.maximum(clean[named], np.log(FLOOR))
+        ending = (script[:, None] > 0) & np.array([False, False, *(c in MARKS for c in chars)])[None, :]
+        clean[ending] = np.maximum(clean[ending], np.log(1e-3))
         mixed = (script[:, None] > 0) & (script[None, :] > 0) & (script[:, None] != script[None, :])
         clean[mixed] = np.maximum(clean[mixed], np.log(2e-4))
 
@@ -242,33 +281,66 @@ class Model:
         out[n > 0] = best > -ENTER
         return out
 
+    def _stretches(self, texts: list[str], flat: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, begin, end) of the stretches that may leave the clean state: where the largest sum of gains that
+        ends at a character is positive, as far as it reaches the cost of entering somewhere in them."""
+        own = self.gain.reshape(-1)[flat].astype(np.float64)
+        d, starts = own.copy(), (np.cumsum(n) - n)[n > 0]
+        d[starts] -= 1e5
+        c = np.cumsum(d)
+        before = np.concatenate([[0.0], c[:-1]])
+        before[starts] = c[starts] - own[starts]
+        ending = c - np.minimum.accumulate(before)
+        up = np.concatenate([[False], ending > 0, [False]])
+        doc = np.repeat(np.arange(len(n)), n)
+        edge = np.flatnonzero((up[1:] != up[:-1]) | np.concatenate([[False], (doc[1:] != doc[:-1]) & up[1:-2] & up[2:-1], [False]]))
+        out, first = [], np.cumsum(n) - n
+        for a, b in zip(edge[:-1], edge[1:]):
+            if up[a + 1] and ending[a:b].max() > -ENTER:
+                i = int(doc[a])
+                out.append((i, int(a - first[i]), int(b - first[i])))
+        return out
+
     def label(self, texts: list[str]) -> list[np.ndarray]:
-        """State of every character on the most likely path of each text (none may be empty)."""
-        order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+        """State of every character on the most likely path of each text."""
+        n = np.array([len(t) for t in texts], np.int64)
+        out = [np.zeros(k, np.int8) for k in n]
+        if not n.sum():
+            return out
+        ids, prev = self.ids(texts)
+        first = np.cumsum(n) - n
+        pieces = []  # (text, begin, end, begins inside a stretch, ends inside one, ends with its text)
+        for i, a, b in self._stretches(texts, prev * self.gain.shape[1] + ids, n):
+            for x in range(a, b, PIECE):
+                y = min(x + PIECE, b)
+                pieces.append((i, max(a, x - OVERLAP), min(b, y + OVERLAP), x > a, y < b, b == n[i], x, y))
+        pieces.sort(key=lambda q: q[2] - q[1])
         begin = 0
-        while begin < len(order):
+        while begin < len(pieces):
             end = begin + 1
-            while end < len(order) and (end + 1 - begin) * len(texts[order[end]]) * len(STATES) <= CELLS:
+            while end < len(pieces) and (end + 1 - begin) * (pieces[end][2] - pieces[end][1]) * len(STATES) <= CELLS:
                 end += 1
-            group = order[begin:end]
-            for i, path in zip(group, self._search([texts[i] for i in group])):
-                out[i] = path
+            group = pieces[begin:end]
+            cuts = [slice(first[q[0]] + q[1], first[q[0]] + q[2]) for q in group]
+            paths = self._search([ids[c] for c in cuts], [prev[c] for c in cuts], np.array([q[3] for q in group]), np.array([q[4] or q[5] for q in group]))
+            for (i, a, _, _, _, _, x, y), path in zip(group, paths):
+                out[i][x:y] = path[x - a : y - a]
             begin = end
         return out
 
-    def _search(self, texts: list[str]) -> list[np.ndarray]:
-        n = np.array([len(t) for t in texts])
-        rows, width, states = len(texts), int(n.max()), len(STATES)
-        ids, prev = self.ids(texts)
+    def _search(self, ids: list[np.ndarray], prev: list[np.ndarray], inside: np.ndarray, open_end: np.ndarray) -> list[np.ndarray]:
+        """Most likely paths; ``inside``: any state may come first, ``open_end``: any may be the last at no cost."""
+        n = np.array([len(x) for x in ids])
+        rows, width, states = len(ids), int(n.max()), len(STATES)
         at = np.zeros((rows, width), np.int64)
         before = np.zeros((rows, width), np.int64)
         mask = np.arange(width)[None, :] < n[:, None]
-        at[mask], before[mask] = ids, prev
+        at[mask], before[mask] = np.concatenate(ids), np.concatenate(prev)
         stay = np.ones((width, rows, states), bool)  # others: stayed (else entered from clean)
         source = np.zeros((width, rows), np.int8)  # clean: the state it came from
         v = np.full((rows, states), ENTER)
         v[:, 0] = 0.0
+        v[inside] = 0.0
         ends = np.zeros((rows, states))
         for t in range(width):
             if t:
@@ -283,6 +355,7 @@ class Model:
             done = n == t + 1
             if done.any():
                 ends[done] = v[done]
+        ends[:, 1:] += np.where(open_end, 0.0, LEAVE)[:, None]
         paths = np.zeros((rows, width), np.int8)
         state = ends.argmax(1).astype(np.int8)
         everyone = np.arange(rows)
@@ -308,12 +381,19 @@ def _train(texts: list[str]) -> Model:
 
 
 def train(parts: list[tuple[DataFrame, str]], rows: int = SAMPLE_ROWS) -> Model:
-    """Model from at most ``rows`` texts of each (table, text column), taken by the text's hash."""
+    """Model from at most ``rows`` different texts of each (table, text column), taken by the text's hash.
+
+    Of a text longer than SAMPLE_CHARS a piece is used that begins at a place given by the hash, so that
+    neither beginnings nor copies stand for the whole.
+    """
     texts: list[str] = []
     for df, column in parts:
-        c = F.col(column).cast("string")
-        some = df.select(F.substring(c, 1, SAMPLE_CHARS).alias("t"), F.xxhash64(c).alias("h")).where("t is not null and t <> ''")
-        texts += [r["t"] for r in some.orderBy("h", "t").limit(rows).collect()]
+        some = df.select(F.col(column).cast("string").alias("c")).where("c is not null and c <> ''").select("c", F.xxhash64("c").alias("h"))
+        place = F.expr(f"1 + pmod(h, greatest(length(c) - {SAMPLE_CHARS}, 0) + 1)").cast("int")
+        # the hashes chosen first: only they are made different and sorted, not the texts
+        chosen = some.select("h").distinct().orderBy("h").limit(rows)
+        found = some.join(F.broadcast(chosen), "h").select("h", F.substring("c", place, F.lit(SAMPLE_CHARS)).alias("t"))
+        texts += [r["t"] for r in found.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
     return _train(texts or [" "])
 
 
@@ -333,6 +413,31 @@ def _whole_words(text: str, path: np.ndarray) -> np.ndarray:
     return path
 
 
+def _restored(model: Model, piece: str, pair: tuple) -> tuple[str, bool]:
+    """The span under the pair's inverse, or under that of another pair that loses nothing and leaves it clean;
+    the span as it is where every inverse loses characters."""
+    text, ok = restore(piece, pair)
+    if ok:
+        return text, True
+    if "\ufffd" in text:
+        other = next((p for p in PAIRS if _clean_under(model, piece, p)), None)
+        return (restore(piece, other)[0], True) if other else (piece, False)
+    return text, False
+
+
+def _clean_under(model: Model, piece: str, pair: tuple) -> bool:
+    text, ok = restore(piece, pair)
+    return ok and text != piece and not model.suspects([text])[0]
+
+
+def _as_seeds(text: str, pair: tuple) -> bool:
+    """Whether a restored span reads like the languages of its encoding: letters of theirs, at least two."""
+    odd = [c for c in text if ord(c) > 127]
+    if pair[1] == "cp1250":
+        return len(odd) > 1 and all(c.lower() in "".join(SEEDS[:3]).lower() for c in odd)
+    return len(odd) > 1 and sum(c.isalpha() for c in odd) >= 0.8 * len(odd)
+
+
 def judge(model: Model, texts: list[str]) -> list[tuple | None]:
     """For each text None, or (restored text, whether nothing was lost, pairs found)."""
     out: list[tuple | None] = [None] * len(texts)
@@ -352,7 +457,11 @@ def judge(model: Model, texts: list[str]) -> list[tuple | None]:
             if state == 1:
                 whole = False
             elif state > 1:
-                piece, ok = restore(piece, PAIRS[state - 2])
+                back, ok = _restored(model, piece, PAIRS[state - 2])
+                if PAIRS[state - 2][1] in OWN_SEEDS and not (ok and _as_seeds(back, PAIRS[state - 2])):
+                    state = next((STATES.index(p[0]) for p in PAIRS if p[1] not in OWN_SEEDS and _clean_under(model, piece, p)), 0)
+                    back, ok = _restored(model, piece, PAIRS[state - 2]) if state else (piece, True)
+                piece = back
                 whole &= ok
             if state:
                 found.add(STATES[state])
@@ -362,6 +471,19 @@ def judge(model: Model, texts: list[str]) -> list[tuple | None]:
     return out
 
 
+def flag_garbled(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
+    """(rec_id, garbled) of every row with a text: whether some of it was decoded wrongly."""
+    shared = prepare(df.sparkSession).sparkContext.broadcast(model)
+    rows = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            garbled = [v is not None for v in judge(shared.value, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(garbled, pa.bool_())], ["rec_id", "garbled"])
+
+    return rows.mapInArrow(run, "rec_id bigint, garbled boolean")
+
+
 def find_garbled(df: DataFrame, model: Model, id_col: Column | str, text_col: Column | str) -> DataFrame:
     """(rec_id, restored, complete, pairs) of the rows with wrongly decoded text.
 

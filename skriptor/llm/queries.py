@@ -35,9 +35,9 @@ def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = load(spark, sf_dir, "obsidian_check")
-    odd = forms.unify(notes, "note_id").where("size(kinds) > 0").select("note_id", "text")
-    garbled = encoding.find_garbled(odd, encoding.train([(notes, "text")]), "note_id", "text")
-    return odd.select("note_id").distinct().join(garbled.select(F.col("rec_id").alias("note_id")), "note_id", "left_anti")
+    model = encoding.train([(notes, "text")])
+    odd = forms.unify(notes.where(forms.may_differ(F.col("text"))), "note_id").where("size(kinds) > 0")
+    return encoding.flag_garbled(odd, model, "note_id", "text").where("not garbled").select(F.col("rec_id").alias("note_id")).distinct()
 
 
 def _restored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -121,6 +121,22 @@ def test_table_has_no_conflicts():
     assert table["e\u0301"] == ("\u00e9", "accent") and all(k != v[0] for k, v in table.items())
 
 
+def test_form_of_a_form_is_itself():
+    apply, rng = forms.transducer(), random.Random(1)
+    blocks = [(0x20, 0x180), (0x300, 0x370), (0x370, 0x530), (0x1100, 0x1200), (0x1E00, 0x2070), (0x2100, 0x2130), (0xFB00, 0xFB07), (0xFE00, 0xFE10), (0xFF00, 0xFF61), (0x1F300, 0x1F400)]
+    pool = [chr(c) for r in blocks for c in range(*r)]
+    near = list("eoасеКиK\u0301\u0308\u0306\u200b\u200d\ufe0f☀👩\u00ad\u1112\u1161\u11ab ")
+    for i in range(8000):
+        text = "".join(rng.choice(near if i % 2 else pool) for _ in range(rng.randrange(1, 9)))
+        once = apply(text)[0]
+        assert apply(once) == (once, apply(once)[1]), text.encode("unicode_escape")
+
+
+@pytest.mark.parametrize("given, wanted", [("ｅ\u0301", "é"), ("e\u200b\u0301", "é"), ("co\u00ad\u043e\u0301p", "coóp"), ("\u212b", "Å"), ("\u212a", "K"), ("\u1112\u1161\u11ab", "한"), ("a\u0302\u0323", "ậ")])
+def test_forms_at_seams(given, wanted):
+    assert forms.transducer()(given)[0] == wanted
+
+
 # encodings ------------------------------------------------------------------
 
 
@@ -158,6 +174,36 @@ def test_screen_agrees_with_search():
     assert all(s for s, m in zip(model.suspects(probe), marked) if m) and marked[10:14] == [True] * 4
 
 
+def test_long_texts_are_searched_in_stretches():
+    rng = random.Random(10)
+    texts = [prose(rng, 3) for _ in range(60)]
+    model, pair = encoding._train(texts), encoding.PAIRS[2]
+    clean = prose(rng, 4000)
+    text = clean[:90000] + " " + encoding.damage("Кузнец нашёл молот", pair) + " " + clean[90000:]
+    (got,) = encoding.judge(model, [text])
+    assert got[0] == clean[:90000] + " Кузнец нашёл молот " + clean[90000:] and got[1]
+    whole = prose(rng, 400)
+    (got,) = encoding.judge(model, [encoding.damage(whole, pair)])  # longer than a piece
+    assert got[0] == whole and got[2] == ["utf-8 as cp1251"]
+
+
+def test_nothing_is_lost_by_restoring():
+    rng = random.Random(12)
+    model = encoding._train([prose(rng, 3) for _ in range(60)])
+    for text, name in (("Straße über Köln", "utf-8 as cp1252"), ("Łódź i Wrocław są piękne, żółw", "cp1250 as cp1252"), ("你好世界今天", "gbk as cp1252")):
+        pair = next(p for p in encoding.PAIRS if p[0] == name)
+        (got,) = encoding.judge(model, ["Note: " + encoding.damage(text, pair) + " and more."])
+        assert got and "\ufffd" not in got[0] and (got[0] == f"Note: {text} and more." or not got[1])
+    assert encoding.judge(model, ["¿Qué hora es?", "Österreich für Mädchen", "5 m³ за £20 ± 3 °C", "日本語テキスト"]) == [None] * 4
+
+
+def test_sample_is_of_different_texts(spark):
+    rng = random.Random(13)
+    rows = [(i, "копия " * 30) for i in range(300)] + [(1000 + i, prose(rng, 3)) for i in range(40)]
+    model = encoding.train([(docs(spark, rows), "text")], rows=40)
+    assert encoding.judge(model, [encoding.damage("Кузнец нашёл молот", encoding.PAIRS[0])])[0][0] == "Кузнец нашёл молот"
+
+
 # stuffed pages --------------------------------------------------------------
 
 
