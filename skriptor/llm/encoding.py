@@ -398,8 +398,17 @@ def train(parts: list[tuple[DataFrame, str]], rows: int = SAMPLE_ROWS) -> Model:
 
 
 def _whole_words(text: str, path: np.ndarray) -> np.ndarray:
-    """Labels carried on over the letters beyond ASCII that touch a labelled span."""
+    """Labels carried on over the letters beyond ASCII that touch a labelled span, and taken off the blanks at its ends."""
     path = path.copy()
+    edges = np.flatnonzero(np.diff(path)) + 1
+    for a, b in zip([0, *edges], [*edges, len(path)]):
+        if path[a] > 1:
+            while a < b and text[a] in " \n\t":
+                path[a] = 0
+                a += 1
+            while b > a and text[b - 1] in " \n\t":
+                path[b - 1] = 0
+                b -= 1
     for at in (*np.flatnonzero(np.diff(path)),):
         a, b = at, at + 1
         if path[a] == 0 and path[b] > 1:
@@ -420,7 +429,7 @@ def _restored(model: Model, piece: str, pair: tuple) -> tuple[str, bool]:
     if ok:
         return text, True
     if "\ufffd" in text:
-        other = next((p for p in PAIRS if _clean_under(model, piece, p)), None)
+        other = next((p for p in PAIRS if p[1] not in OWN_SEEDS and _clean_under(model, piece, p)), None)
         return (restore(piece, other)[0], True) if other else (piece, False)
     return text, False
 

@@ -142,7 +142,7 @@ def test_forms_at_seams(given, wanted):
 
 @pytest.mark.parametrize("pair", encoding.PAIRS, ids=lambda p: p[0])
 def test_damage_is_undone(pair):
-    text = "Кузнец нашёл молот"
+    text = encoding.OWN_SEEDS.get(pair[1], ["Кузнец нашёл молот"])[0]  # encodings without Russian letters
     assert encoding.restore(encoding.damage(text, pair), pair) == (text, True)
 
 
