@@ -17,7 +17,11 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps, so the number of rounds grows with
     the logarithm of the longest path; each round is written to the checkpoint folder.
     """
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
+
     current = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    now = mark(current)
     for _ in range(MAX_ROUNDS):
         both = current.union(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -25,9 +29,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         following = cut(small.select("e.a", "e.b").where("a <> b").distinct())
-        same = following.count() == current.count() and following.exceptAll(current).isEmpty()
-        current = following
-        if same:
+        current, last, now = following, now, mark(following)
+        if now == last:
             break
     else:
         raise RuntimeError("components did not settle")

@@ -1,7 +1,7 @@
 """Entries of one person or organisation under many spellings, by a noisy channel.
 
 Spellings are parsed to a given name and a surname (or an organisation's core,
-kind and suffix) in one alphabet.  Frequent spellings are candidate canonical
+kinds and suffix, or its acronym) in one alphabet; legal forms don't distinguish.  Frequent spellings are candidate canonical
 forms.  A variant is attached to the candidate with the largest posterior: the
 candidate's frequency as prior, times the likelihoods of the typing errors,
 nicknames and initials that would turn it into the variant; against it stands the
@@ -27,13 +27,20 @@ from skriptor.session import cut, prepare
 
 EDIT, PET, INITIAL, START, NEW = -4.0, -1.0, -1.5, -3.0, -9.0  # log likelihoods
 MARGIN = 0.75  # posterior share that settles an ambiguous spelling
-GIVEN_PARTNERS, GIVEN_SHARE, PET_SHARE = 8, 0.0008, 0.00005  # other words a given name stands with
+GIVEN_PARTNERS, GIVEN_LEAD, GIVEN_WINS = 8, 2.0, 0.5  # a given name stands with so many words, so many times as many as half of these do
+PET_SUPPORT, PET_SHARE = 2, 0.02  # surnames two forms of a name are listed with, and share of those of the rarer form
+LEXICON = 200_000  # largest number of given names and of pairs of forms, the most frequent ones
 
 # Titles, kinds of organisations and connecting words, as skeletons.
 TITLES = (
     "dr mr mrs miss ms master captain dame sir lady lord prof professor the aunt uncle доктор г-н г-жа господин госпожа капитан тётушка тетя дядюшка мастер мисс мистер миссис профессор"
 )
-KINDS = "издательство изд-во артель арт гильдия гильд мастерская маст товарищество т-во press pr association assoc workshop wksp company co brothers bros"
+# Kinds of organisations, the whole word first, then its abbreviations; legal forms.
+KINDS = """издательство изд-во изд izdatelstvo, артель арт artel, гильдия гильд gildiya, мастерская маст masterskaya, товарищество т-во тов-во tovarishchestvo,
+press pr, association assoc assn, workshop wksp, company co, brothers bros, фабрика ф-ка, завод з-д, фонд, институт ин-т, университет ун-т, общество об-во о-во,
+типография тип, редакция ред, агентство аг-во, кооператив кооп, союз, академия акад, музей, театр, библиотека биб-ка, institute inst, university univ, society soc,
+foundation fdn, academy acad, museum mus, library lib, agency, bank, group grp, holdings hldgs, partners, publishers publ, publishing, works wks, guild, union, studio, school"""
+LEGAL = "ооо оао зао пао ао ип нко ltd limited llc llp lp inc incorporated corp corporation gmbh ag kg sa sas srl sarl bv nv oy ab plc spa pty"
 SUFFIXES = {"сыновья": "sons", "synovya": "sons", "sons": "sons", "daughters": "daughters", "партнёры": "partners", "partnery": "partners", "partners": "partners"}
 LINKS = "и i and & y"
 
@@ -63,8 +70,10 @@ def skeleton(word: str, transliterated: bool = False) -> str:
 
 
 _TITLES = frozenset(map(skeleton, TITLES.split()))
+_KIND_OF = {skeleton(w, not _is_cyrillic(w) and w in ("izdatelstvo", "artel", "gildiya", "masterskaya", "tovarishchestvo")): skeleton(group.split()[0]) for group in KINDS.split(",") for w in group.split()}
 _RU_KINDS = frozenset(skeleton(x, True) for x in ("izdatelstvo", "artel", "gildiya", "masterskaya", "tovarishchestvo"))
-_KINDS = frozenset(map(skeleton, KINDS.split())) | _RU_KINDS
+_KINDS = frozenset(_KIND_OF) - {skeleton("partners")}  # a suffix as well
+_LEGAL = frozenset(map(skeleton, LEGAL.split()))
 _SUFFIXES = {skeleton(k): v for k, v in SUFFIXES.items()}
 _LINKS = frozenset(LINKS.split())
 
@@ -96,11 +105,8 @@ def parse(raw: str, kind: str | None, given: set[str], russian: set[str] = froze
         read = [skeleton(w, True) for w in words]
         if any(m in _RU_KINDS or len(m) > 2 and m in russian and not (m == s and s in given - russian) for m, s in zip(read, skel)):
             skel = read
-    if any(s in _KINDS for s in skel) and len(words) > 1 and (kind == "org" or any(s in _SUFFIXES for s in skel) or len(words) > 1):
-        kinds = sorted(s[0] for s, w in zip(skel, low) if s in _KINDS)[:1]
-        suffix = sorted(_SUFFIXES[s] for s in skel if s in _SUFFIXES)[:1]
-        core = [s for s, w in zip(skel, low) if s not in _KINDS and s not in _SUFFIXES and w not in _LINKS and len(s) > 1]
-        return ("o", "".join(kinds) + "/" + "".join(suffix), " ".join(core)) if core else None
+    if kind == "org" or kind != "person" and len(words) > 1 and any(s in _KINDS or s in _LEGAL for s in skel):
+        return _parse_org(words, low, skel)
     letters = [s for s, w in zip(skel, words) if len(w.rstrip(".")) == 1 and s]
     full = [(s, w.lower().rstrip(".")) for s, w in zip(skel, words) if len(w.rstrip(".")) > 1 and s]
     if len(full) > 2:
@@ -121,6 +127,21 @@ def parse(raw: str, kind: str | None, given: set[str], russian: set[str] = froze
     return "p", full[at], rest[-1]
 
 
+def _parse_org(words: list[str], low: list[str], skel: list[str]) -> tuple[str, str, str] | None:
+    """(o, kinds and suffix, core) of an organisation, or (a, kinds and suffix, letters) of its acronym."""
+    core = [(s, w) for s, w, raw in zip(skel, low, words) if s not in _KINDS and s not in _SUFFIXES and s not in _LEGAL and w not in _LINKS and len(s) > 1]
+    if not core:  # made of kinds only
+        core = [(s, w) for s, w in zip(skel, low) if s not in _LEGAL and w not in _LINKS and len(s) > 1]
+        return ("o", "/", " ".join(s for s, _ in core)) if core else None
+    kinds = sorted({_KIND_OF[s] for s in skel if s in _KINDS})
+    suffix = sorted({_SUFFIXES[s] for s in skel if s in _SUFFIXES})
+    key = "+".join(kinds) + "/" + "+".join(suffix)
+    raw = next(w.rstrip(".") for w, s in zip(words, skel) if s == core[0][0])
+    if len(core) == 1 and 2 <= len(core[0][0]) <= 5 and raw.isupper() and (len(words) == 1 or not all(w.isupper() for w in words)):
+        return "a", key, core[0][0]
+    return "o", key, " ".join(s for s, _ in core)
+
+
 def deletions(s: str) -> list[str]:
     """``s`` and all strings with one character less."""
     return list(dict.fromkeys([s, *(s[:i] + s[i + 1 :] for i in range(len(s)))]))
@@ -141,7 +162,7 @@ def within_one(a: str, b: str) -> bool:
 
 
 class Lexicon:
-    """Given names and the pairs of a name and its pet form; bounded by GIVEN_SHARE."""
+    """Given names and the pairs of a name and its pet form, at most LEXICON of each."""
 
     def __init__(self, given: set[str], pets: set[tuple[str, str]], russian: set[str] = frozenset()):
         self.given, self.russian = given, russian
@@ -151,17 +172,28 @@ class Lexicon:
             self.other.setdefault(b, set()).add(a)
 
     def keys(self, kind: str, first: str, second: str) -> list[str]:
-        """Blocking keys: two spellings that may be one share at least one."""
+        """Blocking keys: two spellings that may be one share at least one.
+
+        Keys hold a surname and (the beginning of) a given name, so that the people of one
+        surname don't meet; only initials, of which a surname has few, meet all that begin so.
+        """
+        if kind == "a":
+            return [f"a|{second}"]
         if kind == "o":
-            return [f"o|{first}|{d}" for d in deletions(second)]
-        starts = {first[:1], *(x[:1] for x in self.other.get(first, ()))}
-        out = [f"s|{d}|{c}" for d in deletions(second) for c in sorted(starts)]
-        if kind == "p":
-            out += [f"g|{second}|{d}" for d in deletions(first)]
-        return out
+            parts = second.split(" ")
+            return [f"o|{first}|{d}" for d in deletions(second)] + ([f"a|{''.join(x[0] for x in parts)}"] if len(parts) > 1 else [])
+        if kind == "i":
+            return [f"i|{d}|{first}" for d in deletions(second)]
+        names = {first[:2], *(f"{x}." for x in (first, *self.other.get(first, ())))}
+        out = [f"s|{d}|{c}" for d in deletions(second) for c in sorted(names)]
+        out += [f"i|{d}|{first[:1]}" for d in deletions(second)]
+        return out + [f"g|{second}|{d}" for d in deletions(first)]
 
     def likelihood(self, v: tuple, c: tuple, own: bool) -> float | None:
         """Log likelihood of the spelling v for the canonical c, or None; ``own``: only typing errors."""
+        if v[0] == "a":
+            fits = c[0] == "o" and v[1] in ("/", c[1]) and "".join(x[0] for x in c[2].split(" ")) == v[2]
+            return INITIAL if fits and not own else None
         if v[0] == "o" or c[0] == "o":
             if v[0] != c[0] or v[1] != c[1] or not within_one(v[2], c[2]) or min(len(v[2]), len(c[2])) < 6:
                 return None
@@ -205,8 +237,8 @@ def spellings(entries: DataFrame) -> DataFrame:
 
 
 def learn(rows: DataFrame, table: DataFrame | None) -> Lexicon:
-    """Given names: those of ``table`` and words that stand with many others; pet forms: of the
-    table, and pairs of given names that two or more entries list with the same surname."""
+    """Given names: those of ``table`` and words that stand with many others, which don't themselves; pet forms: of
+    the table, and pairs of given names that entries list with the same surname, for so large a share of the rarer one's."""
     given, pets, russian = set(), set(), set()
     if table is not None:
         for r in table.select("given_name", "short_name").distinct().collect():  # a fixed list of names
@@ -228,17 +260,21 @@ def learn(rows: DataFrame, table: DataFrame | None) -> Lexicon:
 
     pairs = cut(rows.where("source <> 'typo' and (kind is null or kind <> 'org')").mapInPandas(two, "id bigint, source string, a string, b string, cyrillic boolean"))
     partners = pairs.select("a", "b").distinct()
-    least = max(GIVEN_PARTNERS, GIVEN_SHARE * partners.count() / 2)
-    often = pairs.groupBy("a").agg(F.count_distinct("b").alias("n"), F.max("cyrillic").alias("cyrillic")).where(F.col("n") >= least).collect()  # at most 2 / GIVEN_SHARE words
+    degree = pairs.groupBy("a").agg(F.count_distinct("b").alias("n"), F.max("cyrillic").alias("cyrillic"))
+    # a given name stands with more words than these words themselves do, at any size of the registry
+    other = degree.select(F.col("a").alias("b"), F.col("n").alias("n_b"))
+    leads = partners.join(degree, "a").join(other, "b").groupBy("a").agg(F.max("n").alias("n"), F.max("cyrillic").alias("cyrillic"), F.avg((F.col("n") >= GIVEN_LEAD * F.col("n_b")).cast("int")).alias("wins"))
+    often = leads.where((F.col("n") >= GIVEN_PARTNERS) & (F.col("wins") >= GIVEN_WINS)).orderBy(F.desc("n"), "a").limit(LEXICON).collect()
     given |= {r["a"] for r in often}
     russian |= {r["a"] for r in often if r["cyrillic"]}
     names = pairs.sparkSession.createDataFrame([(g,) for g in sorted(given)] or [("",)], "a string")
     told = pairs.where("source in ('name', 'form')").select("id", "a", "b").distinct()
     x, y = told.join(F.broadcast(names), "a").alias("x"), told.alias("y")
     both = x.join(y, (F.col("x.id") == F.col("y.id")) & (F.col("x.b") == F.col("y.b")) & (F.col("x.a") != F.col("y.a")))
-    learned = both.groupBy(F.col("x.a").alias("a"), F.col("y.a").alias("b")).agg(F.countDistinct("x.b").alias("n"))
-    support = max(2, PET_SHARE * partners.count())  # bounds the number of pairs as well
-    pets |= {(r["a"], r["b"]) for r in learned.where(F.col("n") >= support).collect() if r["b"] in given or not within_one(r["a"], r["b"])}
+    learned = both.groupBy(F.col("x.a").alias("a"), F.col("y.a").alias("b")).agg(F.countDistinct("x.b").alias("n")).where(F.col("n") >= PET_SUPPORT)
+    sized = learned.join(degree.select("a", F.col("n").alias("n_a")), "a").join(other, "b")
+    kept = sized.where(F.col("n") >= PET_SHARE * F.least("n_a", "n_b")).orderBy(F.desc("n"), "a", "b").limit(LEXICON)
+    pets |= {(r["a"], r["b"]) for r in kept.collect() if r["b"] in given or not within_one(r["a"], r["b"])}
     return Lexicon(given, pets, russian)
 
 
@@ -269,7 +305,7 @@ def _candidates(spelt: DataFrame, shared, own: bool) -> DataFrame:
     fields = "m bigint, type string, first string, second string, n bigint, spelt bigint"
     keys = _spread(spelt.select("m", "type", "first", "second", "n", "spelt")).mapInPandas(keyed, "key string, " + fields)
     x = keys.select("key", F.struct("m", "type", "first", "second", "n", "spelt").alias("v"))
-    y = keys.where("type <> 'i'").select("key", F.struct("m", "type", "first", "second", "n", "spelt").alias("c"))
+    y = keys.where("type not in ('i', 'a')").select("key", F.struct("m", "type", "first", "second", "n", "spelt").alias("c"))
     met = x.join(y, "key").where("v.m <> c.m").select("v", "c").distinct()
     flat = met.select(*[F.col(f"{s}.{f}").alias(f"{s}_{f}") for s in "vc" for f in ("m", "type", "first", "second", "n", "spelt")])
 
@@ -281,7 +317,7 @@ def _candidates(spelt: DataFrame, shared, own: bool) -> DataFrame:
                 if p is not None:
                     rank_v = (r.v_n, r.v_first in shared.value.given, r.v_spelt, r.v_m)
                     rank_c = (r.c_n, r.c_first in shared.value.given, r.c_spelt, r.c_m)
-                    got.append((r.v_m, r.c_m, p, int(r.v_n), int(r.c_n), int(r.v_spelt), r.v_second != r.c_second, bool(rank_c > rank_v), r.v_type == "i"))
+                    got.append((r.v_m, r.c_m, p, int(r.v_n), int(r.c_n), int(r.v_spelt), r.v_second != r.c_second, bool(rank_c > rank_v), r.v_type in "ia"))
             yield pd.DataFrame(got, columns=["v", "c", "p", "v_n", "c_n", "v_spelt", "moved", "leads", "initial"])
 
     return flat.mapInPandas(judged, "v bigint, c bigint, p double, v_n bigint, c_n bigint, v_spelt bigint, moved boolean, leads boolean, initial boolean")
@@ -309,16 +345,17 @@ def linked_entries(entries: DataFrame, given_names: DataFrame | None = None) ->
     lexicon = learn(rows, given_names)
     shared = spark.sparkContext.broadcast(lexicon)
     parsed = cut(_parsed(rows, shared))
-    sure = parsed.where("type <> 'i'").select("id").distinct()
-    # an initial only speaks for an entry that has no full name
-    said = parsed.where("type <> 'i'").unionByName(parsed.where("type = 'i'").join(sure, "id", "left_anti"))
+    whole = "type not in ('i', 'a')"
+    sure = parsed.where(whole).select("id").distinct()
+    # an initial or an acronym only speaks for an entry that has no full name
+    said = parsed.where(whole).unionByName(parsed.where(f"not {whole}").join(sure, "id", "left_anti"))
     said = cut(said)
     counted = said.groupBy("m", "type", "first", "second").agg(F.countDistinct(F.when(F.col("source") != "typo", F.col("id"))).alias("n"))
     by_surname = said.where("source <> 'typo'").groupBy("type", "second").agg(F.countDistinct("id").alias("spelt"))
     spelt = cut(counted.join(by_surname, ["type", "second"], "left").fillna(0, ["spelt"]))
 
     # typing errors: attach to the largest posterior, against the spelling being a name of its own
-    close = _candidates(spelt.where("type <> 'i'"), shared, own=True)
+    close = _candidates(spelt.where(whole), shared, own=True)
     score = F.col("p") + F.ln(F.greatest("c_n", F.lit(1)))
     times = F.greatest(F.when(F.col("moved"), F.greatest("v_spelt", "v_n")).otherwise(F.col("v_n")), F.lit(1))
     expected = F.col("c_n") * F.exp("p")  # entries of the candidate in which this error is likely
@@ -327,17 +364,27 @@ def linked_entries(entries: DataFrame, given_names: DataFrame | None = None) ->
     attached = fits.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("v").alias("a"), F.col("c").alias("b"))
 
     node = F.expr("shiftleft(id, 1)")
-    told = said.where("type <> 'i'").select(node.alias("a"), F.col("m").alias("b")).union(attached)
+    told = said.where(whole).select(node.alias("a"), F.col("m").alias("b")).union(attached)
     first = cut(components(told))
 
     # pet names, then initials: attach to the component with the largest posterior, if it stands out
     vague = cut(_candidates(spelt, shared, own=False).where("p < 0"))
     settled, _ = _settle(vague.where("not initial"), first)
-    second = cut(components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).union(settled)))
+    second = cut(_merged(first, settled))
     settled, unclear = _settle(vague.where("initial"), second)
-    initials = said.where("type = 'i'").join(unclear.select(F.col("v").alias("m")), "m", "left_anti").select(node.alias("a"), F.col("m").alias("b"))
-    second = components(second.select(F.col("node").alias("a"), F.col("root").alias("b")).union(settled).union(initials))
-    return second.where("node % 2 = 0").select(F.expr("shiftright(node, 1)").alias("id"), "root")
+    initials = said.where(f"not {whole}").join(unclear.select(F.col("v").alias("m")), "m", "left_anti").select(node.alias("a"), F.col("m").alias("b"))
+    last = _merged(second, settled.union(initials))
+    return last.where("node % 2 = 0").select(F.expr("shiftright(node, 1)").alias("id"), "root")
+
+
+def _merged(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after further edges; only the components' roots and what is new take part in the rounds."""
+    edges = cut(edges)
+    of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"r{side}"))
+    short = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = cut(components(short))
+    moved = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.union(joined.join(moved.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def linked_pairs(entries: DataFrame, given_names: DataFrame | None = None) -> DataFrame:

@@ -131,6 +131,39 @@ def test_name_parts():
     assert names.within_one("abcd", "abdc") and names.within_one("abc", "abcd") and not names.within_one("abcd", "badc")
 
 
+def test_organisations(spark):
+    given = {names.skeleton("Николай")}
+    assert names.parse("ООО Ромашка", "org", given) == names.parse("Ромашка", "org", given)
+    assert names.parse("Acme Ltd", None, given) == names.parse("Acme, Inc.", "org", given) == ("o", "/", "acme")
+    assert names.parse("International Business Machines", "org", given) == ("o", "/", "international business machines")
+    assert names.parse("IBM", "org", given) == ("a", "/", "ibm") and names.parse("Арт. Северный", None, given) == names.parse("Артель «Северный»", "org", given)
+    assert names.parse("Артель Северный", "org", given) != names.parse("Association Северный", "org", given) != names.parse("Академия Северный", "org", given)
+    rows = [
+        (1, "International Business Machines", None, None, None, None, "org"),
+        (2, "IBM", None, None, None, None, "org"),
+        (3, "International Business Machines Corp.", [], [], [], [], "org"),
+        (4, "Internatonal Business Machines Inc", None, None, None, None, "org"),
+        (5, "ООО «Ромашка»", None, None, None, None, "org"),
+        (6, "Ромашка, АО", None, None, None, None, "org"),
+        (7, "Academy Ромашка", None, None, None, None, "org"),
+        (8, "Николай Press", None, None, None, None, "person"),
+    ]
+    root = {r["id"]: r["root"] for r in names.linked_entries(spark.createDataFrame(rows, SCHEMA), None).collect()}
+    assert len({root[i] for i in (1, 2, 3, 4)}) == 1 and root[5] == root[6] and root.get(7) not in (root[5], root[1])
+
+
+def test_given_names_at_two_sizes(spark):
+    rng = random.Random(2)
+    first, last = [w.capitalize() for w in WORDS[:12]], [w.capitalize() + "ов" for w in WORDS[20:]]
+    small = [(i, f"{rng.choice(first)} {rng.choice(last)}") for i in range(300)]
+    more = [(1000 + i, f"{rng.choice([w.capitalize() + 'ий' for w in WORDS[20:32]])} {rng.choice(last)}{rng.choice('абвг')}") for i in range(6000)]
+    found = []
+    for rows in (small, small + more):
+        df = spark.createDataFrame([(i, n, None, None, None, None, "person") for i, n in rows], SCHEMA)
+        found.append(names.learn(names.spellings(df), None).given & set(map(names.skeleton, first)))
+    assert found[0] == found[1] == set(map(names.skeleton, first))
+
+
 def test_names_common_error(spark):
     spelt = ["Николай Пехемегенов"] * 300 + ["Никлай Пехемегенов"] * 5
     df = spark.createDataFrame([(i, x, None, None, None, None, "person") for i, x in enumerate(spelt)], SCHEMA)
