@@ -10,12 +10,15 @@ texts share (boilerplate) is posted only where a text has nothing rarer.  Lists
 of one text are skipped by the join, as are pairs whose set sizes already rule
 the threshold out.  Pairs with t agreements are verified on their full sets.
 
-At the defaults (k = 24, t = 8) a pair with J = 0.7 misses t agreements with a
-probability of about 2e-5, with J = 0.8 of about 1e-8.
+k and t follow from the threshold: a pair exactly at it misses t agreements with a
+probability of at most MISSED, one above it with less (threshold 0.7: k = 24, t = 8,
+2e-5; a pair with J = 0.8 then 1e-8).  Lists that many texts share even so, such as
+those of a cluster of near copies, are split into blocks and joined block by block.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from fractions import Fraction
@@ -29,8 +32,11 @@ from pyspark.sql import functions as F
 from skriptor.functions import bloom
 from skriptor.session import cut, prepare
 
-COORDINATES, MATCHES = 24, 8
-SKETCH_BITS = 17  # cells of the frequency sketch that orders postings
+MISSED = 1e-4  # largest probability of missing a pair at the threshold
+COORDINATES = (24, 32, 48, 64, 96, 128)  # numbers of coordinates tried, for at least LEAST agreements
+LEAST = 4
+SKETCH_BITS = (17, 22)  # cells of the frequency sketch that orders postings: a sixteenth of the postings, within these bounds
+LIST_BLOCK = 4000  # postings of one list that are joined in one piece
 CLASS_BLOCK = 256  # members of a class of copies handled by one task row
 CHUNK_CHARS = 4_000_000
 
@@ -45,6 +51,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def layout(threshold: float) -> tuple[int, int]:
+    """The numbers of coordinates and of agreements for a threshold."""
+    for k in COORDINATES:
+        missed, t = 0.0, 0
+        while t < k and missed + math.comb(k, t) * threshold**t * (1 - threshold) ** (k - t) <= MISSED:
+            missed += math.comb(k, t) * threshold**t * (1 - threshold) ** (k - t)
+            t += 1
+        if t >= LEAST:
+            return k, t
+    raise ValueError(f"a threshold of {threshold} is too low for {COORDINATES[-1]} coordinates")
+
+
 def _code(word: str) -> int:
     if len(_CODES) > 2_000_000:
         _CODES.clear()
@@ -135,8 +153,8 @@ def _tokens(sig: np.ndarray) -> np.ndarray:
     return (np.arange(sig.shape[1], dtype=np.int64) << 32) + sig.astype(np.int64).astype(np.uint32)
 
 
-def _cells(tokens: np.ndarray) -> np.ndarray:
-    return (_mix(tokens.astype(np.uint64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def _cells(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (_mix(tokens.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
@@ -144,53 +162,70 @@ def _matrix(column: pa.Array, k: int) -> np.ndarray:
 
 
 def _frequencies(known: DataFrame, k: int) -> np.ndarray:
-    """Posting counts by sketch cell over all texts; the array's size is fixed."""
+    """Posting counts by sketch cell over all texts, in at most 2^22 cells."""
+    n = max(1, known.count() * k // 16)
+    bits = min(max(n.bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int64)
         for batch in batches:
             if batch.num_rows:
-                total += np.bincount(_cells(_tokens(_matrix(batch.column(0), k))).reshape(-1), minlength=len(total))
+                total += np.bincount(_cells(_tokens(_matrix(batch.column(0), k)), bits).reshape(-1), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
     rows = known.select("sig").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << bits, np.int64)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
 
 
-def _postings(known: DataFrame, reps: DataFrame, k: int, t: int) -> DataFrame:
-    """(token, id, n) of the k - t + 1 rarest coordinates of each representative; equal tokens of
-    different coordinates are a matter of chance and only add candidates."""
+def _postings(known: DataFrame, reps: DataFrame, k: int, t: int, list_block: int) -> DataFrame:
+    """(token, block, side, id, n) of the k - t + 1 rarest coordinates of each representative; equal tokens of
+    different coordinates are a matter of chance and only add candidates.
+
+    A list of more than ``list_block`` postings by the sketch has several blocks: a text is in one of them as
+    the right side (2) and in all as the left one (1), so that two texts meet in one block; else it is both (3).
+    """
     shared = reps.sparkSession.sparkContext.broadcast(_frequencies(known, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = k - t + 1
+        keep, counts = k - t + 1, shared.value
+        bits, usual = len(counts).bit_length() - 1, counts.mean()
         for batch in batches:
             if not batch.num_rows:
                 continue
             tokens = _tokens(_matrix(batch.column(2), k))
-            rank = np.minimum(shared.value[_cells(tokens)], (1 << 24) - 1) << 38 | tokens  # a token has 32 bits and its coordinate
+            rank = np.minimum(counts[_cells(tokens, bits)], (1 << 23) - 1) << 40 | tokens  # a token has 32 bits and its coordinate
             rank.sort(axis=1)
-            first = rank[:, :keep] & ((1 << 38) - 1)
+            first = rank[:, :keep].reshape(-1)
+            blocks = 1 + np.maximum((first >> 40) - usual, 0).astype(np.int64) // list_block
+            token = (_mix((first & ((1 << 40) - 1)).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            ids, n = np.repeat(batch.column(0).to_numpy(), keep), np.repeat(batch.column(1).to_numpy(), keep)
+            hot = np.flatnonzero(blocks > 1)
+            times = np.where(blocks > 1, blocks, 1)
+            row = np.repeat(np.arange(len(token)), times)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            side = np.where(blocks[row] > 1, 1, 3)
+            own = (_mix(ids[hot].astype(np.uint64)) % blocks[hot].astype(np.uint64)).astype(np.int64)
+            row, block, side = np.concatenate([row, hot]), np.concatenate([block, own]), np.concatenate([side, np.full(len(hot), 2)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array((_mix(first.reshape(-1).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(np.repeat(batch.column(0).to_numpy(), keep)), pa.array(np.repeat(batch.column(1).to_numpy(), keep))],
-                ["token", "id", "n"],
+                [pa.array(token[row]), pa.array(block.astype(np.int16)), pa.array(side.astype(np.int8)), pa.array(ids[row]), pa.array(n[row])], ["token", "block", "side", "id", "n"]
             )
 
-    return reps.select("id", "d.n", "d.sig").mapInArrow(run, "token int, id bigint, n int")
+    return reps.select("id", "d.n", "d.sig").mapInArrow(run, "token int, block smallint, side tinyint, id bigint, n int")
 
 
 def _sets_of(df: DataFrame, ids: DataFrame, width: int, min_words: int) -> DataFrame:
     """(id, s array<bigint>) of the rows whose id may be among ``ids``."""
-    words, bits = bloom.build(ids, ["id"])
-    shared = df.sparkSession.sparkContext.broadcast(words)
-    probes = [p.alias(f"b{i}") for i, p in enumerate(bloom.positions([F.col("id")], bits))]
+    known = bloom.build(ids, ["id"])
+    shared = df.sparkSession.sparkContext.broadcast(known.words)
+    probes = [p.alias(f"b{i}") for i, p in enumerate(bloom.positions([F.col("id")], known))]
+    held = len(probes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maybe = np.flatnonzero(bloom.hits(shared.value, [batch.column(i).to_numpy() for i in range(2, 2 + bloom.PROBES)]))
+            maybe = np.flatnonzero(bloom.hits(shared.value, [batch.column(i).to_numpy() for i in range(2, 2 + held)]))
             if not len(maybe):
                 continue
             for ids_, texts in _pieces(batch.select([0, 1]).take(pa.array(maybe))):
@@ -209,8 +244,9 @@ def near_duplicates(
     threshold: float = 0.8,
     width: int = 5,
     min_words: int = 15,
-    coordinates: int = COORDINATES,
-    matches: int = MATCHES,
+    coordinates: int | None = None,
+    matches: int | None = None,
+    list_block: int = LIST_BLOCK,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): class membership of every text and links between classes.
 
@@ -222,6 +258,8 @@ def near_duplicates(
     repeat an id count once; empty tables give empty results.
     """
     spark = prepare(df.sparkSession)
+    own = layout(threshold) if coordinates is None or matches is None else (coordinates, matches)
+    coordinates, matches = own[0] if coordinates is None else coordinates, own[1] if matches is None else matches
     limit = Fraction(str(threshold))
     num, den = limit.numerator, limit.denominator
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
@@ -232,11 +270,13 @@ def near_duplicates(
     first = known.groupBy("id").agg(F.first(F.struct("n", "sig", "short")).alias("d"))
     reps = first.join(named.select(F.col("rep").alias("id")), "id")
 
-    posted = _postings(known, reps, coordinates, matches)
+    posted = _postings(known, reps, coordinates, matches, list_block)
     x, y = posted.alias("x"), posted.alias("y")
     smaller, larger = F.least("x.n", "y.n").cast("long"), F.greatest("x.n", "y.n").cast("long")
-    hits = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (smaller * den >= larger * num))
-    pairs = hits.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    # texts of one list are put in order; where it has blocks, the left one meets each right one once
+    placed = F.when(F.col("x.side") == 3, F.col("x.id") < F.col("y.id")).otherwise((F.col("x.side") == 1) & (F.col("y.side") == 2) & (F.col("x.id") != F.col("y.id")))
+    hits = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & placed & (smaller * den >= larger * num))
+    pairs = hits.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
     agree = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda z: z))
     close = (
         pairs.join(reps.select(F.col("id").alias("a"), F.col("d.short").alias("sa")), "a")

@@ -25,20 +25,44 @@ def _lowest(mask: int) -> int:
     return (mask & -mask).bit_length() - 1
 
 
-def best_fit(hist: dict[int, int], capacities: list[int], opened: Callable[[int], int]) -> dict[str, np.ndarray]:
-    """Best-fit decreasing over size counts; ``opened(size)`` names the bin size to open.
+def least_cost(capacities: list[int]) -> Callable[[int, int, int], int]:
+    """The opening rule: the permitted size with the least room a token, given what is left.
+
+    A bin of size c takes as many items of the size at hand as fit; of the room that remains, so much
+    is counted as filled as the smaller items still to come can fill in all bins opened now.
+    """
+
+    def opened(size: int, left: int, below: int) -> int:
+        best = None
+        for c in capacities:
+            if c < size:
+                continue
+            own = min(c // size, left)
+            bins = -(-left // own)
+            used = own * size + min(c - own * size, below / bins)
+            if best is None or c / used <= best[0] * (1 + 1e-9):
+                best = c / used, c
+        return best[1]
+
+    return opened
+
+
+def best_fit(hist: dict[int, int], capacities: list[int], opened: Callable[[int, int, int], int]) -> dict[str, np.ndarray]:
+    """Best-fit decreasing over size counts; ``opened(size, left, below)`` names the bin size to open
+    for ``left`` items of a size and ``below`` tokens of smaller ones.
 
     Gives placements (size, first rank, first bin, count) and bin ranges
     (first bin, count, content).
     """
     free: dict[int, list[tuple[int, int, int]]] = {}  # room left: ranges of (first, end, opened size)
-    mask, bins, places = 0, 0, []
+    mask, bins, places, below = 0, 0, [], sum(s * n for s, n in hist.items() if s > 0)
     for size in sorted((s for s in hist if s > 0), reverse=True):
         left, rank = hist[size], 0
+        below -= size * left
         while left:
             fits = mask >> size
             if not fits:
-                cap = opened(size)
+                cap = opened(size, left, below)
                 n = -(-left // (cap // size))
                 free.setdefault(cap, []).append((bins, bins + n, cap))
                 mask |= 1 << cap
@@ -66,15 +90,16 @@ def best_fit(hist: dict[int, int], capacities: list[int], opened: Callable[[int]
 
 
 def plan(hist: dict[int, int], capacities: list[int]) -> dict[str, np.ndarray]:
-    """The cheapest of several opening rules, costed after downsizing every bin.
+    """The layout of the least-cost opening, or that of a fixed rule where this is cheaper after downsizing every bin.
 
-    An opening rule takes the smallest permitted size that holds ``q`` items of
-    the size at hand; q runs from 1 (smallest bin) to unbounded (largest bin).
+    A fixed rule takes the smallest permitted size that holds ``q`` items of the
+    size at hand; q runs from 1 (smallest bin) to unbounded (largest bin).
     """
     sizes = np.array(sorted(capacities))
     best = None
-    for q in (1, 1.5, 2, 3, 4, 8, float("inf")):
-        result = best_fit(hist, capacities, lambda s, q=q: int(next((c for c in sizes if c >= s * q), sizes[-1])))
+    fixed = [lambda s, left, below, q=q: int(next((c for c in sizes if c >= s * q), sizes[-1])) for q in (1, 1.5, 2, 3, 4, 8, float("inf"))]
+    for rule in [least_cost(sorted(capacities)), *fixed]:
+        result = best_fit(hist, capacities, rule)
         caps = sizes[np.searchsorted(sizes, result["ranges"][:, 2])]
         cost = int((caps * result["ranges"][:, 1]).sum())
         if best is None or (cost, result["bins"]) < best[0]:

@@ -73,9 +73,9 @@ def known_words(df: DataFrame, text_col: str = "text", share: float = KNOWN_SHAR
     The set cannot hold more than (mean distinct words of a text) / share words,
     however many texts there are.
     """
-    texts = df.select(F.lower(F.col(text_col).cast("string")).alias("t")).where("trim(t) <> ''").distinct()
-    each = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD_SQL), F.lit(0)))).alias("w"))
-    least = max(2.0, share * texts.count())
+    texts = df.select(F.lower(F.col(text_col).cast("string")).alias("t")).where("trim(t) <> ''")
+    each = texts.distinct().select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(WORD_SQL), F.lit(0)))).alias("w"))
+    least = max(2.0, share * texts.select(F.xxhash64("t")).distinct().count())  # only hashes are shuffled
     return {r["w"] for r in each.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("w").collect()}
 
 

@@ -46,6 +46,37 @@ def test_near_duplicates_against_loop(spark, seed):
     assert len(one) == len({r["id"] for r in one}) and {r["copies"] for r in one if r["id"] in (0, 1000, 1001)} == {3}
 
 
+def test_near_duplicates_long_lists(spark):
+    rng = random.Random(4)
+    base = [rng.choice(WORDS) for _ in range(60)]
+    rows = []
+    for i in range(60):  # one cluster that shares nearly all tokens
+        t = list(base)
+        t[rng.randrange(60)] = rng.choice(WORDS)
+        rows.append((i, " ".join(t)))
+    rows += [(1000 + i, x) for i, x in corpus(5, 10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    members, links = neardup.near_duplicates(df, threshold=0.7, list_block=3)
+    got = [(r["a"], r["b"]) for r in neardup.document_pairs(members, links).collect()]
+    assert len(got) == len(set(got)) and set(got) == exact(rows)
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.9])
+def test_near_duplicates_other_thresholds(spark, threshold):
+    rows = corpus(7, 15)
+    members, links = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=threshold)
+    assert {(r["a"], r["b"]) for r in neardup.document_pairs(members, links).collect()} == exact(rows, threshold)
+
+
+def test_layout():
+    assert neardup.layout(0.7) == (24, 8)
+    for threshold in (0.3, 0.5, 0.8):
+        k, t = neardup.layout(threshold)
+        assert sum(neardup.math.comb(k, i) * threshold**i * (1 - threshold) ** (k - i) for i in range(t)) <= neardup.MISSED
+    with pytest.raises(ValueError):
+        neardup.layout(0.05)
+
+
 def test_near_duplicates_edges(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     members, links = neardup.near_duplicates(none)
