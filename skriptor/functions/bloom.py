@@ -2,30 +2,44 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_EACH, MAX_BITS, PROBES = 12, 1 << 29, 3  # at most 64 MB whatever the number of keys
+BITS_EACH, MAX_BITS, PROBES = 12, 1 << 30, 4  # at most 128 MB whatever the number of keys
 
 
-def positions(key: list[Column], bits: int) -> list[Column]:
-    """Bit positions of a key; ``bits`` is a power of two."""
-    return [F.shiftrightunsigned(F.xxhash64(*key, F.lit(i)), 65 - bits.bit_length()) for i in range(PROBES)]
+class Filter(NamedTuple):
+    words: np.ndarray
+    bits: int  # a power of two
+    probes: int  # fewer where many keys share the bits, so that even a crowded filter proves what it can
 
 
-def build(keys: DataFrame, key: list[str], count: int | None = None) -> tuple[np.ndarray, int]:
-    """Filter words and number of bits for all rows of ``keys``."""
-    n = keys.count() if count is None else count
-    bits = 1 << max(16, min(MAX_BITS, max(1, n) * BITS_EACH).bit_length() - 1)
-    each = keys.select(F.explode(F.array(*positions([F.col(k) for k in key], bits))).alias("bit"))
+def positions(key: list[Column], f: Filter) -> list[Column]:
+    """Bit positions of a key."""
+    return [F.shiftrightunsigned(F.xxhash64(*key, F.lit(i)), 65 - f.bits.bit_length()) for i in range(f.probes)]
+
+
+def sized(n: int) -> Filter:
+    """An empty filter for ``n`` keys."""
+    bits = 1 << max(16, min(MAX_BITS, n * BITS_EACH - 1).bit_length())
+    bits = min(bits, MAX_BITS)
+    probes = min(PROBES, max(1, round(bits / max(1, n) * math.log(2))))
+    return Filter(np.zeros(bits // 64, np.uint64), bits, probes)
+
+
+def build(keys: DataFrame, key: list[str], count: int | None = None) -> Filter:
+    """The filter of all rows of ``keys``."""
+    out = sized(keys.count() if count is None else count)
+    each = keys.select(F.explode(F.array(*positions([F.col(k) for k in key], out))).alias("bit"))
     rows = each.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
-    return out.view(np.uint64), bits
+    out.words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
+    return out
 
 
 def hits(words: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
@@ -36,11 +50,11 @@ def hits(words: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:
     return ok
 
 
-def probe(df: DataFrame, key: list[str], words: np.ndarray, bits: int, out: str = "maybe") -> DataFrame:
+def probe(df: DataFrame, key: list[str], f: Filter, out: str = "maybe") -> DataFrame:
     """``df`` with a boolean column: false is certain, true is to be verified."""
-    shared = df.sparkSession.sparkContext.broadcast(words)
-    names = [f"_b{i}" for i in range(PROBES)]
-    rows = df.select("*", *[p.alias(n) for p, n in zip(positions([F.col(k) for k in key], bits), names)])
+    shared = df.sparkSession.sparkContext.broadcast(f.words)
+    names = [f"_b{i}" for i in range(f.probes)]
+    rows = df.select("*", *[p.alias(n) for p, n in zip(positions([F.col(k) for k in key], f), names)])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{out}` boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,9 +2,10 @@
 
 A Bloom filter of all parent keys, broadcast at a bounded size, proves most
 orphans without a join.  The references it lets through are verified by an exact
-as-of join on (group, key, month): a parent is alive at t exactly if the largest
+as-of join on (group, key, day): a parent is alive at t exactly if the largest
 end among the parents that began by t lies beyond t, so parents are reduced to
-one row a month before they meet references, and no key's rows are paired up.
+one row a day before they meet references, no key's rows are paired up, and the
+references to a popular key are split by their days.
 """
 
 from __future__ import annotations
@@ -37,23 +38,23 @@ def orphan_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
         "ref_group", "ref_key", F.col("born").cast("timestamp").alias("t"), F.coalesce(F.col("gone").cast("timestamp"), F.expr(FOREVER)).alias("ends")
     )
     life = life.groupBy("ref_group", "ref_key", "t").agg(F.max("ends").alias("ends"))
-    words, bits = bloom.build(life.select("ref_group", "ref_key").distinct(), ["ref_group", "ref_key"])
-    tested = cut(bloom.probe(refs, ["ref_group", "ref_key"], words, bits))
+    known = bloom.build(life.select("ref_group", "ref_key").distinct(), ["ref_group", "ref_key"])
+    tested = cut(bloom.probe(refs, ["ref_group", "ref_key"], known))
     sure = tested.where("not maybe").drop("maybe").withColumn("proof", F.lit("bloom"))
 
-    month = F.trunc(F.col("t"), "month").alias("m")
+    day = F.to_date("t").alias("d")
     asked = tested.where("maybe").select("ref_group", "ref_key", F.col("ref_at").cast("timestamp").alias("t"), F.struct("ref_at", "r").alias("r"))
-    monthly = life.groupBy("ref_group", "ref_key", month).agg(F.max("ends").alias("ends"))
-    wanted = asked.select("ref_group", "ref_key", month).distinct().select("*", F.expr(NEVER).alias("ends"))
-    by_month = monthly.union(wanted).groupBy("ref_group", "ref_key", "m").agg(F.max("ends").alias("ends"))
-    earlier = Window.partitionBy("ref_group", "ref_key").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_month.select("ref_group", "ref_key", "m", F.coalesce(F.max("ends").over(earlier), F.expr(NEVER)).alias("before"))
-    within = Window.partitionBy("ref_group", "ref_key", "m").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    both = asked.select("ref_group", "ref_key", month, "t", F.lit(1).alias("kind"), F.expr(NEVER).alias("ends"), "r").unionByName(
-        life.select("ref_group", "ref_key", month, "t", F.lit(0).alias("kind"), "ends"), allowMissingColumns=True
+    daily = life.groupBy("ref_group", "ref_key", day).agg(F.max("ends").alias("ends"))
+    wanted = asked.select("ref_group", "ref_key", day).distinct().select("*", F.expr(NEVER).alias("ends"))
+    by_day = daily.union(wanted).groupBy("ref_group", "ref_key", "d").agg(F.max("ends").alias("ends"))
+    earlier = Window.partitionBy("ref_group", "ref_key").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_day.select("ref_group", "ref_key", "d", F.coalesce(F.max("ends").over(earlier), F.expr(NEVER)).alias("before"))
+    within = Window.partitionBy("ref_group", "ref_key", "d").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.select("ref_group", "ref_key", day, "t", F.lit(1).alias("kind"), F.expr(NEVER).alias("ends"), "r").unionByName(
+        life.select("ref_group", "ref_key", day, "t", F.lit(0).alias("kind"), "ends"), allowMissingColumns=True
     )
     latest = both.withColumn("latest", F.max("ends").over(within)).where("kind = 1")
-    dead = latest.join(before, ["ref_group", "ref_key", "m"], "left").where(F.greatest("latest", F.coalesce("before", F.expr(NEVER))) <= F.col("t"))
+    dead = latest.join(before, ["ref_group", "ref_key", "d"], "left").where(F.greatest("latest", F.coalesce("before", F.expr(NEVER))) <= F.col("t"))
     verified = dead.select("ref_group", "ref_key", F.col("r.ref_at").alias("ref_at"), F.col("r.r").alias("r"), F.lit("join").alias("proof"))
     return sure.unionByName(verified).select("ref_group", "ref_key", "ref_at", *[F.col("r")[c].alias(c) for c in extra], "proof")
 

@@ -61,7 +61,8 @@ def test_long_text(spark):
 
 def test_bloom(spark):
     keys = spark.range(1000).select(F.col("id").alias("k"))
-    words, bits = bloom.build(keys, ["k"])
-    probed = bloom.probe(spark.range(5000).select(F.col("id").alias("k")), ["k"], words, bits)
+    known = bloom.build(keys, ["k"])
+    probed = bloom.probe(spark.range(5000).select(F.col("id").alias("k")), ["k"], known)
+    assert bloom.sized(10**9).probes == 1 and bloom.sized(1000).probes == bloom.PROBES
     assert probed.where("k < 1000 and not maybe").count() == 0
     assert probed.where("k >= 1000 and maybe").count() < 200
