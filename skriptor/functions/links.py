@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skriptor.functions.state import SOFT
+
 FENCES = r"(?ms)^[ \t]*(`{3,}|~{3,})[^\n]*(?:\n.*?^[ \t]*\1[`~]*[ \t]*$|.*\z)"
 INLINE = r"(?<!`)(`+)(?!`)[^\n]*?(?<!`)\1(?!`)"  # on one line; a class, so that long lines need no deep stack
+# lines that begin with four blanks after a blank line, or at the start, and the blank lines between them
+INDENTED = rf"(?dm)(?:\A|^[{SOFT}]*\n)(?:[{SOFT}]*\n)*+ {{4}}[^\n]*(?:\n|\z)(?: {{4}}[^\n]*(?:\n|\z)|[{SOFT}]*\n)*+"
 WIKI = r"\[\[([^\[\]\n]*)\]\]"
 MARKDOWN = r"(?<!\[)\[(?:[^\[\]\n]|\[[^\[\]\n]*\])*\]\((<[^<>\n]*>|(?:[^()\n]|\([^()\n]*\))*)\)"
 SCHEME = r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|//)"
@@ -14,8 +18,9 @@ EXTENSION = r"\.(?=[a-z0-9]*[a-z])[a-z0-9]{1,8}$"
 
 
 def without_code(text: Column) -> Column:
-    """``text`` without fenced blocks (an open one runs to the end) and inline code."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), FENCES, ""), INLINE, "")
+    """``text`` without fenced blocks (an open one runs to the end), indented blocks and inline code."""
+    unfenced = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), FENCES, "\x01")  # no blank line, so no indented block follows
+    return F.regexp_replace(F.regexp_replace(unfenced, INDENTED, "\n"), INLINE, "")
 
 
 def wiki_targets(text: Column) -> Column:
@@ -53,6 +58,13 @@ def clean_markdown(raw: Column) -> Column:
     return F.when(inner.rlike(SCHEME), F.lit("")).otherwise(_finished(percent_decoded(path)))
 
 
+def relative_path(folder: Column, target: Column) -> Column:
+    """A path seen from a folder, with ``.`` and ``..`` resolved; one that leads above the root stays there."""
+    parts = F.split(F.when(target.startswith("/"), target).otherwise(F.concat(folder, F.lit("/"), target)), "/")
+    step = lambda acc, x: F.when(x == "..", F.regexp_replace(acc, "/?[^/]*$", "")).when(x.isin("", "."), acc).when(acc == "", x).otherwise(F.concat(acc, F.lit("/"), x))
+    return F.aggregate(parts, F.lit(""), step)
+
+
 def last_component(target: Column) -> Column:
     """What stands behind the last ``/``."""
     return F.trim(F.regexp_extract(target, r"[^/]*$", 0))

@@ -14,36 +14,50 @@ def numbered_lines(df: DataFrame, id_col: str, text_col: str, newline_only: bool
     return df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(parts).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def masks(text: Column, fences: tuple[str, ...] = ("```", "~~~"), front_matter: bool = True) -> Column:
-    """array<boolean>, one for each line: whether it lies in a fence or in front matter.
+SOFT = T.SPACE.replace(r"\t-\r", r"\t\x{0b}-\r")  # white space but for the line end
+
+
+def _blocks(fences: tuple[str, ...], front_matter: bool) -> str:
+    """Pattern of the blocks of whole lines that are masked."""
+    matter = rf"\A[{SOFT}]*---[{SOFT}]*(?:\n(?:.*?^[{SOFT}]*---[{SOFT}]*$|.*\z)|\z)"
+    fence = rf"^[{SOFT}]*({'|'.join(fences)})[^\n]*(?:\n(?:.*?^[{SOFT}]*\1[^\n]*$|.*\z)|\z)"
+    return "(?dms)" + (f"{matter}|{fence}" if front_matter else fence)
+
+
+def masked_lines(text: Column, fences: tuple[str, ...] = ("```", "~~~"), front_matter: bool = True) -> Column:
+    """array<struct<line, masked>>, one for each line: whether it lies in a fence or in front matter.
 
     Front matter runs from a first line ``---`` to the next one.  A fence opens at a
     line that begins with a marker and closes at one that begins with the same.
-    Marker lines themselves are masked.
+    Marker lines themselves are masked.  The text is cut at its blocks, so the work
+    is linear in its lines.
     """
-    first = F.struct(F.lit(0).alias("n"), F.lit("").alias("open"), F.array().cast("array<boolean>").alias("out"))
+    pattern = _blocks(fences, front_matter)
 
-    def step(acc: Column, line: Column) -> Column:
-        n, held = acc["n"] + 1, acc["open"]
-        bare, lead = T.strip(line), F.substring(F.regexp_replace(line, rf"^[{T.SPACE}]+", ""), 1, 3)
-        state = (
-            F.when((held == "---") & (bare == "---"), "")
-            .when(held == "---", "---")
-            .when(F.lit(front_matter) & (n == 1) & (bare == "---"), "---")
-            .when((held == "") & lead.isin(*fences), lead)
-            .when((held != "") & (lead == held), "")
-            .otherwise(held)
-        )
-        return F.struct(n.alias("n"), state.alias("open"), F.concat(acc["out"], F.array((held != "") | (state != ""))).alias("out"))
+    def flagged(body: Column, masked: bool) -> Column:
+        return F.transform(F.split(body, "\n"), lambda x: F.struct(x.alias("line"), F.lit(masked).alias("masked")))
 
-    return F.aggregate(F.split(text, "\n"), first, step, lambda acc: acc["out"])
+    def piece(x: Column, i: Column) -> Column:
+        gap, last = x["gap"], x["hit"].isNull()
+        # a gap has a line end at each side where a block stands
+        begin = F.when(i > 0, 2).otherwise(1)
+        size = F.length(gap) - (begin - 1) - F.when(last, 0).otherwise(1)
+        none = F.array().cast("array<struct<line:string,masked:boolean>>")
+        plain = F.when(size < 0, none).otherwise(flagged(F.substring(gap, begin, size), False))
+        return F.when(last, plain).otherwise(F.concat(plain, flagged(x["hit"], True)))
+
+    zipped = F.arrays_zip(F.split(text, pattern).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    return F.flatten(F.transform(zipped, piece))
+
+
+def masks(text: Column, fences: tuple[str, ...] = ("```", "~~~"), front_matter: bool = True) -> Column:
+    """array<boolean>, one for each line: the flags of ``masked_lines``."""
+    return F.transform(masked_lines(text, fences, front_matter), lambda x: x["masked"])
 
 
 def state_lines(df: DataFrame, id_col: str, text_col: str, fences: tuple[str, ...] = ("```", "~~~"), front_matter: bool = True) -> DataFrame:
     """One row a line with its mask."""
-    rows = df.where(F.col(text_col).isNotNull())
-    zipped = F.arrays_zip(F.split(F.col(text_col), "\n").alias("line"), masks(F.col(text_col), fences, front_matter).alias("masked"))
-    each = rows.select(F.col(id_col), F.posexplode(zipped).alias("n", "s"))
+    each = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.posexplode(masked_lines(F.col(text_col), fences, front_matter)).alias("n", "s"))
     return each.select(id_col, (F.col("n") + 1).alias("line_no"), "s.line", "s.masked")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -94,25 +97,72 @@ def word_bounded(phrase: str) -> str:
     return rf"(?<![{LETTER}]){body}(?![{LETTER}])"
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+CHUNK = 256  # matches added up in one fold, so that no array is grown by one again and again
+
+
 def offsets(s: Column, pattern: str) -> Column:
-    """array<struct<pos, hit>> of all matches: 0-based start and text, like an iterator over matches."""
-    hits, gaps = matches(s, pattern), F.split(s, pattern)
-    empty = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<pos:int,hit:string>>").alias("out"))
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gap"), hits.alias("hit"))
+    """array<struct<pos, line, hit>> of all matches: 0-based start, 1-based line and text, like an iterator over matches.
+
+    Sums run within chunks of matches and then over the chunks, so the work grows
+    with the text and not with its matches squared.
+    """
+    kind = "array<struct<pos:int,line:int,hit:string>>"
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    none = F.array().cast(kind)
 
     def add(acc: Column, x: Column) -> Column:
-        pos = acc["end"] + F.length(x["gap"])
-        return F.struct((pos + F.length(x["hit"])).alias("end"), F.concat(acc["out"], F.array(F.struct(pos.alias("pos"), x["hit"].alias("hit")))).alias("out"))
+        pos, line = acc["end"] + F.length(x["gap"]), acc["line"] + breaks(x["gap"])
+        hit = F.array(F.struct(pos.alias("pos"), line.alias("line"), x["hit"].alias("hit")))
+        return F.struct((pos + F.length(x["hit"])).alias("end"), (line + breaks(x["hit"])).alias("line"), F.concat(acc["out"], hit).alias("out"))
+
+    def chunk(pairs: Column) -> Column:
+        return F.aggregate(pairs, F.struct(F.lit(0).alias("end"), F.lit(0).alias("line"), none.alias("out")), add)
 
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, empty, add, lambda acc: acc["out"])).otherwise(F.array().cast("array<struct<pos:int,hit:string>>"))
+    def join(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["out"], lambda m: F.struct((m["pos"] + acc["end"]).alias("pos"), (m["line"] + acc["line"]).alias("line"), m["hit"].alias("hit")))
+        return F.struct((acc["end"] + x["end"]).alias("end"), (acc["line"] + x["line"]).alias("line"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    def summed(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / CHUNK).cast("int")), lambda i: chunk(F.slice(pairs, i * CHUNK + 1, CHUNK)))
+        first = F.struct(F.lit(0).alias("end"), F.lit(1).alias("line"), F.array().cast(f"array<{kind}>").alias("out"))
+        return F.aggregate(chunks, first, join, lambda acc: F.flatten(acc["out"]))
+
+    def paired(hits: Column) -> Column:
+        gaps = F.slice(F.split(s, pattern), F.lit(1), F.size(hits))
+        return F.when(F.size(hits) > 0, let(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), summed)).otherwise(none)
+
+    return let(matches(s, pattern), paired)
+
+
+PIECE, AROUND = 4096, 512
+
+
+def pieces(s: Column) -> Column:
+    """The text in overlapping pieces, in which ``context_in`` finds a place without reading from the start."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.length(s) / PIECE).cast("int")), lambda i: F.substring(s, i * PIECE + 1, PIECE + AROUND))
 
 
 def context(s: Column, pos: Column, length: Column, width: int = 40) -> Column:
     """The text around a place on one line, with … where it is cut."""
+    return _around(s, F.length(s), F.lit(0), pos, length, width)
+
+
+def context_in(parts: Column, whole: Column, pos: Column, length: Column, width: int = 40) -> Column:
+    """``context`` from the ``pieces`` of a text of ``whole`` characters; a match longer than AROUND is cut."""
+    at = F.floor(F.greatest(pos - width, F.lit(0)) / PIECE).cast("int")
+    return _around(F.get(parts, at), whole, at * PIECE, pos, F.least(length, F.lit(AROUND - 2 * width)), width)
+
+
+def _around(part: Column, whole: Column, begins: Column, pos: Column, length: Column, width: int) -> Column:
     begin = F.greatest(pos - width, F.lit(0))
-    end = F.least(pos + length + width, F.length(s))
-    body = F.replace(F.substring(s, begin + 1, end - begin), F.lit("\n"), F.lit(" "))
-    return F.concat(F.when(begin > 0, "…").otherwise(""), strip(body), F.when(end < F.length(s), "…").otherwise(""))
+    end = F.least(pos + length + width, whole)
+    body = F.replace(F.substring(part, begin - begins + 1, end - begin), F.lit("\n"), F.lit(" "))
+    return F.concat(F.when(begin > 0, "…").otherwise(""), strip(body), F.when(end < whole, "…").otherwise(""))
 
 
 def line_of(s: Column, pos: Column) -> Column:
@@ -137,21 +187,43 @@ def clock(seconds: Column) -> Column:
     return F.format_string("%02d:%02d", F.floor(s / 60), s % 60)
 
 
-def html_to_text(html: Column) -> Column:
+# Parts of a page without text of their own, and what stands for a character: by name, or by its number in decimal or hexadecimal.
+UNSEEN = ("script", "style", "noscript")
+ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _named() -> dict[str, str]:
+    """Characters of the names that HTML defines, from Python's own table; names without a semicolon are left out."""
+    return {k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")}
+
+
+def resolve_entities(s: Column) -> Column:
+    """All entities of HTML in one pass over the text, so what an entity stands for isn't read again."""
+    names = _named()
+
+    def image(e: Column) -> Column:
+        name = F.regexp_extract(e, ENTITY, 1)
+        number = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).cast("int")
+        valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        by_number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(name.startswith("#"), by_number).otherwise(F.coalesce(F.element_at(F.from_json(F.lit(_table(names)), "map<string,string>"), name), e))
+
+    def joined(hits: Column) -> Column:
+        parts = F.arrays_zip(F.split(s, ENTITY).alias("gap"), hits.alias("hit"))
+        return F.array_join(F.transform(parts, lambda x: F.concat(x["gap"], F.when(x["hit"].isNull(), "").otherwise(image(x["hit"])))), "")
+
+    return F.when(s.contains("&"), let(matches(s, ENTITY), joined)).otherwise(s)
+
+
+def _table(names: dict[str, str]) -> str:
+    import json
+
+    return json.dumps(names, ensure_ascii=True)
+
+
+def html_to_text(page: Column) -> Column:
     """Readable text of a page: no comments, scripts, styles or tags; entities resolved; blank lines at most single."""
-    s = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    s = F.regexp_replace(s, r"(?is)<(script|style|noscript)[^>]*>.*?</\1>", " ")
-    s = F.regexp_replace(s, r"(?s)<[^>]+>", " ")
-    for name, c in ENTITIES.items():
-        s = F.replace(s, F.lit(f"&{name};"), F.lit(c))
-    s = F.replace(s, F.lit("&amp;"), F.lit("&"))
-    s = F.regexp_replace(s, r"[ \t\f]+", " ")
-    s = F.regexp_replace(s, r" ?\n ?", "\n")
-    return strip(F.regexp_replace(s, r"\n{3,}", "\n\n"))
-
-
-# Entities met in prose; &amp; is resolved last.
-ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "nbsp": " ", "laquo": "«", "raquo": "»", "mdash": "—", "ndash": "–", "hellip": "…",
-    "ldquo": "“", "rdquo": "”", "lsquo": "‘", "rsquo": "’", "bdquo": "„", "copy": "©", "reg": "®", "shy": "­", "sect": "§", "deg": "°",
-}
+    unseen = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in UNSEEN)
+    bare = F.regexp_replace(page, rf"(?is)<!--.*?-->|{unseen}|<[^>]+>", " ")
+    rows = F.transform(F.split(resolve_entities(bare), "\n"), lambda row: F.trim(F.regexp_replace(row, r"[ \t\f]+", " ")))
+    return strip(F.regexp_replace(F.array_join(rows, "\n"), r"\n{3,}", "\n\n"))

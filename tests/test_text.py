@@ -29,7 +29,9 @@ def test_scalars(spark):
     assert one(spark, lambda s: T.ngrams(F.split(s, " "), 3), "a b") == []
     assert one(spark, lambda s: T.phrase_count(s, "aa"), "aaaa aa") == 3
     assert one(spark, T.code_points, "aЖ") == "U+0061 U+0416"
-    assert [tuple(x) for x in one(spark, lambda s: T.offsets(s, "b+"), "abbcb")] == [(1, "bb"), (4, "b")]
+    assert [tuple(x) for x in one(spark, lambda s: T.offsets(s, "b+"), "abbc\nb")] == [(1, 1, "bb"), (5, 2, "b")]
+    many = "ab\n" * 1000
+    assert [tuple(x) for x in one(spark, lambda s: T.offsets(s, "b"), many)] == [(3 * i + 1, i + 1, "b") for i in range(1000)]
     assert one(spark, T.html_to_text, "<p>a &amp; b</p><script>x</script>\n\n\n\n<!-- c -->d") == "a & b \n\nd".replace(" \n", "\n")
     assert one(spark, lambda s: T.clock(s.cast("int")), "125") == "02:05"
     assert one(spark, T.content_hash, "a  b\nc") == one(spark, T.content_hash, " a b c ")
