@@ -10,7 +10,8 @@ from skriptor.functions import words as W
 
 NAME_RU, NAME_EN = r"(?U)\b[А-ЯЁ][а-яё]+(?:-[а-яё]+)?", r"(?U)\b[A-Z][a-z]+(?:[-‘’][A-Z][a-z]+)*"
 PAIR_RU, PAIR_EN = r"(?U)\b[А-ЯЁ][а-яё]+ [А-ЯЁ][а-яё]+\b", r"(?U)\b[A-Z][a-z]+(?:[-‘’][A-Z][a-z]+)* [A-Z][a-z]+(?:[-‘’][A-Z][a-z]+)*\b"
-FIELDS = {"forms": "ok", "old_forms": "old", "old_dangerous": "dangerous", "typos": "typo"}
+FIELDS = {"name": "ok", "forms": "ok", "old_forms": "old", "old_dangerous": "dangerous", "typos": "typo"}
+BREAK = rf"[^{T.LETTER} «»\"“”„-]+|\s-\s"  # what ends a run of words
 WORD = rf"[{T.LETTER}]+(?:-[{T.LETTER}]+)*"
 
 
@@ -79,32 +80,42 @@ def terms(entries: DataFrame, fields: dict[str, str] | None = None, group_col: s
     fields = FIELDS if fields is None else fields
     group = [F.col(group_col).alias("grp")] if group_col else []
     kept = ["grp"] if group_col else []
-    each = [F.struct(F.lit(kind).alias("kind"), F.coalesce(F.col(f), F.array().cast("array<string>")).alias("l")) for f, kind in fields.items()]
+    listed = lambda f: F.array(F.col(f)) if entries.schema[f].dataType.simpleString() == "string" else F.coalesce(F.col(f), F.array().cast("array<string>"))
+    each = [F.struct(F.lit(kind).alias("kind"), listed(f).alias("l")) for f, kind in fields.items()]
     rows = entries.where(r"name rlike '\\S'").select(*group, T.strip(F.col("name")).alias("entity"), F.explode(F.array(*each)).alias("s"))
     listed = rows.select(*kept, "entity", "s.kind", F.explode("s.l").alias("t"))
     return listed.select(*kept, "entity", "kind", F.array_join(T.matches(T.fold_yo(F.lower("t")), WORD.replace("А-ЯЁа-яёA-Za-z", "а-яa-z")), " ").alias("term")).where("term <> ''").distinct()
 
 
-def mentions(df: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = 3, group_col: str | None = None) -> DataFrame:
+def mentions(df: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int | None = None, group_col: str | None = None) -> DataFrame:
     """(id, line_no, entity, kind, term, at): registry terms met in the texts, on whole words, case and ё ignored.
 
-    Texts are cut to runs of up to ``max_words`` words without a sign between them
-    and joined with the terms by equality, so the cost grows with the texts and not
-    with texts times terms; with ``group_col`` only terms of the text's own group
-    (their ``grp``) are met, so a name that many groups use is no hot key.  A term within a longer one of the same entity and kind
-    at that place doesn't count again.
+    Texts are cut to runs of words without a sign between them and joined with the
+    terms by equality, so the cost grows with the texts and not with texts times
+    terms; runs are as long as the registry's terms are (``max_words`` None), of the
+    lengths that occur there only.  Signs within a term, such as quotation marks, count
+    as blanks in text and term alike.  With ``group_col`` only terms of the text's own
+    group (their ``grp``) are met, so a name that many groups use is no hot key.  A term within a longer
+    one of the same entity and kind at that place doesn't count again.
     """
     group = [F.col(group_col).alias("grp")] if group_col else []
     own = [id_col, *(["grp"] if group_col else [])]
+    lengths = sorted(r["k"] for r in registry.select(F.size(F.split("term", " ")).alias("k")).distinct().collect())  # as many rows as lengths of names
+    lengths = [k for k in lengths if max_words is None or k <= max_words] or [1]
     lines = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), *group, F.posexplode(T.lines(T.fold_yo(F.lower(F.col(text_col))))).alias("n", "line"))
-    chunks = lines.select(*own, (F.col("n") + 1).alias("line_no"), F.posexplode(F.split("line", rf"[^{T.LETTER} -]+|\s-\s")).alias("c", "chunk"))
-    words = chunks.select(*own, "line_no", "c", T.matches(F.col("chunk"), "[а-яa-z]+(?:-[а-яa-z]+)*").alias("w")).where("size(w) > 0")
+    chunks = lines.select(*own, (F.col("n") + 1).alias("line_no"), F.posexplode(F.split("line", BREAK)).alias("c", "chunk"))
+    words = chunks.select(*own, "line_no", "c", T.matches(F.col("chunk"), "[а-яa-z]+(?:-[а-яa-z]+)*").alias("w")).where(F.size("w") >= lengths[0])
+    # a long run begins with a word that some long term begins with
+    starts = registry.select(F.split("term", " ").alias("t")).where("size(t) > 1").select(F.get("t", F.lit(0)).alias("first")).distinct()
     runs = []
-    for k in range(1, max_words + 1):
+    for k in lengths:
         at = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
         grams = F.transform(at, _gram(k))
         runs.append(F.when(F.size("w") >= k, grams).otherwise(F.array().cast("array<struct<at:int,k:int,term:string>>")))
     each = words.select(*own, "line_no", "c", F.explode(F.concat(*runs)).alias("g")).select(*own, "line_no", "c", "g.at", "g.k", "g.term")
+    if max(lengths) > 3:
+        long = each.where("k > 3").join(starts, F.substring_index("term", " ", 1) == F.col("first"), "left_semi")
+        each = each.where("k <= 3").union(long)
     hits = each.join(registry, ["term", *own[1:]])
     same = Window.partitionBy(id_col, "line_no", "c", "entity", "kind").orderBy("at", F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     covered = F.coalesce(F.max(F.col("at") + F.col("k")).over(same), F.lit(0))
@@ -122,16 +133,32 @@ def entity_matrix(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def consistency(found: DataFrame) -> DataFrame:
     """(entity, ok, old, dangerous, typo, check): mentions by kind and whether the entity needs a look."""
-    kinds = list(FIELDS.values())
+    kinds = list(dict.fromkeys(FIELDS.values()))
     wide = found.groupBy("entity").pivot("kind", kinds).count().na.fill(0, kinds)
     return wide.select("entity", *kinds, (F.col("old") + F.col("dangerous") + F.col("typo") > 0).alias("check"))
 
 
-def entity_notes(matrix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(entity, texts, note): a markdown note of each entity with its texts by falling count."""
-    listed = matrix.groupBy("entity").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("c"), F.col(id_col).alias("id")))).alias("l"))
+NOTE_TEXTS = 10_000  # texts in one note
+
+
+def entity_notes(matrix: DataFrame, id_col: str = "doc_id", block: int = NOTE_TEXTS) -> DataFrame:
+    """(entity, part, texts, note): a markdown note of each entity with its texts by falling count.
+
+    An entity met in more than ``block`` texts has several parts, cut by rank; ``texts`` counts those of the part.
+    Ranks come from the counts: texts of one count are numbered within blocks of their hash.
+    """
+    counted = matrix.select("entity", F.col(id_col).alias("id"), "n", F.expr(f"pmod(xxhash64({id_col}), 64)").alias("h"))
+    sizes = matrix.groupBy("entity").agg(F.count(F.lit(1)).alias("size"))
+    small = counted.join(sizes.where(F.col("size") <= block).select("entity"), "entity").withColumn("part", F.lit(0).cast("long"))
+    large = counted.join(sizes.where(F.col("size") > block).select("entity"), "entity")
+    cells = large.groupBy("entity", "n", "h").agg(F.count(F.lit(1)).alias("c"))
+    before = Window.partitionBy("entity").orderBy(F.desc("n"), "h").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cells.select("entity", "n", "h", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("offset"))
+    ranked = large.withColumn("r", F.row_number().over(Window.partitionBy("entity", "n", "h").orderBy("id"))).join(offsets, ["entity", "n", "h"])
+    placed = small.select("entity", "part", "id", "n").union(ranked.select("entity", F.floor((F.col("r") + F.col("offset") - 1) / block).alias("part"), "id", "n"))
+    listed = placed.groupBy("entity", "part").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("c"), F.col("id")))).alias("l"))  # at most a block
     lines = F.transform("l", lambda x: F.concat(F.lit("- [["), x["id"].cast("string"), F.lit("]] — "), (-x["c"]).cast("string")))
-    return listed.select("entity", F.size("l").alias("texts"), F.concat(F.lit("# "), F.col("entity"), F.lit("\n"), F.array_join(lines, "\n")).alias("note"))
+    return listed.select("entity", F.col("part").cast("int").alias("part"), F.size("l").alias("texts"), F.concat(F.lit("# "), F.col("entity"), F.lit("\n"), F.array_join(lines, "\n")).alias("note"))
 
 
 def new_candidates(candidates: DataFrame, registry: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def cleaning_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_review(spark: SparkSession, d: str) -> DataFrame:
-    return rules.phrase_review(_docs(spark, d), PHRASES[:6])
+    return rules.phrase_review(_docs(spark, d), PHRASES)
 
 
 def rule_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -222,7 +222,7 @@ WHERE p[1][1] <> lower(p[1][1]) AND p[2][1] <> lower(p[2][1]) AND length(p[1]) >
 _CANDIDATES = f"SELECT kind, name, count(*) AS n FROM (SELECT 'word' AS kind, word AS name FROM ({_SINGLE}) UNION ALL SELECT 'pair', pair FROM ({_PAIRS})) GROUP BY ALL HAVING count(*) >= 2"
 _TERM = f"array_to_string(regexp_extract_all({sql.fold('lower(t)')}, '[а-яa-z]+(?:-[а-яa-z]+)*'), ' ')"
 _TERMS = "SELECT DISTINCT * FROM (" + " UNION ALL ".join(
-    f"SELECT {sql.strip('name')} AS entity, '{k}' AS kind, {_TERM} AS term FROM (SELECT name, unnest({f}) AS t FROM name_registry WHERE regexp_matches(name, '\\S'))" for f, k in registry.FIELDS.items()
+    f"SELECT {sql.strip('name')} AS entity, '{k}' AS kind, {_TERM} AS term FROM (SELECT name, unnest({'[name]' if f == 'name' else f}) AS t FROM name_registry WHERE regexp_matches(name, '\\S'))" for f, k in registry.FIELDS.items()
 ) + ") WHERE term <> ''"
 
 _SOFT = T.SPACE.replace(r"\t-\r", r"\t\x{0b}-\r")  # white space but for line ends
@@ -231,9 +231,9 @@ _WHITE = f"regexp_replace(regexp_replace(regexp_replace({_DIRTY}, {sql.lit(f'(?m
 _JUNK = "|".join(rf"[{c}](?: *[{c}]){{2,}}" if c not in "^]-" else rf"\{c}(?: *\{c}){{2,}}" for c in clean.SEPARATORS)
 _OWN_TERMS = _TERMS.replace("SELECT DISTINCT * FROM (SELECT", "SELECT DISTINCT * FROM (SELECT vault AS source,", 1).replace("UNION ALL SELECT", "UNION ALL SELECT vault AS source,").replace("(SELECT name, unnest", "(SELECT vault, name, unnest")
 _FOUND = f"""WITH w AS (SELECT doc_id, source, n, c, {sql.all_matches('chunk', '[а-яa-z]+(?:-[а-яa-z]+)*')} AS w FROM (
-SELECT doc_id, source, n, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS c FROM (SELECT doc_id, source, n, regexp_split_to_array(line, {sql.lit(rf'[^{T.LETTER} -]+|[ ]-[ ]')}) AS cs FROM (
+SELECT doc_id, source, n, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS c FROM (SELECT doc_id, source, n, regexp_split_to_array(line, {sql.lit(rf'[^{T.LETTER} «»"“”„-]+|[ ]-[ ]')}) AS cs FROM (
 SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (SELECT doc_id, source, {sql.lines(sql.fold('lower(text)'))} AS l FROM documents WHERE text IS NOT NULL))))),
-g AS ({' UNION ALL '.join(f"SELECT doc_id, source, n, c, ap, {k} AS k, array_to_string(w[ap:ap + {k - 1}], ' ') AS term FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS ap FROM w WHERE len(w) >= {k})" for k in (1, 2, 3))}),
+g AS ({' UNION ALL '.join(f"SELECT doc_id, source, n, c, ap, {k} AS k, array_to_string(w[ap:ap + {k - 1}], ' ') AS term FROM (SELECT *, unnest(range(1, len(w) - {k - 2})) AS ap FROM w WHERE len(w) >= {k})" for k in range(1, 9))}),
 m AS (SELECT *, max(ap + k) OVER (PARTITION BY doc_id, n, c, entity, kind ORDER BY ap, k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS covered FROM g JOIN ({_OWN_TERMS}) USING (term, source)),
 f AS (SELECT * FROM m WHERE ap >= coalesce(covered, 0))"""
 
@@ -249,7 +249,7 @@ def _cast(source: str) -> str:
 
 def _review() -> str:
     parts = []
-    for p in PHRASES[:6]:
+    for p in PHRASES:
         q = p.lower().replace("ё", "е")
         parts.append(
             f"SELECT doc_id, n, line, {sql.lit(p)} AS phrase, {len(q)} AS k, unnest(list_transform(range(1, len(string_split(f, {sql.lit(q)}))), lambda i: length(array_to_string(string_split(f, {sql.lit(q)})[1:i], '')) + (i - 1) * {len(q)})) AS pos FROM l WHERE contains(f, {sql.lit(q)})"
@@ -305,7 +305,7 @@ ORACLE = {
     "rule_clean": f"SELECT doc_id, md5({_rule_clean()}) AS cleaned FROM documents WHERE text IS NOT NULL",
     "phrase_clean": f"SELECT doc_id, md5({_phrase_clean()}) AS cleaned FROM documents WHERE text IS NOT NULL",
     "entity_notes": _FOUND + """, x AS (SELECT entity, doc_id, count(*) AS n FROM f GROUP BY ALL)
-SELECT entity, count(*)::INT AS texts, '# ' || entity || chr(10) || string_agg('- [[' || doc_id || ']] — ' || n, chr(10) ORDER BY n DESC, doc_id) AS note FROM x GROUP BY entity""",
+SELECT entity, 0 AS part, count(*)::INT AS texts, '# ' || entity || chr(10) || string_agg('- [[' || doc_id || ']] — ' || n, chr(10) ORDER BY n DESC, doc_id) AS note FROM x GROUP BY entity""",
     "whitespace_clean": f"SELECT doc_id, md5(regexp_replace(regexp_replace({_WHITE}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '\\n+$', '') || chr(10)) AS cleaned FROM documents WHERE text IS NOT NULL",
     "entity_matrix": _FOUND + " SELECT entity, doc_id, count(*) AS n FROM f GROUP BY ALL",
     "consistency": _FOUND + """ SELECT entity, count(*) FILTER (kind = 'ok') AS ok, count(*) FILTER (kind = 'old') AS old, count(*) FILTER (kind = 'dangerous') AS dangerous, count(*) FILTER (kind = 'typo') AS typo,
