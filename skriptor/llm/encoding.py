@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriptor.session import prepare
@@ -211,12 +211,19 @@ class Model:
         self.gain = self.gains.max(0)
 
     def __getstate__(self) -> dict:
-        return {"tables": self.tables, "index": self.index}
+        return {"tables": self.tables.astype(np.float16), "index": self.index}  # logarithms down to -40
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
+        self.tables, self.index = state["tables"].astype(np.float32), state["index"]
         self._gains()
 
+    def shared(self, spark: SparkSession):
+        """The model's broadcast, made once an application; bounded by ALPHABET and the number of states."""
+        app = spark.sparkContext.applicationId
+        if getattr(self, "_shared", (None, None))[0] != app:
+            self._shared = app, spark.sparkContext.broadcast(self)
+        return self._shared[1]
+
     def _allow_lookalikes(self, known: np.ndarray) -> None:
         """Invisible and combining characters, odd spaces and letters of another script in a word
         are damage of another kind: the clean state emits them rarely, but after anything."""
@@ -482,7 +489,7 @@ def judge(model: Model, texts: list[str]) -> list[tuple | None]:
 
 def flag_garbled(df: DataFrame, model: Model, id_col: str, text_col: str) -> DataFrame:
     """(rec_id, garbled) of every row with a text: whether some of it was decoded wrongly."""
-    shared = prepare(df.sparkSession).sparkContext.broadcast(model)
+    shared = model.shared(prepare(df.sparkSession))
     rows = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(text_col).cast("string").alias("t")).where("t is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -501,7 +508,7 @@ def find_garbled(df: DataFrame, model: Model, id_col: Column | str, text_col: Co
     affected; rows that repeat come out as often as they come in.
     """
     spark = prepare(df.sparkSession)
-    shared = spark.sparkContext.broadcast(model)  # bounded by ALPHABET and the number of states
+    shared = model.shared(spark)
     rows = df.select((F.col(id_col) if isinstance(id_col, str) else id_col).cast("bigint").alias("rec_id"), (F.col(text_col) if isinstance(text_col, str) else text_col).cast("string").alias("t")).where(
         "t is not null and t <> ''"
     )
