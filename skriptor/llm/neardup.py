@@ -26,7 +26,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skriptor.functions import bloom
@@ -123,7 +123,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]
 
 def _described(df: DataFrame, width: int, min_words: int, k: int) -> DataFrame:
     """(id, c1, c2, n, sig, short) of every row that has shingles; c1, c2 name the set, short has the
-    last byte of each coordinate: pairs that agree in t coordinates also do in t bytes."""
+    last byte of each coordinate, eight in a number: pairs that agree in t coordinates also do in t bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,12 +140,13 @@ def _described(df: DataFrame, width: int, min_words: int, k: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(keep) + 1) * k, pa.int32()), pa.array(sig.reshape(-1).astype(np.uint32).view(np.int32), pa.int32())
                 )
-                short = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * k, pa.int32()), pa.array(sig.reshape(-1).astype(np.uint8).view(np.int8), pa.int8()))
+                packed = np.ascontiguousarray(sig.astype(np.uint8)).reshape(-1).view(np.int64)
+                short = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1) * (k // 8), pa.int32()), pa.array(packed, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(keep)), pa.array(c1), pa.array(c2), pa.array(size.astype(np.int32)), lists, short], ["id", "c1", "c2", "n", "sig", "short"]
                 )
 
-    return df.mapInArrow(run, "id bigint, c1 bigint, c2 bigint, n int, sig array<int>, short array<tinyint>")
+    return df.mapInArrow(run, "id bigint, c1 bigint, c2 bigint, n int, sig array<int>, short array<bigint>")
 
 
 def _tokens(sig: np.ndarray) -> np.ndarray:
@@ -181,7 +182,7 @@ def _frequencies(known: DataFrame, k: int) -> np.ndarray:
 
 
 def _postings(known: DataFrame, reps: DataFrame, k: int, t: int, list_block: int) -> DataFrame:
-    """(token, block, side, id, n) of the k - t + 1 rarest coordinates of each representative; equal tokens of
+    """(token, id, n) of the k - t + 1 rarest coordinates of each representative; equal tokens of
     different coordinates are a matter of chance and only add candidates.
 
     A list of more than ``list_block`` postings by the sketch has several blocks: a text is in one of them as
@@ -209,11 +210,10 @@ def _postings(known: DataFrame, reps: DataFrame, k: int, t: int, list_block: int
             side = np.where(blocks[row] > 1, 1, 3)
             own = (_mix(ids[hot].astype(np.uint64)) % blocks[hot].astype(np.uint64)).astype(np.int64)
             row, block, side = np.concatenate([row, hot]), np.concatenate([block, own]), np.concatenate([side, np.full(len(hot), 2)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(token[row]), pa.array(block.astype(np.int16)), pa.array(side.astype(np.int8)), pa.array(ids[row]), pa.array(n[row])], ["token", "block", "side", "id", "n"]
-            )
+            place = (token[row].astype(np.int64) << 16) + block
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(ids[row]), pa.array((n[row] * 4 + side).astype(np.int64))], ["token", "id", "n"])
 
-    return reps.select("id", "d.n", "d.sig").mapInArrow(run, "token int, block smallint, side tinyint, id bigint, n int")
+    return reps.select("id", "d.n", "d.sig").mapInArrow(run, "token bigint, id bigint, n bigint")
 
 
 def _sets_of(df: DataFrame, ids: DataFrame, width: int, min_words: int) -> DataFrame:
@@ -237,6 +237,13 @@ def _sets_of(df: DataFrame, ids: DataFrame, width: int, min_words: int) -> DataF
     return df.select("id", "text", *probes).mapInArrow(run, "id bigint, s array<bigint>")
 
 
+def _unequal_bytes(x: Column) -> Column:
+    """How many bytes of a number aren't zero."""
+    for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+    return F.bit_count(x)
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -272,18 +279,17 @@ def near_duplicates(
 
     posted = _postings(known, reps, coordinates, matches, list_block)
     x, y = posted.alias("x"), posted.alias("y")
-    smaller, larger = F.least("x.n", "y.n").cast("long"), F.greatest("x.n", "y.n").cast("long")
+    size = lambda side: F.shiftright(f"{side}.n", 2)
+    role = lambda side: F.col(f"{side}.n").bitwiseAND(3)
+    smaller, larger = F.least(size("x"), size("y")), F.greatest(size("x"), size("y"))
     # texts of one list are put in order; where it has blocks, the left one meets each right one once
-    placed = F.when(F.col("x.side") == 3, F.col("x.id") < F.col("y.id")).otherwise((F.col("x.side") == 1) & (F.col("y.side") == 2) & (F.col("x.id") != F.col("y.id")))
-    hits = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & placed & (smaller * den >= larger * num))
+    placed = F.when(role("x") == 3, F.col("x.id") < F.col("y.id")).otherwise((role("x") == 1) & (role("y") == 2) & (F.col("x.id") != F.col("y.id")))
+    hits = x.join(y, (F.col("x.token") == F.col("y.token")) & placed & (smaller * den >= larger * num))
     pairs = hits.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    agree = F.size(F.filter(F.zip_with("sa", "sb", lambda p, q: p == q), lambda z: z))
-    close = (
-        pairs.join(reps.select(F.col("id").alias("a"), F.col("d.short").alias("sa")), "a")
-        .join(reps.select(F.col("id").alias("b"), F.col("d.short").alias("sb")), "b")
-        .where(agree >= matches)
-        .select("a", "b")
-    )
+    parts = range(coordinates // 8)
+    look = lambda id_, s: reps.select(F.col("id").alias(id_), *[F.get("d.short", F.lit(i)).alias(f"{s}{i}") for i in parts])
+    agree = sum((8 - _unequal_bytes(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in parts), F.lit(0))
+    close = pairs.join(look("a", "p"), "a").join(look("b", "q"), "b").where(agree >= matches).select("a", "b")
     close = cut(close)
     ids = close.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = _sets_of(rows, ids, width, min_words)
