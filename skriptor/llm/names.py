@@ -184,7 +184,8 @@ class Lexicon:
             return [f"o|{first}|{d}" for d in deletions(second)] + ([f"a|{''.join(x[0] for x in parts)}"] if len(parts) > 1 else [])
         if kind == "i":
             return [f"i|{d}|{first}" for d in deletions(second)]
-        names = {first[:2], *(f"{x}." for x in (first, *self.other.get(first, ())))}
+        other = self.other.get(first, ())
+        names = {first[:2], *(f"{x}." for x in (first, *other) if other)}
         out = [f"s|{d}|{c}" for d in deletions(second) for c in sorted(names)]
         out += [f"i|{d}|{first[:1]}" for d in deletions(second)]
         return out + [f"g|{second}|{d}" for d in deletions(first)]
