@@ -65,6 +65,31 @@ def char_findings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.drop("order")
 
 
+# Characters that no text should hold, in the order they are looked for.
+BAD = [
+    ("control", r"[\x00-\x08\x{0b}\x{0e}-\x{1f}\x{7f}-\x{84}\x{86}-\x{9f}]"),
+    ("replacement", r"\x{fffd}"),
+    ("noncharacter", r"[\x{fdd0}-\x{fdef}\x{fffe}\x{ffff}]"),
+    ("private use", r"[\x{e000}-\x{f8ff}\x{f0000}-\x{ffffd}]"),
+    ("line separator", r"[\x{2028}\x{2029}]"),
+]
+
+
+def bad_unicode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line_no, kind, codepoints, n): characters that no text should hold, one row a line and kind with the first one's code point."""
+    rows = df.where(F.col(text_col).rlike("|".join(p for _, p in BAD)))
+    lines = rows.select(F.col(id_col), F.posexplode(F.split(F.col(text_col), "\n")).alias("n", "line"))
+    each = [F.when(F.col("line").rlike(p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("line", p, 0).alias("c"), F.regexp_count("line", F.lit(p)).alias("n"))) for k, p in BAD]
+    found = lines.select(id_col, (F.col("n") + 1).alias("line_no"), F.explode(F.array_compact(F.array(*each))).alias("f"))
+    return found.select(id_col, "line_no", "f.kind", T.code_points(F.col("f.c")).alias("codepoints"), "f.n")
+
+
+def strip_bad(s: Column) -> Column:
+    """Without the characters ``bad_unicode`` finds; a separator becomes a line end."""
+    s = F.regexp_replace(s, "|".join(p for k, p in BAD if k != "line separator"), "")
+    return F.regexp_replace(s, BAD[-1][1], "\n")
+
+
 def range_counts(findings: DataFrame) -> DataFrame:
     """(range_name, findings, texts)."""
     first = findings.columns[0]

@@ -301,6 +301,31 @@ def replace_icons(s: Column, icons: dict[str, str]) -> Column:
     return s
 
 
+ICON_STYLE = ".icon { width: 1em; height: 1em; vertical-align: -0.125em; }"
+ICON_MARK = "/* icons */"
+
+
+def icons_in_page(page: Column, icons: dict[str, str], style: str = ICON_STYLE, always: list[str] = ()) -> Column:
+    """A page with its icons replaced by markup: assignments of texts that hold one (or a sign of ``always``) become
+    assignments of markup, and the style goes once into its style sheet.  A page that was done before stays as it is."""
+    signs = "|".join("\\Q" + k + "\\E" for k in sorted(icons, key=lambda x: (-len(x), x)))
+    if not signs:
+        return page
+    asked = "|".join([signs, *("\\Q" + x + "\\E" for x in always)])
+    rows = F.transform(F.split(page, "\n"), lambda x: F.when(x.rlike(asked), F.regexp_replace(x, r"^(.*?)\.textContent = ", "$1.innerHTML = ")).otherwise(x))
+    body = replace_icons(F.array_join(rows, "\n"), icons)
+    styled = F.regexp_replace(body, r"^((?s).*?)</style>", "$1" + _image(f"{ICON_MARK} {style}\n") + "</style>")
+    return F.when(page.contains(ICON_MARK) | ~page.rlike(asked), page).otherwise(styled)
+
+
+def icon_counts(page: Column, icons: dict[str, str]) -> Column:
+    """map<icon, n> of a text, the longest icon at a place first."""
+    signs = "|".join("\\Q" + k + "\\E" for k in sorted(icons, key=lambda x: (-len(x), x)))
+    hits = T.matches(page, signs) if signs else F.array().cast("array<string>")
+    keys = F.array_distinct(hits)
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(hits, lambda h: h == k))))
+
+
 def apply_selection(lines: DataFrame, selection: DataFrame, mapping: dict[str, str], id_col: str = "doc_id") -> DataFrame:
     """(id, text_new): only the chosen (id, line_no, phrase) replaced.
 

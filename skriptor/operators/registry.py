@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skriptor.functions import morph as M
 from skriptor.functions import text as T
 from skriptor.functions import words as W
 
@@ -87,6 +88,34 @@ def terms(entries: DataFrame, fields: dict[str, str] | None = None, group_col: s
     return listed.select(*kept, "entity", "kind", F.array_join(T.matches(T.fold_yo(F.lower("t")), WORD.replace("А-ЯЁа-яёA-Za-z", "а-яa-z")), " ").alias("term")).where("term <> ''").distinct()
 
 
+def inflected(terms: DataFrame) -> DataFrame:
+    """``terms`` (entity, kind, term, ...) with the case forms of each; a form that an entity lists itself stays of its own kind."""
+    others = [c for c in terms.columns if c not in ("kind", "term")]
+    forms = terms.select(*others, "kind", F.explode(F.transform(M.term_forms(F.col("term")), T.fold_yo)).alias("term"))
+    own = terms.select(*others, "term").distinct()
+    return terms.unionByName(forms.join(own, [*others, "term"], "left_anti")).distinct()
+
+
+FORM_FIELDS = ("forms", "old_forms", "typos")
+
+
+def unlisted_forms(entries: DataFrame) -> DataFrame:
+    """(entity, field, missing): case forms of an entry's listed spellings that it lists nowhere, by the field they belong to.
+
+    A form belongs to the first field that leads to it; spellings in old_dangerous are another's and not declined.
+    """
+    none = F.array().cast("array<string>")
+    low = lambda c: F.transform(F.coalesce(F.col(c), none), lambda x: F.lower(F.trim(x)))
+    rows = entries.where(r"name rlike '\\S'").select(T.strip(F.col("name")).alias("entity"), *[low(c).alias(c) for c in (*FORM_FIELDS, "old_dangerous")])
+    have = F.concat(F.array(F.lower("entity")), *[F.col(c) for c in (*FORM_FIELDS, "old_dangerous")])
+    found, earlier = [], have
+    for c in FORM_FIELDS:
+        own = F.array_sort(F.array_distinct(F.array_except(F.flatten(F.transform(c, M.term_forms)), earlier)))
+        found.append(F.struct(F.lit(c).alias("field"), own.alias("missing")))
+        earlier = F.concat(earlier, own)
+    return rows.select("entity", F.explode(F.array(*found)).alias("f")).select("entity", "f.field", "f.missing").where("size(missing) > 0")
+
+
 def mentions(df: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int | None = None, group_col: str | None = None) -> DataFrame:
     """(id, line_no, entity, kind, term, at): registry terms met in the texts, on whole words, case and ё ignored.
 

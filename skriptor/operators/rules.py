@@ -126,6 +126,18 @@ def rule_clean(text: Column, rules: list[Rule]) -> Column:
     return text
 
 
+def control_pass(df: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(level, before, left): findings of each level in the texts, and in the texts once cleaned.
+
+    ``exit_code`` tells whether hard ones are left.
+    """
+    cleaned = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), rule_clean(F.col(text_col), rules).alias(text_col))
+    count = lambda x, name: rule_findings(x, rules, id_col, text_col).groupBy("level").agg(F.count(F.lit(1)).alias(name))
+    levels = df.sparkSession.createDataFrame([(x,) for x in LEVELS], "level string")
+    out = levels.join(F.broadcast(count(df, "before")), "level", "left").join(F.broadcast(count(cleaned, "left")), "level", "left")
+    return out.na.fill(0, ["before", "left"])
+
+
 def phrase_totals(df: DataFrame, phrases: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(phrase, total, documents): occurrences, case and ё ignored; overlapping phrases count each for itself."""
     phrases = STOCK_PHRASES if phrases is None else phrases
@@ -194,6 +206,20 @@ def yo_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tar
     return rows.groupBy("cat", "wrong", "right").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("documents"))
 
 
+def yo_occurrences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: list[tuple[str, str, str]] | None = None, width: int = 30, longest: int = 80) -> DataFrame:
+    """(id, line_no, found, right, cat, fragment): every place of a spelling, ё and е told apart, with its surroundings."""
+    targets = yo_targets() if targets is None else targets
+    words = "|".join(re.escape(w) for w, _, _ in sorted(targets, key=lambda t: (-len(t[0]), t[0])))
+    pattern = rf"(?U)(?<![\wёЁ])(?iu:{words})(?![\wёЁ])"  # all spellings in one pass; which one it is, the word itself tells
+    known = F.create_map(*[F.lit(x) for w, r, c in targets for x in (w.lower(), f"{r}\x01{c}")])
+    lines = df.where(F.col(text_col).rlike(pattern)).select(F.col(id_col), F.posexplode(T.lines(F.regexp_replace(F.col(text_col), r"^\x{feff}", ""))).alias("n", "line"))
+    hits = lines.where(F.col("line").rlike(pattern)).select(id_col, (F.col("n") + 1).alias("line_no"), "line", F.explode(T.offsets(F.col("line"), pattern)).alias("m"))
+    told = F.split(known[F.lower("m.hit")], "\x01")
+    begin = F.greatest(F.col("m.pos") - width, F.lit(0))
+    body = T.strip(F.substring("line", begin + 1, F.col("m.pos") + F.length("m.hit") + width - begin))
+    return hits.select(id_col, "line_no", F.col("m.hit").alias("found"), told[0].alias("right"), told[1].alias("cat"), F.concat(F.when(begin > 0, "…").otherwise(""), F.substring(body, 1, longest)).alias("fragment"))
+
+
 def yo_letters(df: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: letters (ё and Ё of all texts), documents with any."""
     n = F.regexp_count(F.col(text_col), F.lit("[ёЁ]"))

@@ -15,6 +15,7 @@ from skriptor.functions import text as T
 from skriptor.functions import words as W
 from skriptor.operators.rules import Rule, make_rules
 from skriptor.session import prepare
+from skriptor.sources import plain
 
 MAX_BYTES = 64 << 20
 CODEPAGES = ("cp1251", "koi8-r", "cp866", "cp1252")
@@ -43,8 +44,30 @@ def listed(df: DataFrame, path_col: str = "path", extensions: list[str] | None =
     return kept.orderBy(path_col).limit(limit) if limit and limit > 0 else kept
 
 
-def detect_encoding(data: bytes) -> str:
-    """Encoding of bytes: UTF-8 where they are that, else by the share of bytes in the upper Cyrillic ranges."""
+# The most frequent letters of Russian, from the most frequent on; letters of other languages score half.
+FREQUENT = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
+
+
+def plausibility(text: str) -> float:
+    """How much a decoded text reads like prose: frequent small letters and punctuation speak for it,
+    capitals within words, controls and drawing signs against."""
+    score, before = 0.0, ""
+    for c in text:
+        if c in FREQUENT:
+            score += 1 - FREQUENT.index(c) / 50
+        elif c.isalpha():
+            score += (0.5 if c.isascii() else 0.3) if not (c.isupper() and before.islower()) else -1
+        elif not c.isascii():
+            score += 0.2 if c in "«»—–…№“”„’" else -1
+        elif not c.isprintable() and c not in "\r\n\t":
+            score -= 2
+        before = c
+    return score / max(1, sum(not c.isascii() or c.isalpha() for c in text))
+
+
+def detect_encoding(data: bytes, sample: int = 65536) -> str:
+    """Encoding of bytes: UTF-8 where they are that, else by the share of bytes in the upper Cyrillic ranges,
+    else the code page under which the first ``sample`` bytes beyond ASCII, with their surroundings, read best."""
     try:
         data.decode("utf-8")
         return "utf-8-sig" if data.startswith(b"\xef\xbb\xbf") else "utf-8"
@@ -55,13 +78,18 @@ def detect_encoding(data: bytes) -> str:
     if upper + lower > 0.2 * len(data):
         # lower-case Russian lies in the second range of cp1251 and in the first of koi8-r
         return "koi8-r" if upper >= lower else "cp1251"
+    begin = next((i for i, b in enumerate(data) if b > 127), 0)
+    piece = data[max(0, begin - 64) : begin + sample]
+    best = None
     for name in CODEPAGES:
         try:
             data.decode(name)
-            return name
         except UnicodeDecodeError:
             continue
-    return "latin-1"
+        score = plausibility(piece.decode(name, "replace"))
+        if best is None or score > best[0] + 1e-9:
+            best = score, name
+    return best[1] if best else "latin-1"
 
 
 def decode(data: bytes) -> str:
@@ -132,16 +160,30 @@ def read_corpus(spark: SparkSession, root: str, extensions: list[str] | None = N
     """(path, ext, length, text, encoding, bad_line) of the files below a folder; pages come as text.
 
     Files over ``max_bytes`` are left out (0 or None: none is); see ``oversized``.
-    Files without a byte make no split, so they have no row.
+    Files without a byte, which make no split, have a row with an empty text.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(check_root(root))
-    kept = listed(files, "path", extensions, limit)
-    if max_bytes:
-        kept = kept.where(F.col("length") <= max_bytes)
-    rows = decoded(kept.select("path", "length", "content"))
+    kept = files.where(F.col("length") <= max_bytes) if max_bytes else files
+    rows = decoded(listed(kept, "path", extensions).select("path", "length", "content"))
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     text = F.when(ext.isin("html", "htm"), T.html_to_text(F.col("text"))).otherwise(F.col("text"))
-    return rows.select("path", ext.alias("ext"), "length", text.alias("text"), "encoding", "bad_line")
+    out = rows.select("path", ext.alias("ext"), "length", text.alias("text"), "encoding", "bad_line")
+    none = listed(empty_files(spark, root), "path", extensions)
+    out = out.unionByName(none.select("path", ext.alias("ext"), F.lit(0).cast("long").alias("length"), F.lit("").alias("text"), F.lit("utf-8").alias("encoding"), F.lit(None).cast("int").alias("bad_line")))
+    return out.orderBy("path").limit(limit) if limit and limit > 0 else out
+
+
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the files without a byte below a folder; names only, listed by the driver as a scan's files are."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(check_root(root))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found, walk = [], system.listFiles(path, True)
+    while walk.hasNext():
+        status = walk.next()
+        if status.getLen() == 0 and not status.getPath().getName().startswith(("_", ".")):
+            found.append((status.getPath().toString(),))
+    return spark.createDataFrame(found, "path string")
 
 
 def oversized(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -155,10 +197,54 @@ def encoding_audit(df: DataFrame) -> DataFrame:
 
 
 def _yaml(path: str):
-    import yaml
-
     with open(path, encoding="utf-8") as f:
-        return yaml.safe_load(f)
+        return plain.load(f.read())
+
+
+def _dictionary(path: str | None):
+    """A dictionary file's value; None where it is missing or can't be read."""
+    try:
+        return _yaml(path) if path else None
+    except (OSError, ValueError):
+        return None
+
+
+def _strings(items) -> list[str]:
+    return list(dict.fromkeys(str(x).strip() for x in items if x is not None and str(x).strip())) if isinstance(items, list) else []
+
+
+def read_words(path: str | None, default: list[str]) -> list[str]:
+    """Words or phrases of a dictionary: a list, or all lists of a mapping in turn, the first of equal ones; ``default`` where there are none."""
+    data = _dictionary(path)
+    items = [x for v in data.values() for x in _strings(v)] if isinstance(data, dict) else _strings(data)
+    return list(dict.fromkeys(items)) or list(default)
+
+
+def read_mapping(path: str | None, default: dict[str, str]) -> dict[str, str]:
+    """What to put in the place of each phrase; a null or missing image cuts it out.  ``default`` where there is no mapping."""
+    data = _dictionary(path)
+    if isinstance(data, dict) and len(data) == 1 and isinstance(next(iter(data.values())), dict):
+        data = next(iter(data.values()))
+    out = {str(k).strip(): "" if v is None else str(v) for k, v in data.items() if str(k).strip() and not isinstance(v, (list, dict))} if isinstance(data, dict) else {}
+    return out or dict(default)
+
+
+def read_pairs(path: str | None, default: dict[str, list[tuple[str, str]]]) -> dict[str, list[tuple[str, str]]]:
+    """Pairs of spellings by category, each a list of two or a mapping; pairs without two words are left out."""
+    data, out = _dictionary(path), {}
+    for cat, items in data.items() if isinstance(data, dict) else ():
+        own = list(items.items()) if isinstance(items, dict) else [tuple(x) for x in items if isinstance(x, list)] if isinstance(items, list) else []
+        kept = [(str(x[0]).strip(), str(x[1]).strip()) for x in own if len(x) == 2 and all(y is not None and str(y).strip() for y in x)]
+        if kept:
+            out[str(cat)] = kept
+    return out or dict(default)
+
+
+def read_reserved(spark: SparkSession, path: str | None, default: list[tuple[str, str]] = ()) -> DataFrame:
+    """(category, reserved): names that are taken, by category; ``default`` where the file gives none."""
+    data = _dictionary(path)
+    rows = [(str(cat), x) for cat, items in data.items() for x in _strings(items)] if isinstance(data, dict) else []
+    return spark.createDataFrame(rows or list(default), "category string, reserved string")
 
 
 _KEYS = {"имя": "name", "формы": "forms", "старое": "old_forms", "старое_опасное": "old_dangerous", "опечатки": "typos"}
@@ -198,6 +284,13 @@ def read_rules(path: str) -> list[Rule]:
     return make_rules(data.get("rules"), os.path.basename(path))
 
 
+def union_corpora(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """(origin, path, text) of notes (rel, text) and of other files (path, ext, text) that aren't notes themselves."""
+    a = notes.select(F.lit("note").alias("origin"), F.col("rel").alias("path"), "text")
+    b = files.where(F.lower("ext") != "md").select(F.lower("ext").alias("origin"), "path", "text")
+    return a.unionByName(b)
+
+
 def read_diary(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a volume diary (CSV with ; and a header); broken rows are dropped."""
     return spark.read.csv(check_root(path), sep=";", header=True, schema=DIARY_SCHEMA, mode="DROPMALFORMED", timestampFormat="yyyy-MM-dd HH:mm")

@@ -29,7 +29,7 @@ def test_corpus(spark, tmp_path):
     (tmp_path / ".obsidian" / "h.md").write_text("x")
     (tmp_path / "empty.md").write_bytes(b"")
     got = {r["path"].rsplit("/", 1)[1]: (r["text"], r["encoding"]) for r in files.read_corpus(spark, str(tmp_path)).collect()}
-    assert got == {"a.md": (RU, "utf-8-sig"), "c.txt": (RU, "koi8-r"), "d.html": ("x", "utf-8"), "e.docx": ("A & б\nc", "docx"), "f.docx": ("", "docx")}  # files without a byte have no split
+    assert got == {"a.md": (RU, "utf-8-sig"), "c.txt": (RU, "koi8-r"), "d.html": ("x", "utf-8"), "e.docx": ("A & б\nc", "docx"), "f.docx": ("", "docx"), "empty.md": ("", "utf-8")}
     assert files.read_corpus(spark, str(tmp_path), limit=2).count() == 2
     assert files.oversized(spark, str(tmp_path), 50).count() > 0
     assert {r["encoding"] for r in files.encoding_audit(files.read_corpus(spark, str(tmp_path))).collect()} >= {"koi8-r"}
