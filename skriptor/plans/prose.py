@@ -136,7 +136,7 @@ def separator_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def typography(spark: SparkSession, d: str) -> DataFrame:
     dirty = F.replace(F.replace("text", F.lit(" — "), F.lit(" - ")), F.lit("…"), F.lit("..."))
-    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(clean.typography(dirty, nbsp=True, dialogue=True)).alias("set"))
+    return _docs(spark, d).where("text is not null").select("doc_id", F.md5(clean.typography(dirty, nbsp=True, dialogue=True, front_matter=True)).alias("set"))
 
 
 def typography_counts(spark: SparkSession, d: str) -> DataFrame:

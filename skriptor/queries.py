@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skriptor.operators import orphans, vault_links
-from skriptor.plans import audit, corpus, prose, timeline, vault
+from skriptor.plans import audit, checks, corpus, prose, timeline, vault
 from skriptor.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,6 @@ ORACLE |= {
     "p2_found": vault.DEAD,
     "p2_report": f"SELECT ref_table AS table_name, ref_month AS period, count(*) AS orphans FROM ({vault.DEAD}) GROUP BY ALL",
 }
-for _part in (corpus, vault, prose, audit, timeline):
+for _part in (corpus, vault, prose, audit, timeline, checks):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
