@@ -151,6 +151,13 @@ UNION ALL SELECT note_id, n, 'WIKI_EMPTY' FROM w WHERE (target = '' AND NOT star
 UNION ALL SELECT note_id, n, CASE WHEN kind = 'markdown' THEN 'MDLINK_BROKEN' WHEN contains(base, '.') THEN 'WIKI_ATTACH_MISSING' ELSE 'WIKI_BROKEN' END FROM lost"""
 
 
+_WHOLE = "".join(
+    part.replace("note_id", "doc_id").replace("(SELECT DISTINCT doc_id, vault, rel, stem, text FROM obsidian_check)", "documents")
+    for part in _LINKED.partition("\nUNION ALL SELECT note_id, n, 'WIKI_EMPTY'")[:1]
+) + """
+UNION ALL SELECT doc_id, n, 'WIKI_EMPTY' FROM (SELECT doc_id, n, unnest(regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), '\\[\\[([^\\[\\]\\n]*)\\]\\]', 1)) AS raw FROM u) WHERE regexp_matches(raw, '^\\s*(?:\\|.*)?$|^\\s*(?:\\.\\.\\.|…)\\s*(?:[|#].*)?$')"""
+
+
 def _note_line_checks() -> str:
     from skriptor.plans import vault
 
@@ -168,7 +175,34 @@ lost AS (SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.grp = p.grp A
 AND NOT EXISTS (SELECT 1 FROM vault_attachments x WHERE x.vault = p.grp AND lower(x.file_name) = p.base)
 AND NOT EXISTS (SELECT 1 FROM k WHERE k.grp = p.grp AND k.path = p.place) AND NOT EXISTS (SELECT 1 FROM vault_attachments x WHERE x.vault = p.grp AND lower(x.rel) = p.place)),
 h AS ("""
-    return f"WITH {head}{links_sql}{rest} SELECT DISTINCT note_id, n::INT AS line_no, code, {_SEVERITY} AS severity FROM f"
+    return f"WITH {head}{links_sql}{rest} SELECT note_id, n::INT AS line_no, code, {_SEVERITY} AS severity FROM f"
+
+
+def _undescribed(source: str, key: str) -> str:
+    """FM_DESC: front matter that is closed within 200 lines and has no description."""
+    lines = f"SELECT {key}, list_slice(string_split(regexp_replace(text, '^\\x{{feff}}', ''), chr(10)), 1, 201) AS l FROM {source} WHERE regexp_matches(text, '^\\x{{feff}}?---[ \\t\\r]*\\n')"
+    closed = f"SELECT {key}, l, list_position(list_transform(l[2:], lambda x: {sql.strip('x')} IN ('---', '...')), true) AS e FROM ({lines})"
+    return f"SELECT {key}, 1 AS line_no, 'FM_DESC' AS code, 'WARN' AS severity FROM ({closed}) WHERE e IS NOT NULL AND len(list_filter(l[2:e], lambda x: regexp_matches(x, '^description:\\s*[^\\s#]'))) = 0"
+
+
+def _rolled(found: str, key: str) -> str:
+    return f"SELECT severity, code, count(*) AS n, count(DISTINCT {key}) AS notes FROM ({found}) GROUP BY ROLLUP (severity, code)"
+
+
+def _audit(checks: str) -> str:
+    """All parts over the notes, under the name that their SQL reads."""
+    from skriptor.plans import corpus, vault
+
+    hits = "SELECT level, count(*) AS n FROM (" + prose.RULE_HITS + ") GROUP BY level"
+    return f"""WITH documents AS (SELECT note_id AS doc_id, text FROM {_NOTES}), p(ord, tool, serious_n, other_n) AS (
+SELECT 1, 'validator', count(*) FILTER (severity = 'ERROR'), count(*) FILTER (severity <> 'ERROR') FROM ({checks})
+UNION ALL SELECT 2, 'characters', count(*), 0 FROM ({vault.ORACLE['char_findings']})
+UNION ALL SELECT 3, 'integrity', count(*), 0 FROM ({vault.ORACLE['integrity']})
+UNION ALL SELECT 4, 'duplicates', (SELECT count(*) FROM ({corpus.ORACLE['exact_duplicates']})) + (SELECT count(*) FROM ({corpus.ORACLE['same_names']})), (SELECT count(*) FROM ({corpus.ORACLE['near_duplicates']}))
+UNION ALL SELECT 5, 'phrases', 0, coalesce(sum(total), 0)::BIGINT FROM ({prose.ORACLE['phrase_totals']})
+UNION ALL SELECT 6, 'rules', coalesce(sum(n) FILTER (level = 'hard'), 0)::BIGINT, coalesce(sum(n) FILTER (level = 'soft'), 0)::BIGINT FROM ({hits}))
+SELECT ord::INT AS ord, tool, serious_n::BIGINT AS serious_n, other_n::BIGINT AS other_n, ord <= 3 AND serious_n > 0 AS serious FROM p
+UNION ALL SELECT 7, 'total', sum(serious_n)::BIGINT, sum(other_n)::BIGINT, bool_or(ord <= 3 AND serious_n > 0) FROM p"""
 
 
 # declension by the ending of the last word, the first line that fits counts
@@ -293,7 +327,11 @@ SELECT level, n AS b, 0 AS a FROM ({_HITS.format(t='text')}) UNION ALL SELECT le
     "newest_backups": """SELECT '/v/' || rel AS original, max('/v/md_replace_backups/' || strftime(created_at, '%Y%m%d') || '/' || rel) AS backup FROM obsidian_check WHERE rel IS NOT NULL AND created_at IS NOT NULL GROUP BY rel""",
     "corpora": f"""SELECT origin, count(*) AS texts, sum(length(text))::BIGINT AS characters FROM (SELECT 'note' AS origin, text FROM {_NOTES} UNION ALL
 SELECT lower(ltrim(ext, '.')), text FROM documents WHERE lower(ltrim(ext, '.')) <> 'md') GROUP BY origin""",
-    "line_checks": _note_line_checks(),
+    "line_checks": f"SELECT DISTINCT * FROM ({_note_line_checks()})",
+    "note_checks": (_CHECKS := f"SELECT * FROM ({_note_line_checks()}) UNION ALL {_undescribed(_NOTES, 'note_id')}"),
+    "note_check_counts": _rolled(_CHECKS, "note_id"),
+    "document_checks": _rolled(f"SELECT * FROM (WITH {_line_checks('documents', 'doc_id', _WHOLE)} SELECT doc_id, n AS line_no, code, {_SEVERITY} AS severity FROM f) UNION ALL {_undescribed('documents', 'doc_id')}", "doc_id"),
+    "audit": _audit(_CHECKS),
     "heading_checks": f"WITH {_line_checks('documents', 'doc_id')} SELECT code, {_SEVERITY} AS severity, count(*) AS n, count(DISTINCT doc_id) AS documents FROM (SELECT * FROM f) WHERE code <> 'EXPLODED' GROUP BY code",
     "encodings": "SELECT CASE WHEN text[1] = chr(65279) THEN 'utf-8-sig' ELSE 'utf-8' END AS encoding, count(*) AS files, 0::BIGINT AS not_utf8 FROM documents WHERE text IS NOT NULL GROUP BY ALL",
 }
