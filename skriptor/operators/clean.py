@@ -217,7 +217,8 @@ def typography_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for rule in [*INSIDE, *(TIES if nbsp else [])]:
         found = step(found, rule)
     rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), found.alias("_f"))
-    return rows.select(id_col, *[F.aggregate("_f", F.lit(0).cast("long"), lambda acc, x, f=f: acc + x[f]).alias(f) for f in FAMILIES])
+    total = lambda family: F.aggregate("_f", F.lit(0).cast("long"), lambda acc, x: acc + x[family])
+    return rows.select(id_col, *[total(f).alias(f) for f in FAMILIES])
 
 
 def typography_check(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -53,6 +53,8 @@ def plausibility(text: str) -> float:
     capitals within words, controls and drawing signs against."""
     score, before = 0.0, ""
     for c in text:
+        if c.isalpha() and before.isalpha() and ("а" <= c.lower() <= "ё") != ("а" <= before.lower() <= "ё"):
+            score -= 1.5  # two scripts in one word
         if c in FREQUENT:
             score += 1 - FREQUENT.index(c) / 50
         elif c.isalpha():
