@@ -7,9 +7,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from skriptor.llm import bpe, packing
-from skriptor.session import tokenizer_path
 
-RANKS = bpe.read_ranks(tokenizer_path("byte_bpe_50k.tiktoken"))
+RANKS = bpe.read_ranks(bpe.tokenizer_path("byte_bpe_50k.tiktoken"))
 REFERENCE = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
