@@ -61,15 +61,30 @@ def state_lines(df: DataFrame, id_col: str, text_col: str, fences: tuple[str, ..
     return each.select(id_col, (F.col("n") + 1).alias("line_no"), "s.line", "s.masked")
 
 
-def paragraphs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, para, line_no, line): lines of paragraphs outside fences and front matter; ``para`` is
-    the line on which the paragraph begins."""
-    by_id = Window.partitionBy(id_col).orderBy("line_no")
-    # masked lines don't end a paragraph, blank ones do
-    kept = state_lines(df, id_col, text_col).where(~F.col("masked"))
-    begins = (T.strip(F.col("line")) != "") & ~F.coalesce(F.lag(T.strip(F.col("line")) != "").over(by_id), F.lit(False))
-    marked = kept.withColumn("begin", F.when(begins, F.col("line_no")))
-    return marked.withColumn("para", F.max("begin").over(by_id.rowsBetween(Window.unboundedPreceding, 0))).where(T.strip(F.col("line")) != "").select(id_col, "para", "line_no", "line")
+def paragraphs(text: Column) -> Column:
+    """array<struct<para, lines>>: paragraphs outside fences and front matter; ``para`` is the line on which one begins,
+    ``lines`` its filled lines as (line_no, line).  Masked lines don't end a paragraph, blank ones do.
+
+    Everything stays in the text's own row: nothing is shuffled.
+    """
+    lines = F.transform(masked_lines(text), lambda x, i: F.struct((i + 1).alias("line_no"), x["line"].alias("line"), x["masked"].alias("masked"), (T.strip(x["line"]) != "").alias("solid")))
+    none = F.array().cast("array<struct<para:int,lines:array<struct<line_no:int,line:string>>>>")
+
+    def cut(kept: Column) -> Column:
+        at = F.sequence(F.lit(0), F.greatest(F.size(kept) - 1, F.lit(0)))
+        begins = F.filter(at, lambda i: F.get(kept, i)["solid"] & ((i == 0) | ~F.get(kept, i - 1)["solid"]))
+
+        def paragraph(starts: Column) -> Column:
+            def one(b: Column, j: Column) -> Column:
+                after = F.coalesce(F.get(starts, j + 1), F.size(kept))
+                own = F.filter(F.slice(kept, b + 1, after - b), lambda x: x["solid"])
+                return F.struct(F.get(kept, b)["line_no"].alias("para"), F.transform(own, lambda x: F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"))).alias("lines"))
+
+            return F.transform(starts, one)
+
+        return F.when(F.size(kept) > 0, T.let(begins, paragraph)).otherwise(none)
+
+    return T.let(F.filter(lines, lambda x: ~x["masked"]), cut)
 
 
 def islands(df: DataFrame, id_col: str, flag: Column) -> DataFrame:

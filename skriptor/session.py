@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -62,8 +61,3 @@ def cut(df: DataFrame) -> DataFrame:
     out = df.checkpoint(eager=True)
     # fresh attributes: joining a checkpoint with itself otherwise fails in the optimizer
     return out.select(*[F.col(f"`{c}`").alias(c) for c in out.columns])
-
-
-def tokenizer_path(name: str, folder: str | None = None) -> str:
-    """Path of a public tokenizer's file (``folder`` overrides the default place)."""
-    return os.path.join(folder or os.environ.get("SKRIPTOR_TOKENIZERS", "/opt/tokenizers"), name)
