@@ -9,9 +9,9 @@ costs about n queue operations however long it is.
 
 from __future__ import annotations
 
-import os
 import base64
 import heapq
+import os
 from collections.abc import Iterator
 
 import numpy as np

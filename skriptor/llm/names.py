@@ -295,8 +295,9 @@ def _parsed(rows: DataFrame, shared) -> DataFrame:
     return out.withColumn("m", F.expr("xxhash64(type, first, second) | 1L"))  # odd: spellings; entries have even nodes
 
 
-def _candidates(spelt: DataFrame, shared, own: bool) -> DataFrame:
-    """(v, c, score) of all spellings and candidate canonical forms that share a key."""
+def _candidates(spelt: DataFrame, shared) -> DataFrame:
+    """(v, c, own, p, ...) of all spellings and candidate canonical forms that share a key: ``own`` is the log likelihood
+    of typing errors alone, ``p`` that of errors, other names and initials; null where there is none."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
@@ -314,14 +315,16 @@ def _candidates(spelt: DataFrame, shared, own: bool) -> DataFrame:
         for x in batches:
             got = []
             for r in x.itertuples(index=False):
-                p = shared.value.likelihood((r.v_type, r.v_first, r.v_second), (r.c_type, r.c_first, r.c_second), own)
-                if p is not None:
+                v, c = (r.v_type, r.v_first, r.v_second), (r.c_type, r.c_first, r.c_second)
+                own = None if r.v_type in "ia" else shared.value.likelihood(v, c, True)
+                p = shared.value.likelihood(v, c, False)
+                if own is not None or p is not None:
                     rank_v = (r.v_n, r.v_first in shared.value.given, r.v_spelt, r.v_m)
                     rank_c = (r.c_n, r.c_first in shared.value.given, r.c_spelt, r.c_m)
-                    got.append((r.v_m, r.c_m, p, int(r.v_n), int(r.c_n), int(r.v_spelt), r.v_second != r.c_second, bool(rank_c > rank_v), r.v_type in "ia"))
-            yield pd.DataFrame(got, columns=["v", "c", "p", "v_n", "c_n", "v_spelt", "moved", "leads", "initial"])
+                    got.append((r.v_m, r.c_m, own, p, int(r.v_n), int(r.c_n), int(r.v_spelt), r.v_second != r.c_second, bool(rank_c > rank_v), r.v_type in "ia"))
+            yield pd.DataFrame(got, columns=["v", "c", "own", "p", "v_n", "c_n", "v_spelt", "moved", "leads", "initial"])
 
-    return flat.mapInPandas(judged, "v bigint, c bigint, p double, v_n bigint, c_n bigint, v_spelt bigint, moved boolean, leads boolean, initial boolean")
+    return flat.mapInPandas(judged, "v bigint, c bigint, own double, p double, v_n bigint, c_n bigint, v_spelt bigint, moved boolean, leads boolean, initial boolean")
 
 
 def _settle(vague: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -356,7 +359,8 @@ def linked_entries(entries: DataFrame, given_names: DataFrame | None = None) ->
     spelt = cut(counted.join(by_surname, ["type", "second"], "left").fillna(0, ["spelt"]))
 
     # typing errors: attach to the largest posterior, against the spelling being a name of its own
-    close = _candidates(spelt.where(whole), shared, own=True)
+    candidates = cut(_candidates(spelt, shared))
+    close = candidates.where("own is not null").withColumn("p", F.col("own"))
     score = F.col("p") + F.ln(F.greatest("c_n", F.lit(1)))
     times = F.greatest(F.when(F.col("moved"), F.greatest("v_spelt", "v_n")).otherwise(F.col("v_n")), F.lit(1))
     expected = F.col("c_n") * F.exp("p")  # entries of the candidate in which this error is likely
@@ -369,7 +373,7 @@ def linked_entries(entries: DataFrame, given_names: DataFrame | None = None) ->
     first = cut(components(told))
 
     # pet names, then initials: attach to the component with the largest posterior, if it stands out
-    vague = cut(_candidates(spelt, shared, own=False).where("p < 0"))
+    vague = candidates.where("p < 0")
     settled, _ = _settle(vague.where("not initial"), first)
     second = cut(_merged(first, settled))
     settled, unclear = _settle(vague.where("initial"), second)
