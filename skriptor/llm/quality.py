@@ -83,7 +83,7 @@ def _line_is_prose(line: str, known: frozenset[str] | set[str], common_words: fr
     m = _MARK.match(line)
     body = line[m.end() :] if m else line
     words = [w.lower() for w in _WORD.findall(body)]
-    solid = sum(not c.isspace() for c in body)
+    solid = _solid(body)
     if not words or sum(map(len, words)) < 0.7 * solid:
         return False
     longer = [w for w in words if len(w) > 1]
@@ -97,21 +97,37 @@ def _line_is_prose(line: str, known: frozenset[str] | set[str], common_words: fr
     return len(words) >= 6 or len(words) >= 3 and (common > 0 or bool(_END.search(body)))
 
 
+_SPEAKS = {w: tuple(k for k in LISTS if w in LISTS[k]) for k in LISTS for w in LISTS[k] if len(w) > 1}  # languages of a function word
+_NOT_USUAL = re.compile(r"[^a-zЀ-ӿ]")
+
+
 def language(words: list[str]) -> str:
     """Language of lower-case words: by the script of most, within it by function words; none without words."""
     if not words:
         return ""
-    counts: dict[str, int] = {}
-    for w in words:
-        c = w[0]
-        name = "LATIN" if c.isascii() else "CYRILLIC" if "Ѐ" <= c <= "ӿ" else unicodedata.name(c, "OTHER").split()[0]
-        counts[name] = counts.get(name, 0) + 1
-    script = max(sorted(counts), key=counts.get)
+    firsts = "".join([w[0] for w in words])
+    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in firsts)
+    if not _NOT_USUAL.search(firsts):
+        script = "CYRILLIC" if 2 * cyrillic > len(firsts) else "LATIN"
+        script = "CYRILLIC" if 2 * cyrillic == len(firsts) else script
+    else:
+        counts: dict[str, int] = {}
+        for c in firsts:
+            name = "LATIN" if c.isascii() else "CYRILLIC" if "Ѐ" <= c <= "ӿ" else unicodedata.name(c, "OTHER").split()[0]
+            counts[name] = counts.get(name, 0) + 1
+        script = max(sorted(counts), key=counts.get)
     first, *others = SCRIPTS.get(script, (script.lower(),))
-    longer = [w for w in words if len(w) > 1]
-    own = sum(w in LISTS.get(first, ()) for w in longer)
-    best = max(((sum(w in LISTS[k] for w in longer), k) for k in others), default=(0, first))
-    return best[1] if best[0] >= max(3, CLEAR * len(words)) and best[0] >= 1.5 * own else first
+    hits: dict[str, int] = {}
+    for w in words:
+        for k in _SPEAKS.get(w, ()):
+            hits[k] = hits.get(k, 0) + 1
+    best = max(((hits.get(k, 0), k) for k in others), default=(0, first))
+    return best[1] if best[0] >= max(3, CLEAR * len(words)) and best[0] >= 1.5 * hits.get(first, 0) else first
+
+
+def _solid(text: str) -> int:
+    """Characters that are no white space."""
+    return len("".join(text.split()))
 
 
 def describe(text: str, known: set[str]) -> tuple:
@@ -121,10 +137,10 @@ def describe(text: str, known: set[str]) -> tuple:
     low = [w.lower() for w in words]
     lang = language(low)
     common = WORDS if lang in ("ru", "en") else LISTS.get(lang, WORDS)
-    solid = sum(not c.isspace() for c in text)
+    solid = _solid(text)
     lines = [x for x in map(str.strip, text.splitlines()) if x]
-    good = sum(sum(not c.isspace() for c in x) for x in lines if _line_is_prose(x, known, common))
-    letters = sum(c.isalpha() for c in text)
+    good = sum(_solid(x) for x in lines if _line_is_prose(x, known, common))
+    letters = sum(map(str.isalpha, text))
     return (
         lang,
         n,
