@@ -128,6 +128,14 @@ s AS (SELECT id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: ar
 e AS (SELECT id, len(s) AS n, unnest(s) AS t FROM s),
 p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS n, count(*) AS c FROM e x JOIN e y ON x.t = y.t AND x.id < y.id GROUP BY ALL)"""
 
+_CLASSES = f"""WITH w AS (SELECT DISTINCT check_id AS id, {_WORDS} AS w FROM full_check WHERE body IS NOT NULL),
+s AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) >= 15),
+r AS (SELECT min(id) AS rep, s, count(*) AS copies FROM s GROUP BY s), e AS (SELECT rep, len(s) AS n, unnest(s) AS t FROM r),
+p AS (SELECT x.rep AS a, y.rep AS b, x.n + y.n AS n, count(*) AS c FROM e x JOIN e y ON x.t = y.t AND x.rep < y.rep GROUP BY ALL),
+l AS (SELECT a, b, c AS common, c / (n - c) AS jaccard FROM p WHERE c * 10 >= (n - c) * 7)"""
+
 ORACLE: dict[str, str] = {
+    "p6_links": _CLASSES + " SELECT * FROM l",
+    "p6_classes": _CLASSES + " SELECT id, rep, copies, (SELECT count(*) FROM l WHERE a = rep OR b = rep) AS links FROM s JOIN r USING (s)",
     "p6_found": _SETS + " SELECT a AS check_a, b AS check_b FROM p WHERE c * 10 >= (n - c) * 7",
 }
