@@ -47,10 +47,11 @@ def unlisted_forms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def declined_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Single-word names in any case among the listed forms of their vault's entries."""
     entries = load(spark, d, "name_registry").dropDuplicates(["entry_id"])
-    listed = registry.terms(entries, {"name": "ok"}, group_col="vault").where("term rlike '^[а-я]+ [а-я]+$'")
-    found = registry.mentions(_docs(spark, d), registry.inflected(listed), group_col="source")
-    return registry.entity_matrix(found)
+    listed = registry.terms(entries, {"name": "ok"}, group_col="vault").where("term rlike '^[а-я]+$'")
+    texts = entries.select("entry_id", "vault", F.array_join("forms", ". ").alias("text"))
+    return registry.entity_matrix(registry.mentions(texts, registry.inflected(listed), "entry_id", group_col="vault"), "entry_id")
 
 
 def newest_backups(spark: SparkSession, d: str) -> DataFrame:
@@ -324,6 +325,11 @@ SELECT level, n AS b, 0 AS a FROM ({_HITS.format(t='text')}) UNION ALL SELECT le
     "foreign_stripped": f"SELECT doc_id, md5(CASE WHEN text[1] = chr(65279) THEN chr(65279) ELSE '' END || replace(regexp_replace(text, {sql.lit(_FOREIGN)}, '', 'g'), chr(65279), '')) AS stripped FROM documents WHERE text IS NOT NULL",
     "icons_replaced": f"SELECT doc_id, md5({_ICONS}) AS replaced FROM documents WHERE text IS NOT NULL",
     "unlisted_forms": _UNLISTED,
+    "declined_mentions": f"""WITH n AS (SELECT DISTINCT ON (entry_id) entry_id, vault, name, forms FROM name_registry),
+t AS (SELECT DISTINCT vault, {sql.strip('name')} AS entity, {sql.fold("lower(" + sql.strip('name') + ")")} AS z FROM n WHERE regexp_matches({sql.fold("lower(" + sql.strip('name') + ")")}, '^[а-я]+$')),
+x AS (SELECT DISTINCT vault, entity, {sql.fold(f"unnest(list_concat([z], {_FORMS}))")} AS w FROM t),
+y AS (SELECT entry_id, vault, unnest(regexp_extract_all({sql.fold("lower(array_to_string(forms, '. '))")}, '[а-яa-z]+(?:-[а-яa-z]+)*')) AS w FROM n)
+SELECT entity, entry_id, count(*) AS n FROM y JOIN x USING (vault, w) GROUP BY ALL""",
     "newest_backups": """SELECT '/v/' || rel AS original, max('/v/md_replace_backups/' || strftime(created_at, '%Y%m%d') || '/' || rel) AS backup FROM obsidian_check WHERE rel IS NOT NULL AND created_at IS NOT NULL GROUP BY rel""",
     "corpora": f"""SELECT origin, count(*) AS texts, sum(length(text))::BIGINT AS characters FROM (SELECT 'note' AS origin, text FROM {_NOTES} UNION ALL
 SELECT lower(ltrim(ext, '.')), text FROM documents WHERE lower(ltrim(ext, '.')) <> 'md') GROUP BY origin""",
