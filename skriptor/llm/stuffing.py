@@ -58,7 +58,7 @@ _HOST = rf"[a-z0-9][a-z0-9-]*(?:\.[a-z0-9-]+)*\.(?!(?:{_FILES})\b)[a-z]{{2,12}}"
 _URL = re.compile(rf"""(?:https?://|www\.)[^\s<>"')\]]+|\b{_HOST}\b(?:/[^\s<>"')\]]*)?""", re.I)
 _LINK = re.compile(rf"(?:https?://|www\.)|{_HOST}(?:/|$)")
 _ITEM = re.compile(r"\s*\d{1,4}[.)]\s")
-_SENTENCE = re.compile(r"(?:[^\W\d_]+[^\w.!?…]+){3,60}[^\W\d_]{2,}[»”\"')]*[.!?…]")
+_STOP, _TOKEN = re.compile(r"[.!?…]"), re.compile(r"\w+")
 LINK, TAG, PRICE, NUMBER = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\0link", "\0tag", "\0price", "\0number"))
 _CURRENCY = frozenset(xxhash.xxh64_intdigest(x) for x in "руб рублей р usd eur gbp uah грн dollars euros $ € ₽ £".split())
 DROPPED, PARTICLE = np.uint64(0), np.uint64(1)  # single letters; those that are function words
@@ -67,6 +67,15 @@ _LEADS = re.compile("[╨╤�]|[ÃÂÐÑРСпя][^\x00-\x7fА-Яа-яЁё]")
 _CODES: dict[str, int] = {}
 
 
+def _has_sentence(text: str) -> bool:
+    """Whether four words or more stand before a sentence's end."""
+    for piece in _STOP.split(text)[:-1]:
+        words = _TOKEN.findall(piece)
+        if len(words) > 3 and len(words[-1]) > 1 and all(w.isalpha() for w in words[-4:]):
+            return True
+    return False
+
+
 def _code(raw: str) -> int:
     if len(_CODES) > 2_000_000:
         _CODES.clear()
@@ -108,7 +117,7 @@ def read(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
                 if line[:8].lstrip()[:1].isdigit() and (m := _ITEM.match(line)):
                     line = line[m.end() :]
                 own = [_code(r) if (c := get(r)) is None else c for r in _RAW.findall(line)]
-                if link in own and len(own) <= (ANCHOR + 1) * own.count(link) and not _SENTENCE.search(_URL.sub(" ", line)):
+                if link in own and len(own) <= (ANCHOR + 1) * own.count(link) and not _has_sentence(_URL.sub(" ", line)):
                     own = [link] * own.count(link)  # a link beside a sentence is a cited source
                 elif number in own and not _CURRENCY.isdisjoint(own):
                     own = [price if c == number and i + 1 < len(own) and own[i + 1] in _CURRENCY else c for i, c in enumerate(own) if not (i and c in _CURRENCY and own[i - 1] == number)]
