@@ -134,17 +134,12 @@ def mentions(df: DataFrame, registry: DataFrame, id_col: str = "doc_id", text_co
     lines = df.where(F.col(text_col).isNotNull()).select(F.col(id_col), *group, F.posexplode(T.lines(T.fold_yo(F.lower(F.col(text_col))))).alias("n", "line"))
     chunks = lines.select(*own, (F.col("n") + 1).alias("line_no"), F.posexplode(F.split("line", BREAK)).alias("c", "chunk"))
     words = chunks.select(*own, "line_no", "c", T.matches(F.col("chunk"), "[а-яa-z]+(?:-[а-яa-z]+)*").alias("w")).where(F.size("w") >= lengths[0])
-    # a long run begins with a word that some long term begins with
-    starts = registry.select(F.split("term", " ").alias("t")).where("size(t) > 1").select(F.get("t", F.lit(0)).alias("first")).distinct()
     runs = []
     for k in lengths:
         at = F.sequence(F.lit(1), F.greatest(F.size("w") - (k - 1), F.lit(1)))
         grams = F.transform(at, _gram(k))
         runs.append(F.when(F.size("w") >= k, grams).otherwise(F.array().cast("array<struct<at:int,k:int,term:string>>")))
     each = words.select(*own, "line_no", "c", F.explode(F.concat(*runs)).alias("g")).select(*own, "line_no", "c", "g.at", "g.k", "g.term")
-    if max(lengths) > 3:
-        long = each.where("k > 3").join(starts, F.substring_index("term", " ", 1) == F.col("first"), "left_semi")
-        each = each.where("k <= 3").union(long)
     hits = each.join(registry, ["term", *own[1:]])
     same = Window.partitionBy(id_col, "line_no", "c", "entity", "kind").orderBy("at", F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
     covered = F.coalesce(F.max(F.col("at") + F.col("k")).over(same), F.lit(0))
