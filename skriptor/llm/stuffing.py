@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skriptor.functions import sketch
 from skriptor.llm.quality import WORDS
 from skriptor.session import cut, prepare
 
@@ -180,19 +181,15 @@ def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 h, at = _pairs(c, doc)
                 for total, bits, (values, n) in ((pairs, PAIR_BITS, _clipped(doc[at], h, CLIP[1])), (words, WORD_BITS, _clipped(doc, c, CLIP[2]))):
                     total += np.bincount(_cell(values, bits), n, minlength=len(total)).astype(np.int64) if len(values) else 0
-        for kind, total in ((0, pairs), (1, words)):
+        for begin, total in ((0, pairs), (1 << PAIR_BITS, words)):
             at = np.flatnonzero(total)
             for i in range(0, len(at), 200_000):
                 part = at[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part * 2 + kind), pa.array(total[part])], ["cell", "n"])
-
-    # at most one row for each cell of the two sketches comes back
-    got = rows.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    cell, n = got["cell"].to_numpy(np.int64), got["n"].to_numpy(np.int64)
-    pairs, words = np.zeros(1 << PAIR_BITS), np.zeros(1 << WORD_BITS)
-    pairs[cell[cell % 2 == 0] // 2] = n[cell % 2 == 0]
-    words[cell[cell % 2 == 1] // 2] = n[cell % 2 == 1]
-    return pairs.astype(np.float32), words.astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array(part + begin), pa.array(total[part])], ["cell", "n"])
+
+    summed = rows.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = sketch.gather(summed, (1 << PAIR_BITS) + (1 << WORD_BITS)).astype(np.float32)
+    return got[: 1 << PAIR_BITS], got[1 << PAIR_BITS :]
 
 
 def _times(owner: np.ndarray, h: np.ndarray) -> np.ndarray:

@@ -279,3 +279,26 @@ def test_stuffing_lists_of_links(spark):
     rows.append((504, "\n".join(f"Товар {rng.choice(NOUN)} / {rng.choice(NOUN)} / {rng.randrange(100, 9999)} руб" for _ in range(25))))
     got = {r["doc_id"]: r["reason"] for r in stuffing.found(stuffing.collocations(docs(spark, rows))).collect()}
     assert got == {500: "links", 501: "links", 502: "links", 503: "links", 504: "collocations"}
+
+
+def gathered_rows(monkeypatch):
+    """Lengths of what is brought to the driver from now on."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen = []
+    for name in ("collect", "toPandas"):
+        plain = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, plain=plain: seen.append(out := plain(self)) or out)
+    return seen
+
+
+def test_corpus_counts_reach_the_driver_packed(spark, monkeypatch):
+    words = [f"{a}{b}{c}" for a in "бвгджзклмн" for b in "аеиоу" for c in "прстфхцч"]
+    rng = random.Random(4)
+    texts = [(i, " ".join(rng.choices(words, k=300))) for i in range(60)]
+    seen = gathered_rows(monkeypatch)
+    pairs, counted = stuffing.corpus_counts(docs(spark, texts).select("doc_id", "text"))
+    assert sum(map(len, seen)) <= 16 and pairs.sum() == 60 * 299 and counted.sum() == 60 * 300
+    c, doc, *_ = stuffing.read([t for _, t in texts])
+    h, _ = stuffing._pairs(c, doc)
+    assert (pairs == np.bincount(stuffing._cell(h, stuffing.PAIR_BITS), minlength=len(pairs))).all()
