@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skriptor.functions import sketch
+
 BITS_EACH, MAX_BITS, PROBES = 12, 1 << 30, 4  # at most 128 MB whatever the number of keys
 
 
@@ -37,9 +39,8 @@ def build(keys: DataFrame, key: list[str], count: int | None = None) -> Filter:
     """The filter of all rows of ``keys``."""
     out = sized(keys.count() if count is None else count)
     each = keys.select(F.explode(F.array(*positions([F.col(k) for k in key], out))).alias("bit"))
-    rows = each.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask")).toPandas()
-    out.words[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-    return out
+    rows = each.groupBy(F.expr("bit div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("mask"))
+    return out._replace(words=sketch.gather(rows, len(out.words)).view(np.uint64))
 
 
 def hits(words: np.ndarray, bits: list[np.ndarray]) -> np.ndarray:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skriptor.functions import bloom
+from skriptor.functions import bloom, sketch
 from skriptor.session import cut, prepare
 
 MISSED = 1e-4  # largest probability of missing a pair at the threshold
@@ -175,10 +175,7 @@ def _frequencies(known: DataFrame, k: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
-    rows = known.select("sig").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << bits, np.int64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
+    return sketch.gather(known.select("sig").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")), 1 << bits)
 
 
 def _postings(known: DataFrame, reps: DataFrame, k: int, t: int, list_block: int) -> DataFrame:

@@ -200,3 +200,25 @@ def test_names_common_error(spark):
     df = spark.createDataFrame([(i, x, None, None, None, None, "person") for i, x in enumerate(spelt)], SCHEMA)
     root = {r["id"]: r["root"] for r in names.linked_entries(df, spark.createDataFrame(GIVEN, "given_name string, short_name string")).collect()}
     assert len(root) == 305 and len(set(root.values())) == 1  # as many errors as 300 entries explain
+
+
+def test_near_duplicates_bring_no_row_a_cell(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen = []
+    for name in ("collect", "toPandas"):
+        plain = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, plain=plain: seen.append(len(out := plain(self))) or out)
+    rows = corpus(3)
+    _, links = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), threshold=0.7)
+    assert max(seen) <= 64
+    assert {(r["a"], r["b"]) for r in links.select("a", "b").toLocalIterator()} <= exact(rows)
+
+
+def test_gathered_cells(spark):
+    from skriptor.functions import sketch
+
+    want = {0: 1, 5: (1 << 63) - 1, 70_000: -(1 << 63), 99_999: 1 << 32, 3: (1 << 32) - 1}
+    got = sketch.gather(spark.createDataFrame(list(want.items()), "cell bigint, n bigint").repartition(3), 100_000)
+    assert {int(i): int(got[i]) for i in got.nonzero()[0]} == want
+    assert not sketch.gather(spark.createDataFrame([], "cell bigint, n bigint"), 8).any()
