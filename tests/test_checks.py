@@ -293,3 +293,13 @@ def test_exit_codes_and_smoke(spark, tmp_path):
     assert contract.run(known, spark, "good", "/tmp") == 0 and contract.run(known, spark, "bad", str(tmp_path)) == 2 and contract.run(known, spark, "other", "/tmp") == 2
     got = {r["query"]: (r["rows"], r["error"] is None) for r in contract.smoke(known, spark, str(tmp_path)).collect()}
     assert got == {"good": (0, True), "bad": (None, False)}
+
+
+def test_audit_total_is_of_its_rows(spark):
+    from skriptor.plans import audit
+
+    out = audit.audit(spark, "/root/testdata/sf0.001")
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 2  # the checks aren't part of the plan twice
+    rows = {r["ord"]: r for r in out.collect()}
+    assert sorted(rows) == [1, 2, 3, 4, 5, 6, 7] and rows[7]["serious"] == any(rows[i]["serious"] for i in range(1, 7))
+    assert all(rows[7][c] == sum(rows[i][c] for i in range(1, 7)) for c in ("serious_n", "other_n"))
