@@ -2,10 +2,11 @@
 
 The model has one clean state and one state for each encoding pair (and one for
 replacement characters).  A state emits a character given the one before it; its
-probabilities are counted on a bounded sample of the data itself, as it stands
-for the clean state, passed through the pair's damage for the others.  The most
-likely path labels every character, and each labelled span is put through the
-inverse of its state's damage.
+probabilities are counted on all different texts of the data itself, as it stands
+for the clean state, passed through the pair's damage for the others: a pair of
+characters becomes the same string wherever it stands, so counts of clean pairs give
+those of the damaged ones.  The most likely path labels every character, and each
+labelled span is put through the inverse of its state's damage.
 
 Texts in which no stretch gains more under the best other state than entering
 one costs are clean by that path as well; they are told apart with one table
@@ -25,18 +26,19 @@ from pyspark.sql import functions as F
 
 from skriptor.session import prepare
 
-SAMPLE_ROWS = 800  # texts the emission tables are counted on
-SAMPLE_CHARS = 4000  # longest piece of one text used for counting, from a place given by the text's hash
+MASS_TEXTS, MASS_CHARS = 800, 4000  # counts of all texts are scaled to those of so many texts of so many characters at most: see BETA
+COUNT_CHARS = 1_000_000  # characters counted at once
+START, CAPITALS = 0x110000, 1 << 42  # before a text's first character; mark of pairs of the text in capitals
 ENTER, LEAVE = -12.0, -3.0  # log probabilities of leaving the clean state and of returning
 ALPHABET = 640  # characters with a row of their own in the emission tables
 RARE = 0.01  # see Model
 FLOOR = 1e-4  # least probability of a letter in clean text
 MARKS = "…—–«»“”„’№"  # punctuation beyond ASCII that follows letters in clean text
-BETA = 4.0  # weight of the unigram in a bigram's probability
+BETA = 4.0  # weight of the unigram in a bigram's probability, beside counts of the mass above
 CELLS = 6_000_000  # characters x states searched at once
 PIECE, OVERLAP = 4000, 200  # longest stretch searched as a whole; characters shared with the next piece
 
-#: Words with the letters of languages that the sample may not hold; damaged states know them as well.
+#: Words with the letters of languages that the texts may not hold; damaged states know them as well.
 SEEDS = [
     "Łódź, Wrocław, Gdańsk, Kraków, Poznań; żółw, gęś, źrebię, ćma, święto, książka, miłość, łąka, dzień, proszę, cześć",
     "Příliš žluťoučký kůň; Dvořák, Plzeň, Škoda, děti, město, měsíc, člověk, větší, čtyři, ráno, květen, únor, září",
@@ -80,7 +82,7 @@ PAIRS = [
     ("shift_jis as cp1252", "shift_jis", "cp1252", 1),
     ("euc-kr as cp1252", "euc-kr", "cp1252", 1),
 ]
-OWN_SEEDS = {"cp1250": SEEDS[:3], "gbk": SEEDS[6:7], "shift_jis": SEEDS[7:8], "euc-kr": SEEDS[8:9]}  # encodings of no sample text
+OWN_SEEDS = {"cp1250": SEEDS[:3], "gbk": SEEDS[6:7], "shift_jis": SEEDS[7:8], "euc-kr": SEEDS[8:9]}  # encodings of none of the texts
 LOST = "replacement characters"
 STATES = ["clean", LOST, *(p[0] for p in PAIRS)]
 
@@ -143,6 +145,65 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint32), np.array([len(t) for t in texts], np.int64)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, n, texts) of several, each key once."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    sums = [np.bincount(at, np.concatenate([p[i] for p in parts]), len(key)).astype(np.int64) for i in (1, 2)]
+    return key, sums[0], sums[1]
+
+
+def count_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, n, texts) of the pairs of neighbouring characters of whole texts, as they stand and in capitals."""
+    parts, begin, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t) + 1
+        if held >= COUNT_CHARS or i + 1 == len(texts):
+            for kind, own in ((0, texts[begin : i + 1]), (CAPITALS, [x.upper() for x in texts[begin : i + 1]])):
+                p, n = _points(own)
+                cur, prev = p.astype(np.int64), np.empty(len(p), np.int64)
+                prev[1:] = cur[:-1]
+                prev[(np.cumsum(n) - n)[n > 0]] = START
+                once, times = np.unique(np.repeat(np.arange(len(n)), n) << 43 | kind | prev << 21 | cur, return_counts=True)
+                parts.append(_merged([(once & (1 << 43) - 1, times, np.ones(len(once), np.int64))]))
+            begin, held = i + 1, 0
+    return _merged(parts)
+
+
+class Counts:
+    """Pairs of characters (key, n, number of texts) and the number of texts they are of."""
+
+    def __init__(self, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], texts: int):
+        (self.key, self.n, self.docs), self.texts = pairs, texts
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Counts:
+        return cls(count_pairs(texts), len(texts))
+
+    def without(self, other: Counts) -> Counts:
+        key, n, docs = _merged([(self.key, self.n, self.docs), (other.key, -other.n, -other.docs)])
+        return Counts((key[n > 0], n[n > 0], docs[n > 0]), self.texts - other.texts)
+
+    def side(self, capitals: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Character before, character, n and texts of the pairs of one kind."""
+        at = (self.key & CAPITALS > 0) == capitals
+        return (self.key[at] & (CAPITALS - 1)) >> 21, self.key[at] & (1 << 21) - 1, self.n[at].astype(float), self.docs[at].astype(float)
+
+
+def _damaged(prev: np.ndarray, cur: np.ndarray, n: np.ndarray, pair: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of characters of texts after the damage, of those before it: within each character's string and between two."""
+    chars, at = np.unique(cur, return_inverse=True)
+    become = [list(map(ord, damage(chr(c), pair))) for c in chars]
+    times = np.bincount(at, n, len(chars))
+    last = np.full(START + 1, START, np.int64)
+    last[chars] = [b[-1] for b in become]
+    inner = [(x, y, t) for b, t in zip(become, times) for x, y in zip(b, b[1:])]
+    x, y, t = (np.array([i[k] for i in inner], (np.int64, np.int64, float)[k]) for k in range(3))
+    first = np.array([b[0] for b in become], np.int64)[at] if len(chars) else cur
+    return np.concatenate([last[prev], x]), np.concatenate([first, y]), np.concatenate([n, t])
+
+
 def _script(c: str) -> int:
     """1 Latin (ASCII), 2 Russian, 3 Greek, 0 anything else."""
     if c.isascii():
@@ -153,30 +214,33 @@ def _script(c: str) -> int:
 class Model:
     """Emission tables of all states over a shared alphabet (index 0: start, 1: any other character)."""
 
-    def __init__(self, clean: list[str], rare: float = 0.0):
+    def __init__(self, counts: Counts, rare: float = 0.0):
         """``rare``: share of texts below which a pair with an unusual character isn't taken for clean."""
-        texts = [t[:SAMPLE_CHARS] for t in clean if t]
-        shouted = [t.upper() for t in texts[::4]]  # clean text also comes in capitals
-        versions = [[*texts, *shouted, *(SEEDS * 4 if len(texts) > 9 else [])], *(self._damaged(texts, p) for p in PAIRS)]
-        counts = np.zeros(0x110000, np.int64)
-        for v in versions:
-            p, _ = _points(v)
-            counts += np.bincount(p, minlength=len(counts)) if len(p) else 0
-        counts[0xFFFD] += 1 << 40
-        known = np.argsort(-counts, kind="stable")[: min(ALPHABET - 2, int((counts > 0).sum()))]
+        prev, cur, own, docs = counts.side(False)
+        scale = min(1.0, MASS_TEXTS * min(MASS_CHARS, own.sum() / max(1, counts.texts)) / max(1.0, own.sum()))
+        capital, many, quarter = counts.side(True), counts.texts > 9, 0.25  # clean text also comes in capitals
+        seeds = Counts.of(SEEDS).side(False)
+        known_as = [(prev, cur, own * scale, docs), (capital[0], capital[1], capital[2] * scale * quarter, capital[3] * quarter)]
+        clean = [*known_as, *([(*seeds[:2], 4 * seeds[2], 4 * seeds[3])] if many else [])]
+        versions = [tuple(np.concatenate(x) for x in zip(*clean))[:3], *(self._damaged(known_as[0][:3], seeds[:3], p, many) for p in PAIRS)]
+        counted = np.zeros(START, float)
+        for _, c, n in versions:
+            counted += np.bincount(c, n, START)
+        counted[0xFFFD] += 1 << 40
+        known = np.argsort(-counted, kind="stable")[: min(ALPHABET - 2, int((counted > 0).sum()))]
         self.index = np.ones(0x110000, np.int16)
         self.index[known] = np.arange(2, 2 + len(known))
         n = 2 + len(known)
+        at = np.append(self.index, 0).astype(np.int64)  # START is 0
         self.tables = np.empty((len(STATES), n, n), np.float32)
-        lost, total = int(self.index[0xFFFD]), max(1, sum(map(len, versions[0])))
-        for s, v in zip([0, *range(2, len(STATES))], versions):
-            ids, prev = self.ids(v)
-            pair = np.bincount(prev * n + ids, minlength=n * n).reshape(n, n).astype(float)
+        lost, total = int(self.index[0xFFFD]), max(1, versions[0][2].sum())
+        for s, (before, c, weight) in zip([0, *range(2, len(STATES))], versions):
+            cell = at[before] * n + at[c]
+            pair = np.bincount(cell, weight, n * n).reshape(n, n)
             if s == 0 and rare:
-                doc = np.repeat(np.arange(len(v)), [len(t) for t in v])
-                seen = np.unique(doc * n * n + prev * n + ids) % (n * n)
+                held = np.bincount(cell, np.concatenate([x[3] for x in clean]), n * n).reshape(n, n)
                 usual = np.array([True, False, *(_script(chr(c)) in (1, 2) or c < 128 or chr(c) in MARKS for c in known)])
-                few = (np.bincount(seen, minlength=n * n).reshape(n, n) < rare * len(v)) & ~(usual[:, None] & usual[None, :])
+                few = (held < rare * ((1 + quarter) * counts.texts + 4 * len(SEEDS) * many)) & ~(usual[:, None] & usual[None, :])
                 pair[few] = 0
             # a state counted on seeds alone knows nothing of other characters
             seeded = s > 1 and PAIRS[s - 2][1] in OWN_SEEDS
@@ -199,12 +263,13 @@ class Model:
         self._gains()
 
     @staticmethod
-    def _damaged(texts: list[str], pair: tuple) -> list[str]:
-        """Texts a damaged state is counted on: the sample's, and seeds where the encoding has their letters."""
+    def _damaged(clean: tuple, seeds: tuple, pair: tuple, many: bool) -> tuple:
+        """Pairs a damaged state is counted on: the texts', and the seeds' where the encoding has their letters."""
         own = OWN_SEEDS.get(pair[1])
         if own:
-            return [damage(t, pair) for t in own]
-        return [damage(t, pair) for t in (texts + SEEDS if pair[1] == "utf-8" and len(texts) > 9 else texts)]
+            return Counts.of([damage(t, pair) for t in own]).side(False)[:3]
+        both = [np.concatenate(x) for x in zip(clean, seeds)] if pair[1] == "utf-8" and many else clean
+        return _damaged(*both, pair)
 
     def _gains(self) -> None:
         self.gains = self.tables[1:] - self.tables[0]
@@ -375,33 +440,68 @@ class Model:
         return [paths[i, : n[i]] for i in range(rows)]
 
 
+def _dirty(model: Model, texts: list[str]) -> list[str]:
+    """The texts in which the model finds damage."""
+    held = [t for t, bad in zip(texts, model.suspects(texts)) if bad]
+    return [t for t, path in zip(held, model.label(held)) if path.any()]
+
+
+def _refined(model: Model, counts: Counts, dirty: Counts) -> Model:
+    return Model(counts.without(dirty) if dirty.texts < counts.texts else counts) if dirty.texts else model
+
+
 def _train(texts: list[str]) -> Model:
-    """A model of the sample, then one of those texts only that the first found clean."""
-    model = Model(texts, rare=RARE)
-    bad = model.suspects(texts)
-    if bad.any():
-        held = [t for t, b in zip(texts, bad) if b]
-        dirty = {i for i, path in zip(np.flatnonzero(bad), model.label(held)) if path.any()}
-        texts = [t for i, t in enumerate(texts) if i not in dirty] or texts
-        model = Model(texts)
-    return model
-
-
-def train(parts: list[tuple[DataFrame, str]], rows: int = SAMPLE_ROWS) -> Model:
-    """Model from at most ``rows`` different texts of each (table, text column), taken by the text's hash.
-
-    Of a text longer than SAMPLE_CHARS a piece is used that begins at a place given by the hash, so that
-    neither beginnings nor copies stand for the whole.
+    """A model of the texts, then one of those only that the first found clean."""
+    texts = [t for t in texts if t]
+    counts = Counts.of(texts)
+    model = Model(counts, rare=RARE)
+    return _refined(model, counts, Counts.of(_dirty(model, texts)))
+
+
+def train(parts: list[tuple[DataFrame, str]], rows: int | None = None) -> Model:
+    """Model of all different texts of each (table, text column), whole; with ``rows``, of so many of each by the text's hash.
+
+    Two passes: pairs of characters are counted over all texts, then over those in which the
+    first model finds damage, which are taken off.  What is counted comes to the driver as one number
+    for each different pair of characters.
     """
-    texts: list[str] = []
+    spark = prepare(parts[0][0].sparkSession)
+    each = []
     for df, column in parts:
         some = df.select(F.col(column).cast("string").alias("c")).where("c is not null and c <> ''").select("c", F.xxhash64("c").alias("h"))
-        place = F.expr(f"1 + pmod(h, greatest(length(c) - {SAMPLE_CHARS}, 0) + 1)").cast("int")
-        # the hashes chosen first: only they are made different and sorted, not the texts
-        chosen = some.select("h").distinct().orderBy("h").limit(rows)
-        found = some.join(F.broadcast(chosen), "h").select("h", F.substring("c", place, F.lit(SAMPLE_CHARS)).alias("t"))
-        texts += [r["t"] for r in found.groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
-    return _train(texts or [" "])
+        if rows is not None:
+            some = some.join(F.broadcast(some.select("h").distinct().orderBy("h").limit(rows)), "h").select("c", "h")
+        each.append(some.repartition("h"))  # copies come together and count once
+
+    def counted(model=None) -> Counts:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            parts, held, n = [], 0, 0
+            for batch in batches:
+                texts = []
+                for t, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    if h not in seen:
+                        seen.add(h)
+                        texts.append(t)
+                texts = texts if model is None else _dirty(model.value, texts)
+                parts.append(count_pairs(texts))
+                held, n = held + len(parts[-1][0]), n + len(texts)
+                if held > COUNT_CHARS:
+                    parts = [_merged(parts)]
+                    held = 0
+            key, times, docs = _merged(parts)
+            # the number of texts under a key of its own
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(key, -1)), pa.array(np.append(times, n)), pa.array(np.append(docs, n))], ["key", "n", "docs"])
+
+        found = [df.mapInArrow(run, "key bigint, n bigint, docs bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toArrow() for df in each]
+        key, n, docs = _merged([tuple(t.column(c).to_numpy() for c in ("key", "n", "docs")) for t in found])
+        return Counts((key[key >= 0], n[key >= 0], docs[key >= 0]), int(n[key < 0].sum()))
+
+    counts = counted()
+    if not counts.texts:
+        return _train([" "])
+    model = Model(counts, rare=RARE)
+    return _refined(model, counts, counted(model.shared(spark)))
 
 
 def _whole_words(text: str, path: np.ndarray) -> np.ndarray:

@@ -204,6 +204,24 @@ def test_sample_is_of_different_texts(spark):
     assert encoding.judge(model, [encoding.damage("Кузнец нашёл молот", encoding.PAIRS[0])])[0][0] == "Кузнец нашёл молот"
 
 
+def test_model_is_of_all_texts(spark):
+    rng = random.Random(17)
+    texts = [f"{prose(rng, 2)} {i}" for i in range(1000)] + ["Щегол " * 900 + "Ёжик…"]
+    texts += [encoding.damage(t, encoding.PAIRS[2]) for t in texts[:30]]
+    rows = [(i, t) for i, t in enumerate([*texts, *texts[:200], "", None])]
+    model, whole = encoding.train([(docs(spark, rows), "text")]), encoding._train(texts)
+    assert (model.index == whole.index).all() and (model.tables == whole.tables).all()
+
+
+@pytest.mark.parametrize("pair", [p for p in encoding.PAIRS if p[1] not in encoding.OWN_SEEDS], ids=lambda p: p[0])
+def test_damaged_counts_follow_from_clean_ones(pair):
+    texts = [*encoding.SEEDS, "Ёжик — друг", "x", "ß"]
+    prev, cur, n = encoding._damaged(*encoding.Counts.of(texts).side(False)[:3], pair)
+    key, n, _ = encoding._merged([(prev << 21 | cur, n, n)])
+    prev, cur, times, _ = encoding.Counts.of([encoding.damage(t, pair) for t in texts]).side(False)
+    assert (key == prev << 21 | cur).all() and (n == times).all()
+
+
 # stuffed pages --------------------------------------------------------------
 
 
