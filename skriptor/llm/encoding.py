@@ -442,8 +442,15 @@ class Model:
 
 def _dirty(model: Model, texts: list[str]) -> list[str]:
     """The texts in which the model finds damage."""
-    held = [t for t, bad in zip(texts, model.suspects(texts)) if bad]
-    return [t for t, path in zip(held, model.label(held)) if path.any()]
+    out, begin, held = [], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= COUNT_CHARS or i + 1 == len(texts):
+            own = texts[begin : i + 1]
+            own = [t for t, bad in zip(own, model.suspects(own)) if bad]
+            out += [t for t, path in zip(own, model.label(own)) if path.any()]
+            begin, held = i + 1, 0
+    return out
 
 
 def _refined(model: Model, counts: Counts, dirty: Counts) -> Model:
