@@ -303,3 +303,19 @@ def test_audit_total_is_of_its_rows(spark):
     rows = {r["ord"]: r for r in out.collect()}
     assert sorted(rows) == [1, 2, 3, 4, 5, 6, 7] and rows[7]["serious"] == any(rows[i]["serious"] for i in range(1, 7))
     assert all(rows[7][c] == sum(rows[i][c] for i in range(1, 7)) for c in ("serious_n", "other_n"))
+
+
+def test_audit_runs_its_checks_one_by_one(spark):
+    import re
+
+    from skriptor.plans import audit
+
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    audit.audit(spark, "/root/testdata/sf0.001").collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    ran = store.executionsList(before, 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    # nodes are listed by number after the tree: what the driver holds for one execution
+    most = max(len(set(re.findall(r"^\((\d+)\) Exchange", p, re.M))) for p in plans)
+    assert len(plans) >= 7 and 0 < most < 60, (len(plans), most)
